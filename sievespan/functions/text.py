@@ -10,10 +10,18 @@ def fixed_decimals(value: str | Column, places: int) -> Column:
     return F.call_function("format_number", column, F.lit(pattern))
 
 
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def stripped(text: str | Column) -> Column:
+    """Text without white space at either end."""
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(BLANKS))
+
+
 def listed_ids(text: str | Column) -> Column:
     """Ids of a comma-separated list: trimmed, empty ones dropped."""
     column = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.transform(F.split(column, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(column, ","), stripped), lambda x: x != "")
 
 
 def tokens(line: str | Column) -> Column:
