@@ -50,12 +50,6 @@ def token_pairs(line: str | Column) -> Column:
     return F.when((pairs > 0) & ~bad, F.map_from_entries(entries)).otherwise(empty)
 
 
-def code_points(text: str | Column) -> Column:
-    """Array of the characters of a text."""
-    column = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(column, F.lit("(?s)."), F.lit(0))
-
-
 def job_name(id_col: str, key_col: str) -> Column:
     return F.concat_ws("_", F.col(id_col), F.col(key_col))
 

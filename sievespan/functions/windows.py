@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import WINDOW_LENGTH
-from .text import code_points
 
 BLOCK = 4096
 
@@ -12,21 +11,16 @@ def sliding_windows(df: DataFrame, key: str, text: str, length: int = WINDOW_LEN
     """All windows of ``length`` characters: key, pos (from 1), window.
 
     A text shorter than ``length`` has none. A text is first cut into blocks
-    that overlap by ``length - 1`` characters, one row each, so the array built
-    per row stays bounded however long the text is.
+    that overlap by ``length - 1`` characters, one row each, so that no row's
+    array of windows grows with the text.
     """
     overlapping = f"(?s)(?=(.{{1,{BLOCK + length - 1}}})).{{1,{BLOCK}}}"
-    blocks = (
+    window = f"(?s)(?=(.{{{length}}}))."
+    return (
         df.where(F.length(text) >= length)
         .select(key, F.posexplode(F.regexp_extract_all(text, F.lit(overlapping), F.lit(1)))
                 .alias("_block", "_text"))
-        .where(F.length("_text") >= length)
-        .select(key, "_block", code_points("_text").alias("_chars"))
-    )
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("_chars") - (length - 1)),
-        lambda i: F.array_join(F.slice("_chars", i, length), ""))
-    return (
-        blocks.select(key, "_block", F.posexplode(windows).alias("_p", "window"))
+        .select(key, "_block", F.posexplode(F.regexp_extract_all("_text", F.lit(window), F.lit(1)))
+                .alias("_p", "window"))
         .select(key, (F.col("_block").cast("long") * BLOCK + F.col("_p") + 1).alias("pos"), "window")
     )

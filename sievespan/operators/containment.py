@@ -4,19 +4,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.windows import sliding_windows
 
-ANCHOR_WORDS = 6
+ANCHOR_WORDS = 4
 
 
-def _pieces(text: str) -> Column:
-    # one separator character each, so that inner words are the same in any
-    # text that holds the pattern
-    return F.split(F.col(text), r"\s")
+def _phrase(words: int) -> str:
+    """Regex for whole phrases of so many words with white space on either side.
 
-
-def _phrase_hashes(words: Column, first: Column, count: Column, length: int) -> Column:
-    return F.transform(
-        F.sequence(first, first + count - 1),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i, length), " ")))
+    The phrase is looked ahead for, so overlapping ones are found too.
+    """
+    return r"\s(?=(" + r"\s".join([r"\S+"] * words) + r")\s)"
 
 
 def contained_pairs(texts: DataFrame, text_id: str, text: str,
@@ -25,29 +21,24 @@ def contained_pairs(texts: DataFrame, text_id: str, text: str,
     """Pairs (text_id, pattern_id) where the text holds the pattern literally.
 
     Comparing every text with every pattern is a cross join. Instead a pattern
-    is found by a phrase of ``anchor_words`` of its inner words, which any text
-    that holds it must have too: phrase hashes are joined for equality, then
-    the few candidates are checked on the whole text. The first and last word
-    are left out of phrases as they may continue in the text. Patterns with
-    too few words are found by their leading characters instead.
+    is found by its first phrase of ``anchor_words`` whole words with white
+    space around them, which any text that holds the pattern has too: phrase
+    hashes are joined for equality, then the few candidates are checked on the
+    whole text. Patterns without such a phrase are found by their leading
+    characters instead.
     """
     if patterns.where(F.length(pattern) == 0).limit(1).count():
         raise ValueError("empty patterns occur in every text")
     known = patterns.select(pattern_id, F.col(pattern).alias("_pattern"))
-    is_long = F.size(_pieces("_pattern")) >= anchor_words + 2
-
-    anchors = known.where(is_long).select(
-        pattern_id,
-        F.xxhash64(F.array_join(F.slice(_pieces("_pattern"), 2, anchor_words), " ")).alias("_anchor"))
-    words = texts.select(text_id, _pieces(text).alias("_words"))
-    phrases = (
-        words.where(F.size("_words") >= anchor_words)
-        .select(text_id, F.explode(F.array_distinct(_phrase_hashes(
-            F.col("_words"), F.lit(1), F.size("_words") - (anchor_words - 1), anchor_words))).alias("_anchor"))
-    )
-    candidates = phrases.join(anchors, "_anchor").select(text_id, pattern_id)
+    phrase = _phrase(anchor_words)
+    first = F.regexp_extract("_pattern", phrase, 1)
+
+    anchors = known.where(first != "").select(pattern_id, F.xxhash64(first).alias("_anchor"))
+    phrases = texts.select(text_id, F.explode(F.regexp_extract_all(text, F.lit(phrase), F.lit(1))).alias("_p"))
+    candidates = (phrases.select(text_id, F.xxhash64("_p").alias("_anchor"))
+                  .join(anchors, "_anchor").select(text_id, pattern_id))
 
-    short = known.where(~is_long)
+    short = known.where(first == "")
     shortest = short.agg(F.min(F.length("_pattern"))).first()[0]
     if shortest is not None:
         heads = short.select(pattern_id, F.substring("_pattern", 1, shortest).alias("window"))

@@ -8,25 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import NO_DISTANCE
 from ..session import written
 
-SPLIT = 4            # cells per axis that a cell is divided into
-LEAF_PAIRS = 1 << 15  # point pairs up to which two cells are compared point by point
+SPLIT = 4             # cells per axis that a cell is divided into
+LEAF_PAIRS = 1 << 16  # point pairs up to which two cells are compared point by point
 MAX_LEVEL = 24
-SLACK = 1 - 1e-9     # a cell distance is trusted up to rounding
-
-
-def _squared(a: list[Column], b: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, [(p - q) * (p - q) for p, q in zip(a, b)])
-
-
-def _cells(points: DataFrame, coords: list[str], low: list[float], width: float) -> DataFrame:
-    cell = F.array(*[F.floor((F.col(c) - F.lit(o)) / F.lit(width)) for c, o in zip(coords, low)])
-    return points.withColumn("_cell", cell)
-
-
-def _gap_squared(a: Column, b: Column, axes: int, width: float) -> Column:
-    """Square of the least distance two points of cells a and b can have."""
-    gaps = [F.greatest(F.abs(a[i] - b[i]) - 1, F.lit(0)).cast("double") * width for i in range(axes)]
-    return reduce(lambda x, y: x + y, [g * g for g in gaps])
+SLACK = 1 - 1e-9      # a cell distance is trusted up to rounding
 
 
 def min_distance_squared(points_a: DataFrame, points_b: DataFrame, keys: list[str],
@@ -42,74 +27,92 @@ def min_distance_squared(points_a: DataFrame, points_b: DataFrame, keys: list[st
     divided into smaller cells. The number of rounds follows the density of
     the points, not their number, and small groups are done in the first.
     """
-    axes = len(coords)
-    a = points_a.select(*keys, *[F.col(c).cast("double") for c in coords]).distinct()
-    b = points_b.select(*keys, *[F.col(c).cast("double") for c in coords]).distinct()
-    both = written(a.withColumn("_side", F.lit("a")).unionByName(b.withColumn("_side", F.lit("b"))),
+    both = written(_side(points_a, "a", keys, coords).unionByName(_side(points_b, "b", keys, coords)),
                    "points")
-    a, b = (both.where(F.col("_side") == side).drop("_side") for side in "ab")
-
-    span = both.agg(*[F.min(c).alias(f"lo_{c}") for c in coords],
-                    *[F.max(c).alias(f"hi_{c}") for c in coords]).first()
-    low = [span[f"lo_{c}"] if span[f"lo_{c}"] is not None else 0.0 for c in coords]
-    high = [span[f"hi_{c}"] if span[f"hi_{c}"] is not None else 0.0 for c in coords]
-    extent = max(h - o for o, h in zip(low, high))
-    # a power of two, so that a cell's parent is its index divided by SPLIT
-    width = 2.0 ** (math.floor(math.log2(extent)) + 1) if extent > 0 else 1.0
-
-    found = []
-    opened = None
+    low, width = _extent(both, coords)
+    axes = range(len(coords))
+    found, opened = [], None
     for level in range(MAX_LEVEL + 1):
-        pairs = written(_cell_pairs(a, b, keys, coords, low, width, opened), "cell-pairs")
+        celled = both.withColumns({
+            f"_{i}": F.floor((F.col(c) - F.lit(low[i])) / F.lit(width)) for i, c in enumerate(coords)})
+        pairs = written(_cell_pairs(celled, keys, coords, width, opened), "cell-pairs")
         bound = pairs.groupBy(*keys).agg(F.min(F.least("_d2", "_best")).alias("_bound"))
         found.append(bound.select(*keys, F.col("_bound").alias("min_sq")))
 
         near = pairs.join(bound, keys).where(F.col("_gap2") * SLACK < F.col("_bound"))
         small = F.col("_na") * F.col("_nb") <= leaf_pairs if level < MAX_LEVEL else F.lit(True)
-        found.append(_compare_points(near.where(small), a, b, keys, coords, low, width))
-        opened = near.where(~small).select(*keys, "_ca", "_cb", F.col("_bound").alias("_best"))
+        found.append(_compare_points(near.where(small), celled, keys, coords))
+        if pairs.where(~small).isEmpty():
+            break
+        opened = near.where(~small).select(
+            *keys, *[f"_{s}{i}" for s in "ab" for i in axes], F.col("_bound").alias("_best"))
         if opened.isEmpty():
             break
         width /= SPLIT
     return reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.min("min_sq").alias("min_sq"))
 
 
-def _cell_pairs(a, b, keys, coords, low, width, opened) -> DataFrame:
-    """Cell pairs below the ``opened`` ones, with counts and a real distance each."""
-    def summary(points, side):
-        cells = (_cells(points, coords, low, width).groupBy(*keys, "_cell")
-                 .agg(F.count(F.lit(1)).alias(f"_n{side}"), F.min(F.struct(*coords)).alias(f"_p{side}")))
-        return cells.withColumnRenamed("_cell", f"_c{side}")
+def _side(points: DataFrame, name: str, keys: list[str], coords: list[str]) -> DataFrame:
+    # copies of a point change no distance, but would make its cell look crowded
+    return (points.select(*keys, *[F.col(c).cast("double").alias(c) for c in coords]).distinct()
+            .withColumn("_side", F.lit(name)))
+
+
+def _extent(points: DataFrame, coords: list[str]) -> tuple[list[float], float]:
+    """Lower corner of all points, and the width of a cell that holds them all."""
+    span = points.agg(*[F.min(c).alias(f"lo_{c}") for c in coords],
+                      *[F.max(c).alias(f"hi_{c}") for c in coords]).first()
+    low = [span[f"lo_{c}"] or 0.0 for c in coords]
+    extent = max((span[f"hi_{c}"] or 0.0) - o for c, o in zip(coords, low))
+    # a power of two, so that a cell's parent is its index divided by SPLIT
+    return low, 2.0 ** (math.floor(math.log2(extent)) + 1) if extent > 0 else 1.0
+
+
+def _squared(a: list[Column], b: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, [(p - q) * (p - q) for p, q in zip(a, b)])
+
+
+def _cell_pairs(celled: DataFrame, keys: list[str], coords: list[str], width: float,
+                opened: DataFrame | None) -> DataFrame:
+    """Cell pairs below the ``opened`` ones, each with its point counts, the
+    least distance its points can have and the distance of two of its points."""
+    axes = range(len(coords))
 
-    def below(cells, side):
-        parent = F.transform(F.col(f"_c{side}"), lambda i: F.floor(i / SPLIT))
-        return cells.withColumn(f"_up{side}", parent)
+    def cells(side):
+        # first() of all coordinates in one aggregation is one row's point
+        summed = (celled.where(F.col("_side") == side).groupBy(*keys, *[f"_{i}" for i in axes])
+                  .agg(F.count(F.lit(1)).alias(f"_n{side}"),
+                       *[F.first(c).alias(f"_p{side}{i}") for i, c in enumerate(coords)]))
+        summed = summed.withColumnsRenamed({f"_{i}": f"_{side}{i}" for i in axes})
+        if opened is None:
+            return summed
+        return summed.withColumns({f"_up{side}{i}": F.floor(F.col(f"_{side}{i}") / SPLIT) for i in axes})
 
-    sa, sb = summary(a, "a"), summary(b, "b")
     if opened is None:
-        joined = sa.join(sb, keys).withColumn("_best", F.lit(None).cast("double"))
+        joined = cells("a").join(cells("b"), keys).withColumn("_best", F.lit(None).cast("double"))
     else:
-        above = opened.withColumnsRenamed({"_ca": "_upa", "_cb": "_upb"})
-        joined = (above.join(below(sa, "a"), [*keys, "_upa"])
-                  .join(below(sb, "b"), [*keys, "_upb"]))
-    gap2 = _gap_squared(F.col("_ca"), F.col("_cb"), len(coords), width)
-    d2 = _squared([F.col("_pa")[c] for c in coords], [F.col("_pb")[c] for c in coords])
-    out = joined.select(*keys, "_ca", "_cb", "_na", "_nb", "_best",
-                        gap2.alias("_gap2"), d2.alias("_d2"))
-    keep = F.col("_best").isNull() | (F.col("_gap2") * SLACK < F.col("_best"))
-    return out.where(keep)
-
-
-def _compare_points(near, a, b, keys, coords, low, width) -> DataFrame:
-    def side(points, name):
-        return _cells(points, coords, low, width).select(
-            *keys, F.col("_cell").alias(f"_c{name}"),
-            *[F.col(c).alias(f"_{name}_{c}") for c in coords])
-
-    d2 = _squared([F.col(f"_a_{c}") for c in coords], [F.col(f"_b_{c}") for c in coords])
-    return (near.select(*keys, "_ca", "_cb")
-            .join(side(a, "a"), [*keys, "_ca"])
-            .join(side(b, "b"), [*keys, "_cb"])
+        above = opened.withColumnsRenamed({f"_{s}{i}": f"_up{s}{i}" for s in "ab" for i in axes})
+        joined = (above.join(cells("a"), [*keys, *[f"_upa{i}" for i in axes]])
+                  .join(cells("b"), [*keys, *[f"_upb{i}" for i in axes]]))
+    gaps = [F.greatest(F.abs(F.col(f"_a{i}") - F.col(f"_b{i}")) - 1, F.lit(0)) * F.lit(width) for i in axes]
+    d2 = _squared([F.col(f"_pa{i}") for i in axes], [F.col(f"_pb{i}") for i in axes])
+    out = joined.select(*keys, *[f"_{s}{i}" for s in "ab" for i in axes], "_na", "_nb", "_best",
+                        reduce(lambda x, y: x + y, [g * g for g in gaps]).alias("_gap2"), d2.alias("_d2"))
+    return out.where(F.col("_best").isNull() | (F.col("_gap2") * SLACK < F.col("_best")))
+
+
+def _compare_points(near: DataFrame, celled: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
+    axes = range(len(coords))
+
+    def points(side):
+        return celled.where(F.col("_side") == side).select(
+            *keys, *[F.col(f"_{i}").alias(f"_{side}{i}") for i in axes],
+            *[F.col(c).alias(f"_x{side}{i}") for i, c in enumerate(coords)])
+
+    d2 = _squared([F.col(f"_xa{i}") for i in axes], [F.col(f"_xb{i}") for i in axes])
+    return (near.select(*keys, *[f"_{s}{i}" for s in "ab" for i in axes])
+            .join(points("a"), [*keys, *[f"_a{i}" for i in axes]])
+            .join(points("b"), [*keys, *[f"_b{i}" for i in axes]])
             .groupBy(*keys).agg(F.min(d2).alias("min_sq")))
 
 

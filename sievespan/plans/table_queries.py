@@ -35,11 +35,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        key = name or fn.__name__
+        QUERIES[key] = fn
         if sql:
-            SQL[fn.__name__] = sql
+            SQL[key] = sql
         return fn
     return register
 
@@ -243,7 +244,7 @@ WITH d AS (
   FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey
   WHERE a.l_returnflag = 'A' AND b.l_returnflag = 'R' GROUP BY a.l_suppkey)
 SELECT s.s_suppkey AS l_suppkey, coalesce(sqrt(d2), 999.0) AS distance
-FROM supplier s LEFT JOIN d ON d.l_suppkey = s.s_suppkey""")
+FROM supplier s LEFT JOIN d ON d.l_suppkey = s.s_suppkey""", name="min_distance")
 def min_point_distance(spark, folder):
     lines = table(spark, folder, "lineitem")
     roster = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
@@ -254,7 +255,7 @@ def min_point_distance(spark, folder):
 
 @query("""
 WITH a AS (SELECT l_suppkey, l_quantity AS q, l_partkey AS p FROM lineitem
-           WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity <= 5),
+           WHERE l_returnflag = 'A' AND l_linestatus = 'F'),
      b AS (SELECT l_suppkey, l_returnflag AS region, l_quantity AS q, l_partkey AS p FROM lineitem
            WHERE l_returnflag IN ('N', 'R') AND l_linestatus = 'O'),
      d AS (SELECT a.l_suppkey, region, sqrt(min((a.q - b.q) ** 2 + (a.p - b.p) ** 2)) AS d
@@ -263,17 +264,17 @@ WITH a AS (SELECT l_suppkey, l_quantity AS q, l_partkey AS p FROM lineitem
                   coalesce((SELECT d FROM d WHERE l_suppkey = s_suppkey AND region = 'N'), 999.0) AS d_first,
                   coalesce((SELECT d FROM d WHERE l_suppkey = s_suppkey AND region = 'R'), 999.0) AS d_second
            FROM supplier)
-SELECT s_suppkey AS l_suppkey, d_first, d_second, d_first <= 3 AS first_pass, d_second <= 3 AS second_pass,
-       d_first <= 3 AND d_second <= 3 AS both_pass FROM w""")
+SELECT s_suppkey AS l_suppkey, d_first, d_second, d_first <= 1 AS first_pass, d_second <= 1 AS second_pass,
+       d_first <= 1 AND d_second <= 1 AS both_pass FROM w""", name="two_region_gate")
 def two_region_check(spark, folder):
     lines = table(spark, folder, "lineitem")
     roster = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
-    near = (lines.where("l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity <= 5")
+    near = (lines.where("l_returnflag = 'A' AND l_linestatus = 'F'")
             .withColumn("region", F.explode(F.array(F.lit("N"), F.lit("R")))))
     far = (lines.where("l_returnflag IN ('N', 'R') AND l_linestatus = 'O'")
            .withColumn("region", F.col("l_returnflag")))
     return two_region_gate(roster, near, far, ["l_suppkey"], ["l_quantity", "l_partkey"],
-                           {"N": "first", "R": "second"}, 3.0)
+                           {"N": "first", "R": "second"}, 1.0)
 
 
 # --- keyed evidence --------------------------------------------------------
@@ -383,7 +384,7 @@ def binder_count(spark, folder):
 @query(f"""
 SELECT o_orderpriority, o_orderkey, n_binders,
        row_number() OVER (PARTITION BY o_orderpriority ORDER BY n_binders, o_orderkey) AS rank
-FROM ({BINDERS_SQL})""")
+FROM ({BINDERS_SQL})""", name="rank_ascending")
 def binder_rank(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
     counted = _binder_count(spark, folder).join(orders, "o_orderkey")
@@ -441,7 +442,7 @@ SELECT c.c_name, k.o_orderpriority, c.c_name || '_' || k.o_orderpriority AS job,
 FROM customer c CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])
                             AS o_orderpriority) k
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey
-                  AND o.o_orderpriority = k.o_orderpriority)""")
+                  AND o.o_orderpriority = k.o_orderpriority)""", name="job_matrix")
 def jobs_open(spark, folder):
     """Customer x priority jobs that no order has done yet."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_name")
@@ -502,7 +503,7 @@ WITH p AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS pos FROM
 SELECT CAST((pos - 1) // 50 + 1 AS BIGINT) AS batch, count(*) AS n, min(doc_id) AS first_id,
        CAST(sum(length(text)) AS BIGINT) AS n_chars,
        md5(string_agg('>' || doc_id || chr(10) || text || chr(10), '' ORDER BY pos)) AS content
-FROM p GROUP BY 1""")
+FROM p GROUP BY 1""", name="fasta_batches")
 def upload_batches(spark, folder):
     """FASTA batches of the documents without a label; a batch holds 50 at most."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
