@@ -42,7 +42,7 @@ def contained_pairs(texts: DataFrame, text_id: str, text: str,
     shortest = short.agg(F.min(F.length("_pattern"))).first()[0]
     if shortest is not None:
         heads = short.select(pattern_id, F.substring("_pattern", 1, shortest).alias("window"))
-        spots = sliding_windows(texts, text_id, text, shortest).select(text_id, "window")
+        spots = sliding_windows(texts, text_id, text, shortest).select(text_id, "window").distinct()
         candidates = candidates.unionByName(spots.join(heads, "window").select(text_id, pattern_id))
 
     return (

@@ -51,9 +51,15 @@ FILE_ORDER = ["_file_time", "_file", "_block", "_line"]
 
 
 def read_roster(spark: SparkSession, path) -> DataFrame:
-    """Candidates with ``roster_pos``, a number that follows the file order."""
+    """Candidates with ``roster_pos``, which orders them as the file does.
+
+    A read has no row numbers; the place of the block in the file and of the
+    row in the block compare the same way.
+    """
     table = spark.read.csv(path, header=True)
-    pos = F.monotonically_increasing_id().alias("roster_pos")
+    pos = F.struct(F.col("_metadata.file_path").alias("file"),
+                   F.col("_metadata.file_block_start").alias("block"),
+                   F.monotonically_increasing_id().alias("row")).alias("roster_pos")
     return table.select(*[optional(table, f.name).try_cast(f.dataType).alias(f.name)
                           for f in schemas.ROSTER.fields], pos)
 
