@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` values for each key.
 
-    ``max_by`` is combined before the shuffle, so a key with many copies costs
-    one row per input partition. Equal order values are settled by the rest of
-    the row, so the outcome does not depend on the arrival of rows.
+    The greatest struct of (order, other columns) is that row. It is combined
+    before the shuffle, so a key with many copies costs one row per input
+    partition, and equal order values are settled by the rest of the row
+    whatever the arrival of rows.
     """
-    rest = [c for c in df.columns if c not in keys]
-    tail = [c for c in rest if c not in order]
-    row = F.struct(*rest)
-    picked = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order, *tail)).alias("_row"))
-    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    last = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    return last.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import DEFAULT_ORDER, RECEPTORS, REQUIRED_RECEPTORS, STAGE_NAMES
 from ..functions.text import fixed_decimals
+from ..operators import coverage as cov
 from ..operators.gates import Gate, in_ranges, pass_column
+from ..operators.numbering import rank_ascending
 from ..operators.pivots import pivot_filled
 from ..operators.segments import find_runs, run_summary, run_text
 from ..sources import evidence as src
+from ..sources.documents import by_position, result_rows
 from .funnel import run_funnel
 
 
@@ -128,3 +131,34 @@ def toxicity_results(raw: DataFrame, roster: DataFrame) -> DataFrame:
         "id", F.coalesce("sequence", F.lit("")).alias("sequence"),
         fixed_decimals("_score", 3).alias("ml_score"), "ppv", "prediction",
         F.when(F.col("prediction") == src.TOXICITY_PASS, "PASS").otherwise("FAIL").alias("toxin_pass"))
+
+
+def binder_pairs(results: DataFrame, body: str, submitted: DataFrame) -> DataFrame:
+    """(seq_id, peptide, percentile) of a binding result document.
+
+    ``submitted`` has seq_id and pos, the 1-based place in the submission.
+    """
+    names = ["sequence_number", "peptide", "netmhciipan_ba_percentile"]
+    rows = result_rows(results, [], body, names)
+    return by_position(rows, submitted.select("seq_id", "pos"), "sequence_number", "pos").select(
+        "seq_id", "peptide", F.col("netmhciipan_ba_percentile").alias("percentile"))
+
+
+def binder_summary(targets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(seq_id, n_wb_lt10pct, rank) of all targets, fewest binders first.
+
+    ``targets`` has seq_id and pos; ties keep the order of the submission.
+    """
+    counted = cov.binder_count(targets, pairs, "seq_id", "percentile", name="n_wb_lt10pct")
+    placed = counted.join(targets.select("seq_id", "pos"), "seq_id")
+    return rank_ascending(placed, [], ["n_wb_lt10pct", "pos"]).drop("pos")
+
+
+def coverage_summary(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """The coverage table of the report from binder pairs and peptide scores."""
+    bridge = cov.binders(pairs, "seq_id", "peptide", "percentile")
+    rolled = cov.coverage(bridge, scores, "seq_id", "peptide", "combined_score")
+    return rolled.select(
+        F.col("seq_id").alias("id"), F.col("n_scored").alias("n_peptides_scored"),
+        fixed_decimals("min_score", 2).alias("min_combined_score"),
+        F.col("n_below").alias("n_below_43"), "status", F.col("verdict").cast("int").alias("cd4_pass"))

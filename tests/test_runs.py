@@ -1,0 +1,80 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from sievespan import constants as C
+from sievespan.plans import funnel, peptides, runs
+from sievespan.sinks.writers import read_audit
+from sievespan.sources import documents, evidence
+from test_peptides import IDS, evidence as tables
+
+
+@pytest.fixture
+def roster(spark, tmp_path):
+    lines = ["id,seq_24aa,full_37aa," + ",".join(C.RECEPTORS)]
+    lines += [f"{i},AA,{C.PEPTIDE_PREFIX}AA" + ",0.5" * 7 for i in reversed(IDS)]
+    (tmp_path / "roster.csv").write_text("\n".join(lines) + "\n")
+    return evidence.read_roster(spark, str(tmp_path / "roster.csv"))
+
+
+def test_run_writes_its_outputs_and_resumes(spark, tmp_path, roster):
+    folder, order = str(tmp_path / "run"), ["04", "03", "05", "01"]
+    assert runs.last_checkpoint(spark, folder, order) is None
+    frame = runs.run_triage(roster, tables(spark), folder, order)
+    assert rows(frame.where("outcome = 'pending'").select("id")) == {("n_5",)}
+    batch = "".join(f.read_text() for f in (tmp_path / "run" / "pending" / "batch=1").glob("part-*"))
+    assert batch == f">n_5\n{C.PEPTIDE_PREFIX}AA\n"
+    assert rows(evidence.read_ids(spark, f"{folder}/alive_after_03")) == {("n_1",), ("n_2",), ("n_4",)}
+    assert rows(read_audit(spark, f"{folder}/audit")) == {("n_3", "03_aggregation"), ("n_4", "01_pose_check")}
+    assert spark.read.parquet(f"{folder}/final_results").count() == 5
+    stage, alive = runs.last_checkpoint(spark, folder, order)
+    assert stage == "01" and rows(alive) == {("n_1",), ("n_2",)}
+    again = runs.run_triage(roster, tables(spark), folder, order, replay=True)
+    assert again.where("outcome = 'pending'").isEmpty()
+
+
+def test_immunogenicity_tables(spark):
+    body = json.dumps({
+        "table_columns": [{"name": n} for n in ("sequence_number", "peptide", "start", "netmhciipan_ba_percentile")],
+        "table_data": [[1, "P1", 1, 10.0], [1, "P2", 2, 9.9], [2, "P3", 1, "-"], [2, "P4", 2, None], [3, "P2", 1, 3.5]]})
+    submitted = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "seq_id string, pos long")
+    pairs = peptides.binder_pairs(spark.createDataFrame([(body,)], "body string"), "body", submitted)
+    assert rows(peptides.binder_summary(submitted, pairs)) == {("y", 0, 1), ("z", 1, 2), ("x", 2, 3)}
+    scores = spark.createDataFrame([("P2", 31.045), ("P2", 50.0)], "peptide string, combined_score double")
+    got = rows(peptides.coverage_summary(pairs, scores))
+    low = f"{31.045:.2f}"
+    assert got == {("x", 2, low, 1, "tested", 0), ("z", 2, low, 1, "tested", 0)}
+
+
+def test_folding_jobs(spark, tmp_path, roster):
+    body = {"dialect": "d", "version": 1, "name": "t", "modelSeeds": [1],
+            "sequences": [{"protein": {"id": "A", "sequence": "MM", "modifications": [{"ptmType": "P", "ptmPosition": 1}],
+                                       "unpairedMsa": "", "pairedMsa": "", "templates": ["t"]}}]}
+    for r in ("CTR", "CGRP"):
+        (tmp_path / r / "x_ag").mkdir(parents=True)
+        (tmp_path / r / "x_ag" / "x_data.json").write_text(json.dumps(body))
+    templates = documents.read_templates(spark, str(tmp_path / "*" / "*_ag" / "*_data.json"))
+    ids = spark.createDataFrame([("n_1",), ("n_2",)], "id string")
+    done = spark.createDataFrame([("n_2", "CGRP")], "id string, receptor string")
+    full = C.PEPTIDE_PREFIX + "AA"
+    alignment = spark.createDataFrame([("n_1", 0, True, "query", full), ("n_1", 1, False, "h", "-" * len(full))],
+                                      "id string, at int, is_query boolean, header string, row string")
+    made = runs.folding_jobs(roster, ids, ["CTR", "CGRP"], templates, alignment, done)
+    got = {r["job"]: r["document"] for r in made.collect()}
+    assert got.keys() == {"n_1_CTR", "n_1_CGRP", "n_2_CTR"}
+    peptide = got["n_1_CTR"]["sequences"][1]["protein"]
+    assert peptide["unpairedMsa"] == f">query\n{full}X\n>h\n{'-' * (len(full) + 1)}\n"
+    assert got["n_2_CTR"]["sequences"][1]["protein"]["unpairedMsa"] == f">query\n{full}X\n"
+    assert got["n_2_CTR"]["modelSeeds"] == [1]
+    assert rows(runs.unaligned(ids, alignment)) == {("n_2",)}
+
+    with pytest.raises(ValueError, match="not in the roster: q"):
+        runs.folding_jobs(roster, spark.createDataFrame([("q",)], "id string"), ["CTR"], templates)
+    with pytest.raises(ValueError, match="one template: AM1R"):
+        runs.folding_jobs(roster, ids, ["CTR", "AM1R"], templates)
+    with pytest.raises(ValueError, match="do not start"):
+        runs.folding_jobs(roster, ids, ["CTR"], templates, alignment.withColumn("row", F.lit("ZZ")))
+    with pytest.raises(ValueError, match="full sequence"):
+        runs.folding_jobs(roster.withColumn("seq_24aa", F.lit("CC")), ids, ["CTR"], templates)
