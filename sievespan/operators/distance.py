@@ -109,8 +109,12 @@ def _compare_points(near: DataFrame, celled: DataFrame, keys: list[str], coords:
             *keys, *[F.col(f"_{i}").alias(f"_{side}{i}") for i in axes],
             *[F.col(c).alias(f"_x{side}{i}") for i, c in enumerate(coords)])
 
+    # few bytes but up to LEAF_PAIRS comparisons per row, so the rows are spread
+    # over all tasks; a given number of partitions is not merged again
+    cells = [*keys, *[f"_{s}{i}" for s in "ab" for i in axes]]
+    tasks = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d2 = _squared([F.col(f"_xa{i}") for i in axes], [F.col(f"_xb{i}") for i in axes])
-    return (near.select(*keys, *[f"_{s}{i}" for s in "ab" for i in axes])
+    return (near.select(*cells).repartition(tasks, *cells)
             .join(points("a"), [*keys, *[f"_a{i}" for i in axes]])
             .join(points("b"), [*keys, *[f"_b{i}" for i in axes]])
             .groupBy(*keys).agg(F.min(d2).alias("min_sq")))

@@ -10,14 +10,20 @@ CHAIN = PEPTIDE_CHAINS[0]
 
 def job_matrix(ids: DataFrame, id_col: str, keys: list[str], key_col: str,
                done: DataFrame | None = None) -> DataFrame:
-    """Every id with every key of a fixed list, less the pairs already done.
+    """Every row of ``ids`` with every key of a fixed list, less the pairs done.
 
-    The keys are a short parameter, so each id row is repeated in place.
+    Adds ``key_col`` and ``job``. The keys are a short parameter: what is done
+    of an id is at most that list, so it is joined as one row per id, and rows
+    are multiplied only after the join.
     """
-    jobs = ids.select(id_col, F.explode(F.array(*[F.lit(k) for k in keys])).alias(key_col))
+    todo = F.array(*[F.lit(k) for k in keys])
     if done is not None:
-        jobs = jobs.join(done.select(id_col, key_col), [id_col, key_col], "left_anti")
-    return jobs.withColumn("job", job_name(id_col, key_col))
+        per_id = (done.where(F.col(key_col).isin(keys)).groupBy(id_col)
+                  .agg(F.collect_set(key_col).alias("_done")))
+        ids = ids.join(per_id, id_col, "left")
+        todo = F.filter(todo, lambda k: ~F.coalesce(F.array_contains("_done", k), F.lit(False)))
+    jobs = ids.withColumn(key_col, F.explode(todo)).withColumn("job", job_name(id_col, key_col))
+    return jobs.drop("_done")
 
 
 def folding_sequence(seq: str) -> Column:

@@ -80,7 +80,7 @@ def folding_jobs(roster: DataFrame, ids: DataFrame, receptors: list[str], templa
                      "alignments that do not start with the peptide")
         capped = jobs.alignment_text(jobs.add_cap_column(mine), "id").withColumnRenamed("msa", "_msa")
         texts = peptides.join(capped, "id", "left").select("id", F.coalesce("_msa", query).alias("msa"))
-    full = (todo.join(peptides, "id").join(texts, "id")
+    full = (todo.join(texts, "id")
             .select("receptor", "job", jobs.folding_sequence("seq_24aa").alias("sequence"), "msa"))
     return jobs.job_documents(full, templates, "receptor", "sequence", "msa", seed)
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import job_id, job_key, listed_ids, token_pairs
+from ..functions.text import job_id, job_key, job_name, listed_ids, token_pairs
 from ..functions.windows import sliding_windows
 from ..operators import coverage as cov
 from ..operators.containment import contained_pairs
@@ -448,7 +448,7 @@ def jobs_open(spark, folder):
     customers = table(spark, folder, "customer").select("c_custkey", "c_name")
     done = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
     jobs = job_matrix(customers, "c_custkey", PRIORITIES, "o_orderpriority", done)
-    named = jobs.join(customers, "c_custkey").withColumn("job", F.concat_ws("_", "c_name", "o_orderpriority"))
+    named = jobs.withColumn("job", job_name("c_name", "o_orderpriority"))
     return named.select("c_name", "o_orderpriority", "job",
                         job_id("job").alias("job_id"), job_key("job").alias("job_key"))
 

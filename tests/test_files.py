@@ -123,10 +123,12 @@ def test_templates_and_job_documents(spark, tmp_path):
     assert rows(jobs.templates_with_chain(templates, "receptor")) == {("AMY1R",)}
 
     ids = spark.createDataFrame([("pep_1", "AAC")], "id string, seq string")
-    todo = jobs.job_matrix(ids, "id", ["CTR", "CGRP"], "receptor",
-                           spark.createDataFrame([("pep_1", "CGRP")], "id string, receptor string"))
-    assert rows(todo) == {("pep_1", "CTR", "pep_1_CTR")}
-    full = todo.join(ids, "id").select("receptor", "job", jobs.folding_sequence("seq").alias("sequence"),
+    finished = spark.createDataFrame([("pep_1", "CGRP"), ("pep_1", "XX"), ("q", "CTR")], "id string, receptor string")
+    todo = jobs.job_matrix(ids, "id", ["CTR", "CGRP"], "receptor", finished)
+    assert rows(todo) == {("pep_1", "AAC", "CTR", "pep_1_CTR")}
+    assert jobs.job_matrix(ids, "id", ["CGRP"], "receptor", finished).isEmpty()
+    assert jobs.job_matrix(ids, "id", ["CTR", "CGRP"], "receptor").count() == 2
+    full = todo.select("receptor", "job", jobs.folding_sequence("seq").alias("sequence"),
                                        jobs.query_only_alignment("seq").alias("msa"))
     made = jobs.job_documents(full, templates, "receptor", "sequence", "msa", seed=9)
     writers.write_job_documents(made, str(tmp_path / "jobs"))
