@@ -25,9 +25,8 @@ def listed_ids(text: str | Column) -> Column:
 
 
 def tokens(line: str | Column) -> Column:
-    """Words of a line, split on any white space; [] for a blank line."""
-    column = F.col(line) if isinstance(line, str) else line
-    return F.filter(F.split(column, r"\s+"), lambda x: x != "")
+    """Words of a line, split on any white space; one empty word for a blank line."""
+    return F.split(stripped(line), r"\s+")
 
 
 def token_pairs(line: str | Column) -> Column:
@@ -37,17 +36,13 @@ def token_pairs(line: str | Column) -> Column:
     the whole map empty; of a repeated name the last value counts.
     """
     words = tokens(line)
-    pairs = F.floor(F.size(words) / 2).cast("int")
-    names = F.transform(F.sequence(F.lit(1), pairs), lambda i: F.element_at(words, i * 2 - 1))
-    values = F.transform(F.sequence(F.lit(1), pairs),
-                         lambda i: F.element_at(words, i * 2).try_cast("double"))
-    last = F.filter(
-        F.zip_with(names, F.sequence(F.lit(1), pairs), lambda n, i: F.struct(n.alias("n"), i.alias("i"))),
-        lambda e: ~F.array_contains(F.slice(names, e["i"] + 1, F.size(names)), e["n"]))
-    entries = F.transform(last, lambda e: F.struct(e["n"], F.element_at(values, e["i"].cast("int"))))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    bad = F.exists(values, lambda v: v.isNull())
-    return F.when((pairs > 0) & ~bad, F.map_from_entries(entries)).otherwise(empty)
+    names = F.filter(F.slice(words, 1, F.size(words) - F.size(words) % 2), lambda w, i: i % 2 == 0)
+    values = F.filter(words, lambda w, i: i % 2 == 1)
+    pairs = F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), v.try_cast("double").alias("value")))
+    empty = F.create_map().cast("map<string,double>")
+    mapped = F.reduce(pairs, empty, lambda found, p: F.map_concat(
+        F.map_filter(found, lambda k, v: k != p["name"]), F.create_map(p["name"], p["value"])))
+    return F.when(F.exists(pairs, lambda p: p["value"].isNull()), empty).otherwise(mapped)
 
 
 def job_name(id_col: str, key_col: str) -> Column:

@@ -219,10 +219,9 @@ FROM (SELECT user_id, round(sum(value), 2) AS score_total FROM events GROUP BY u
 LEFT JOIN (SELECT user_id, count(*) AS n_runs, max(run_length) AS longest_run, max(run_max) AS highest
            FROM ({_runs_sql(50)}) GROUP BY user_id) r ON r.user_id = t.user_id""")
 def run_rollup(spark, folder):
-    track = _track(spark, folder)
-    runs = find_runs(track, "user_id", "pos", "value", 50.0, 5)
-    users = track.select("user_id").distinct()
-    return (run_summary(users, track, runs, "user_id", "value")
+    runs = find_runs(_track(spark, folder), "user_id", "pos", "value", 50.0, 5)
+    events = table(spark, folder, "events")
+    return (run_summary(events.select("user_id").distinct(), events, runs, "user_id", "value")
             .withColumn("score_total", F.round("score_total", 2)))
 
 

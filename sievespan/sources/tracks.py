@@ -6,7 +6,7 @@ from ..functions.text import tokens
 
 
 def profile_lines(lines: DataFrame, keys: list[str], line: str, min_tokens: int = 6) -> DataFrame:
-    """keys and ``tok`` (words of the line) for lines with enough words."""
+    """keys and ``tok`` (words of the line) for lines with ``min_tokens`` words or more."""
     return (lines.select(*keys, tokens(line).alias("tok"))
             .where(F.size("tok") >= min_tokens))
 
