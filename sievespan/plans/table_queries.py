@@ -587,7 +587,7 @@ def submitted_order(spark, folder):
     return by_position(rows, submitted, "sequence_number", "pos")
 
 
-@query("SELECT page_id, length(html) - length(replace(html, '>', '')) AS depth FROM pages")
+@query("SELECT page_id, CAST(length(html) - length(replace(html, '>', '')) AS INT) AS depth FROM pages")
 def msa_depth(spark, folder):
     return table(spark, folder, "pages").select("page_id", alignment_depth("html").alias("depth"))
 
@@ -617,16 +617,14 @@ def derived_scores(spark, folder):
 
 @query("""
 SELECT c.c_custkey || '_' || n.n_name AS job,
-       to_json({'name': c.c_custkey || '_' || n.n_name, 'modelSeeds': [7], 'sequences': [
-         {'protein': {'id': 'A', 'sequence': n.n_name}},
+       CAST(to_json({'name': c.c_custkey || '_' || n.n_name, 'modelSeeds': [7], 'sequences': [
+         {'protein': {'id': 'A', 'sequence': n.n_name, 'modifications': [], 'unpairedMsa': '',
+                      'pairedMsa': '', 'templates': []}},
          {'protein': {'id': 'L', 'sequence': 'KCNTATCATQRLA' || c.c_mktsegment || 'X',
                       'modifications': [{'ptmType': 'NH2', 'ptmPosition': length(c.c_mktsegment) + 14}],
                       'unpairedMsa': '>query' || chr(10) || c.c_mktsegment || chr(10),
-                      'pairedMsa': '', 'templates': CAST([] AS VARCHAR[])}}]}) AS body
-FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey""".replace(
-    "{'protein': {'id': 'A', 'sequence': n.n_name}},",
-    "{'protein': {'id': 'A', 'sequence': n.n_name, 'modifications': [], 'unpairedMsa': '', "
-    "'pairedMsa': '', 'templates': []}},"))
+                      'pairedMsa': '', 'templates': CAST([] AS VARCHAR[])}}]}) AS VARCHAR) AS body
+FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey""")
 def job_manifest(spark, folder):
     """A job document per customer: the nation's template with the peptide appended."""
     cap = F.array().cast("array<struct<ptmType:string,ptmPosition:int>>")
