@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.windows import sliding_windows
 
 ANCHOR_WORDS = 4
+MAX_LISTED = 10_000   # different anchors that are looked up without a join
 
 
 def _phrase(words: int) -> str:
@@ -17,36 +18,54 @@ def _phrase(words: int) -> str:
 
 def contained_pairs(texts: DataFrame, text_id: str, text: str,
                     patterns: DataFrame, pattern_id: str, pattern: str,
-                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+                    anchor_words: int = ANCHOR_WORDS, max_listed: int = MAX_LISTED) -> DataFrame:
     """Pairs (text_id, pattern_id) where the text holds the pattern literally.
 
     Comparing every text with every pattern is a cross join. Instead a pattern
-    is found by its first phrase of ``anchor_words`` whole words with white
-    space around them, which any text that holds the pattern has too: phrase
-    hashes are joined for equality, then the few candidates are checked on the
-    whole text. Patterns without such a phrase are found by their leading
-    characters instead.
+    is found by its anchor, the first phrase of ``anchor_words`` whole words
+    with white space around them, which any text that holds the pattern has
+    too; what is found is then checked on the whole text.
+
+    Up to ``max_listed`` different anchors are looked up while a text is read,
+    so texts are neither moved nor repeated unless an anchor occurs in them.
+    More anchors are joined by hash. Patterns without such a phrase are found
+    by their leading characters.
     """
     if patterns.where(F.length(pattern) == 0).limit(1).count():
         raise ValueError("empty patterns occur in every text")
     known = patterns.select(pattern_id, F.col(pattern).alias("_pattern"))
     phrase = _phrase(anchor_words)
     first = F.regexp_extract("_pattern", phrase, 1)
+    anchored = known.where(first != "").withColumn("_anchor", F.xxhash64(first))
+    found = F.regexp_extract_all(text, F.lit(phrase), F.lit(1))
 
-    anchors = known.where(first != "").select(pattern_id, F.xxhash64(first).alias("_anchor"))
-    phrases = texts.select(text_id, F.explode(F.regexp_extract_all(text, F.lit(phrase), F.lit(1))).alias("_p"))
-    candidates = (phrases.select(text_id, F.xxhash64("_p").alias("_anchor"))
-                  .join(anchors, "_anchor").select(text_id, pattern_id))
+    listed = [r[0] for r in anchored.select("_anchor").distinct().limit(max_listed + 1).collect()]
+    if len(listed) <= max_listed:
+        hashes = F.transform(found, lambda p: F.xxhash64(p))
+        hits = texts.select(text_id, text, F.explode(F.array_distinct(
+            F.filter(hashes, lambda h: h.isin(listed)))).alias("_anchor"))
+        pairs = (hits.join(anchored, "_anchor")
+                 .where(F.contains(F.col(text), F.col("_pattern"))).select(text_id, pattern_id))
+    else:
+        phrases = texts.select(text_id, F.explode(found).alias("_p"))
+        candidates = (phrases.select(text_id, F.xxhash64("_p").alias("_anchor"))
+                      .join(anchored.select("_anchor", pattern_id), "_anchor"))
+        pairs = _checked(candidates, texts, text_id, text, known, pattern_id)
 
     short = known.where(first == "")
     shortest = short.agg(F.min(F.length("_pattern"))).first()[0]
     if shortest is not None:
         heads = short.select(pattern_id, F.substring("_pattern", 1, shortest).alias("window"))
         spots = sliding_windows(texts, text_id, text, shortest).select(text_id, "window").distinct()
-        candidates = candidates.unionByName(spots.join(heads, "window").select(text_id, pattern_id))
+        pairs = pairs.unionByName(_checked(spots.join(heads, "window"), texts, text_id, text, known, pattern_id))
+    return pairs
+
 
+def _checked(candidates: DataFrame, texts: DataFrame, text_id: str, text: str,
+             known: DataFrame, pattern_id: str) -> DataFrame:
+    """The candidate pairs that hold on the whole text."""
     return (
-        candidates.distinct()
+        candidates.select(text_id, pattern_id).distinct()
         .join(known, pattern_id)
         .join(texts.select(text_id, text), text_id)
         .where(F.contains(F.col(text), F.col("_pattern")))

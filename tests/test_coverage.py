@@ -86,7 +86,8 @@ def test_rank_and_batches(spark):
     assert rows(numbers) == {(1, 50), (2, 50), (3, 1)}
 
 
-def test_containment_against_plain_search(spark):
+@pytest.mark.parametrize("listed", [0, 10_000])
+def test_containment_against_plain_search(spark, listed):
     rng = random.Random(5)
     words = ["ab", "abc", "b", "ca", "cab", "x.", "ab,"]
     texts = [(i, rng.choice(["", " "]).join([""]) + rng.choice([" ", "  ", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(1, 30))))
@@ -98,7 +99,8 @@ def test_containment_against_plain_search(spark):
         patterns.append((i, source[begin:begin + rng.randrange(1, 40)]))
     patterns += [(100, "zzz"), (101, "ab ab ab ab ab ab ab ab zz")]
     got = rows(contained_pairs(spark.createDataFrame(texts, "doc int, text string"), "doc", "text",
-                               spark.createDataFrame(patterns, "item int, text string"), "item", "text"))
+                               spark.createDataFrame(patterns, "item int, text string"), "item", "text",
+                               max_listed=listed))
     assert got == {(d, p) for d, t in texts for p, s in patterns if s in t}
 
 
@@ -108,3 +110,9 @@ def test_containment_of_long_patterns_only(spark):
     assert rows(contained_pairs(texts, "d", "t", patterns, "p", "s")) == {(1, 7)}
     with pytest.raises(ValueError):
         contained_pairs(texts, "d", "t", spark.createDataFrame([(1, "")], "p int, s string"), "p", "s")
+
+
+def test_containment_of_short_patterns_only(spark):
+    texts = spark.createDataFrame([(1, "xaby"), (2, "ab"), (3, "b a")], "d int, t string")
+    patterns = spark.createDataFrame([(7, "ab"), (8, "b")], "p int, s string")
+    assert rows(contained_pairs(texts, "d", "t", patterns, "p", "s")) == {(1, 7), (2, 7), (1, 8), (2, 8), (3, 8)}
