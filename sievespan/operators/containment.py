@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.windows import sliding_windows
 
 ANCHOR_WORDS = 4
-MAX_LISTED = 10_000   # different anchors that are looked up without a join
+MAX_LISTED = 10_000       # different anchors that are looked up without a join,
+MAX_BROADCAST = 64 << 20  # for patterns of so many bytes at most
 
 
 def _phrase(words: int) -> str:
@@ -27,11 +28,12 @@ def contained_pairs(texts: DataFrame, text_id: str, text: str,
     too; what is found is then checked on the whole text.
 
     Up to ``max_listed`` different anchors are looked up while a text is read,
-    so texts are neither moved nor repeated unless an anchor occurs in them.
-    More anchors are joined by hash. Patterns without such a phrase are found
+    and the patterns, whose size is checked, are sent to all tasks: texts are
+    not moved. More or larger patterns are joined by hash. Patterns without such a phrase are found
     by their leading characters.
     """
-    if patterns.where(F.length(pattern) == 0).limit(1).count():
+    least, size = patterns.agg(F.min(F.length(pattern)), F.sum(F.octet_length(pattern))).first()
+    if least == 0:
         raise ValueError("empty patterns occur in every text")
     known = patterns.select(pattern_id, F.col(pattern).alias("_pattern"))
     phrase = _phrase(anchor_words)
@@ -40,11 +42,11 @@ def contained_pairs(texts: DataFrame, text_id: str, text: str,
     found = F.regexp_extract_all(text, F.lit(phrase), F.lit(1))
 
     listed = [r[0] for r in anchored.select("_anchor").distinct().limit(max_listed + 1).collect()]
-    if len(listed) <= max_listed:
+    if len(listed) <= max_listed and (size or 0) <= MAX_BROADCAST:
         hashes = F.transform(found, lambda p: F.xxhash64(p))
         hits = texts.select(text_id, text, F.explode(F.array_distinct(
             F.filter(hashes, lambda h: h.isin(listed)))).alias("_anchor"))
-        pairs = (hits.join(anchored, "_anchor")
+        pairs = (hits.join(F.broadcast(anchored), "_anchor")
                  .where(F.contains(F.col(text), F.col("_pattern"))).select(text_id, pattern_id))
     else:
         phrases = texts.select(text_id, F.explode(found).alias("_p"))
