@@ -13,7 +13,7 @@ from ..operators.pivots import pivot_filled
 from ..operators.segments import find_runs, run_summary, run_text
 from ..sources import evidence as src
 from ..sources.documents import by_position, result_rows
-from .funnel import run_funnel
+from .funnel import ELIMINATED, run_funnel
 
 
 @dataclass(frozen=True)
@@ -62,13 +62,17 @@ def triage(roster: DataFrame, evidence: Evidence, order: list[str] | None = None
 
 def integrated_report(roster: DataFrame, evidence: Evidence, order: list[str] | None = None,
                       with_stage: bool = True) -> DataFrame:
-    """The wide report, one row per candidate.
+    """The wide report, one row per candidate."""
+    return report_of(triage(roster, evidence, order), evidence.coverage, with_stage)
+
+
+def report_of(frame: DataFrame, coverage: DataFrame, with_stage: bool = True) -> DataFrame:
+    """The wide report of a triaged roster.
 
     ``cd4_pass`` is true for candidates the coverage table does not name and
     NULL for those whose coverage is incomplete; it does not gate.
     """
-    frame = triage(roster, evidence, order)
-    cd4 = evidence.coverage.select("id", F.col("cd4_pass").alias("_cd4"), F.lit(True).alias("_covered"))
+    cd4 = coverage.select("id", F.col("cd4_pass").alias("_cd4"), F.lit(True).alias("_covered"))
     joined = frame.join(cd4, "id", "left")
     safe = F.col(pass_column("03")) & F.col(pass_column("05")) & F.col(pass_column("04"))
     docked = F.col(pass_column("01"))
@@ -86,7 +90,8 @@ def integrated_report(roster: DataFrame, evidence: Evidence, order: list[str] |
         name = F.lit("")
         for code, text in STAGE_NAMES.items():
             name = F.when(F.col("at_stage") == code, text).otherwise(name)
-        columns.append(name.alias("eliminated_at_stage"))
+        out = F.col("outcome") == ELIMINATED
+        columns.append(F.when(out, name).otherwise("").alias("eliminated_at_stage"))
     return joined.select(*columns)
 
 

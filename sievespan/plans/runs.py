@@ -11,9 +11,7 @@ from ..sinks import writers
 from ..sources.documents import repeated_templates
 from ..sources.evidence import read_ids
 from . import funnel
-from .peptides import Evidence, integrated_report, triage
-
-PENDING_STAGE = "04"
+from .peptides import Evidence, report_of, triage
 
 
 def run_triage(roster: DataFrame, evidence: Evidence, folder: str,
@@ -31,7 +29,7 @@ def run_triage(roster: DataFrame, evidence: Evidence, folder: str,
     for stage in order:
         writers.write_ids(funnel.alive_after(frame, order, stage), f"{folder}/alive_after_{stage}")
     writers.append_audit(funnel.funnel_audit(frame, names=STAGE_NAMES), f"{folder}/audit")
-    writers.write_report(integrated_report(roster, evidence, order), f"{folder}/final_results")
+    writers.write_report(report_of(frame, evidence.coverage), f"{folder}/final_results")
     waiting = frame.where(F.col("outcome") == funnel.PENDING)
     if not waiting.isEmpty():
         batches = writers.fasta_batches(waiting, "id", "full_37aa", ["roster_pos"])

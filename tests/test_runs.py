@@ -28,7 +28,9 @@ def test_run_writes_its_outputs_and_resumes(spark, tmp_path, roster):
     assert batch == f">n_5\n{C.PEPTIDE_PREFIX}AA\n"
     assert rows(evidence.read_ids(spark, f"{folder}/alive_after_03")) == {("n_1",), ("n_2",), ("n_4",)}
     assert rows(read_audit(spark, f"{folder}/audit")) == {("n_3", "03_aggregation"), ("n_4", "01_pose_check")}
-    assert spark.read.parquet(f"{folder}/final_results").count() == 5
+    report = spark.read.parquet(f"{folder}/final_results")
+    assert rows(report.select("id", "eliminated_at_stage")) == {    # a candidate that waits is not out
+        ("n_1", ""), ("n_2", ""), ("n_3", "03_aggregation"), ("n_4", "01_pose_check"), ("n_5", "")}
     stage, alive = runs.last_checkpoint(spark, folder, order)
     assert stage == "01" and rows(alive) == {("n_1",), ("n_2",)}
     again = runs.run_triage(roster, tables(spark), folder, order, replay=True)
