@@ -3,12 +3,14 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, licenses, simhash
+from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    prepare(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -19,6 +21,28 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def op5_licenses(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    found = F.col("licenses.found")
+    base = F.filter(found, lambda d: d["base"])
+    starts = F.transform("base", lambda d: d["start"])
+
+    def labels(of):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda d: d["label"]))), ",")
+
+    return (
+        licenses.detect(docs).select("doc_id", F.col("licenses.n_words").alias("n_words"), found.alias("found"),
+                                     base.alias("base"))
+        .select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+                F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                labels("base").alias("base_labels"), labels("found").alias("labels"),
+                licenses.confidence(F.col("found")).alias("score")))
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_bpe(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     coded = bpe.round_trip(docs, tokenizer_json())
@@ -28,6 +52,8 @@ def op9_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_licenses": op5_licenses,
+    "op6_simhash": op6_simhash,
     "op9_bpe": op9_bpe,
 }
 
