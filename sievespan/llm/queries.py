@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, simhash
+from . import bpe, decontamination, licenses, simhash
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,14 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_decontamination(spark, sf_dir):
+    found = decontamination.contamination(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                          _table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        decontamination.contaminated().alias("contaminated"))
+
+
 def op9_bpe(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     coded = bpe.round_trip(docs, tokenizer_json())
@@ -54,6 +62,7 @@ def op9_bpe(spark, sf_dir):
 QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
     "op9_bpe": op9_bpe,
 }
 
