@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, licenses, simhash
+from . import bpe, decontamination, licenses, pii, simhash
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,11 +59,24 @@ def op9_bpe(spark, sf_dir):
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_pii(spark, sf_dir):
+    found = pii.find(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", base.alias("base"), "pii").select(
+        "doc_id", *[number(kind) for kind in pii.BASE_KINDS],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {}
