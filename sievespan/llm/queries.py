@@ -3,10 +3,12 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, licenses, pii, simhash
+from . import bpe, decontamination, embeddings, licenses, packing, pii, simhash
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
+END_ID = 50256    # the id that the rank file leaves free
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,6 +23,12 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def op3_packing(spark, sf_dir):
+    with open(public_tokenizers.path(RANKS), "rb") as f:
+        ranks = f.read()
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN, END_ID)
+
+
 def op5_licenses(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     found = F.col("licenses.found")
@@ -51,6 +59,10 @@ def op7_decontamination(spark, sf_dir):
                         decontamination.contaminated().alias("contaminated"))
 
 
+def op8_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_bpe(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     coded = bpe.round_trip(docs, tokenizer_json())
@@ -72,9 +84,11 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
+    "op8_embeddings": op8_embeddings,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
