@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, embeddings, licenses, packing, pii, simhash
+from . import bpe, decontamination, embeddings, licenses, packing, pii, simhash, toxicity
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,14 @@ def op3_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN, END_ID)
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_licenses(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     found = F.col("licenses.found")
@@ -85,6 +93,7 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
