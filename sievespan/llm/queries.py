@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, embeddings, licenses, packing, pii, simhash, toxicity
+from . import bpe, decontamination, embeddings, licenses, packing, pii, quality, simhash, toxicity
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,13 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def op2_quality(spark, sf_dir):
+    found = quality.scored(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"),
+                           _table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return found.select("doc_id", "own_quality", "host_posterior", "path_posterior", "quality",
+                        (F.col("quality") >= quality.THRESHOLD).alias("accepted"))
+
+
 def op3_packing(spark, sf_dir):
     with open(public_tokenizers.path(RANKS), "rb") as f:
         ranks = f.read()
@@ -92,6 +99,7 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
