@@ -26,7 +26,7 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPAC
                       rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 # white space before a space: a run of white space reaches over the space
 RUN = re.compile(f"[{SPACE}] ")
-CACHED = 1_000_000       # words kept per worker, twice; a full cache starts anew
+CACHED = 600_000         # words kept per worker, twice; a full cache starts anew
 LONGEST_CACHED = 64     # letters
 
 
@@ -188,9 +188,18 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", name: str =
 
 
 def round_trip(docs: DataFrame, tokenizer_json: str, text: str = "text") -> DataFrame:
-    """``docs`` with columns ``token_ids`` (binary) and ``decoded`` (string)."""
-    encoded = encode(docs, tokenizer_json, text)
-    return encoded.withColumn("decoded", decode_column(F.col("token_ids"), tokenizer_json))
+    """``docs`` with columns ``token_ids`` (binary) and ``decoded`` (string), the ids decoded again."""
+
+    @F.pandas_udf("struct<ids: binary, text: string>")
+    def bpe_round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(tokenizer_json)
+        for texts in batches:
+            ids = texts.map(own.encode)
+            yield pd.DataFrame({"ids": ids, "text": ids.map(own.decode)})
+
+    coded = docs.withColumn("_coded", bpe_round_trip(F.coalesce(F.col(text), F.lit(""))))
+    return (coded.withColumn("token_ids", F.col("_coded.ids"))
+            .withColumn("decoded", F.col("_coded.text")).drop("_coded"))
 
 
 def n_tokens(ids: Column) -> Column:
