@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, embeddings, licenses, packing, pii, quality, simhash, toxicity
+from . import bpe, decontamination, embeddings, licenses, packing, pii, quality, repeats, simhash, toxicity
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def op1_repeats(spark, sf_dir):
+    return repeats.passages(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_quality(spark, sf_dir):
     found = quality.scored(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"),
                            _table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -99,6 +103,7 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
