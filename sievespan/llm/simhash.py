@@ -61,8 +61,9 @@ def fingerprint_column(text: Column, size: int = SHINGLE) -> Column:
 
 def forest(prints: np.ndarray, radius: int, strip: int = STRIP) -> np.ndarray:
     """For each fingerprint the smallest one that it reaches by links among these."""
-    order = np.argsort(np.bitwise_count(prints), kind="stable")
-    own = prints[order].view(np.uint64)
+    unsigned = prints.view(np.uint64)    # of a negative number the bits of its absolute value would be counted
+    order = np.argsort(np.bitwise_count(unsigned), kind="stable")
+    own = unsigned[order]
     counts = np.bitwise_count(own).astype(np.int16)
     n = len(own)
     rows, columns = [], []
