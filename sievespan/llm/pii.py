@@ -233,16 +233,16 @@ def reliabilities(counts: list[tuple[str, tuple[int, ...], int]], rounds: int =
 def train(docs: DataFrame, text: str = "text", rounds: int = 50, ridge: float = 1.0) -> Model:
     """The span classifier fitted to the estimated labels of all proposed spans (Newton steps)."""
     counts = vote_counts(docs, text)
+    if not counts:    # nothing was learned, nothing is added
+        return Model(dict.fromkeys(KINDS, 0.0), [0.0] * len(LABELERS), -1.0)
     x = np.array([[1.0, *[float(k == kind) for k in KINDS], *votes] for kind, votes, _ in counts]).reshape(
         len(counts), 1 + len(KINDS) + len(LABELERS))
     y, weight = np.array(reliabilities(counts, rounds)), np.array([n for *_, n in counts], float)
     w = np.zeros(x.shape[1])
-    for _ in range(25 if len(counts) else 0):
+    for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + ridge * w
         w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(w)), gradient)
-    if not len(counts):
-        w[0] = -1.0    # nothing was learned, nothing is added
     return Model(dict(zip(KINDS, w[1:1 + len(KINDS)].tolist())), w[1 + len(KINDS):].tolist(), float(w[0]))
 
 
