@@ -1,12 +1,10 @@
 """Which patterns occur inside which texts."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.windows import sliding_windows
 
 ANCHOR_WORDS = 4
-MAX_LISTED = 10_000       # different anchors that are looked up without a join,
-MAX_BROADCAST = 64 << 20  # for patterns of so many bytes at most
 
 
 def _phrase(words: int) -> str:
@@ -19,48 +17,38 @@ def _phrase(words: int) -> str:
 
 def contained_pairs(texts: DataFrame, text_id: str, text: str,
                     patterns: DataFrame, pattern_id: str, pattern: str,
-                    anchor_words: int = ANCHOR_WORDS, max_listed: int = MAX_LISTED) -> DataFrame:
+                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """Pairs (text_id, pattern_id) where the text holds the pattern literally.
 
     Comparing every text with every pattern is a cross join. Instead a pattern
     is found by its anchor, the first phrase of ``anchor_words`` whole words
     with white space around them, which any text that holds the pattern has
-    too; what is found is then checked on the whole text.
+    too; what is found is then checked on the whole text. Phrases travel as
+    hashes, and those that are no anchor are dropped before any other join.
 
-    Up to ``max_listed`` different anchors are looked up while a text is read,
-    and the patterns, whose size is checked, are sent to all tasks: texts are
-    not moved. More or larger patterns are joined by hash. Patterns without such a phrase are found
-    by their leading characters.
+    Patterns without such a phrase are found by their leading characters, as
+    many as the greatest power of two that fits, so each keeps more than half.
+    The plan is the same for any number of patterns; Spark picks the joins by
+    the sizes it measures.
     """
-    least, size = patterns.agg(F.min(F.length(pattern)), F.sum(F.octet_length(pattern))).first()
-    if least == 0:
+    if not patterns.where(F.length(pattern) == 0).isEmpty():
         raise ValueError("empty patterns occur in every text")
     known = patterns.select(pattern_id, F.col(pattern).alias("_pattern"))
     phrase = _phrase(anchor_words)
     first = F.regexp_extract("_pattern", phrase, 1)
-    anchored = known.where(first != "").withColumn("_anchor", F.xxhash64(first))
-    found = F.regexp_extract_all(text, F.lit(phrase), F.lit(1))
-
-    listed = [r[0] for r in anchored.select("_anchor").distinct().limit(max_listed + 1).collect()]
-    if len(listed) <= max_listed and (size or 0) <= MAX_BROADCAST:
-        hashes = F.transform(found, lambda p: F.xxhash64(p))
-        hits = texts.select(text_id, text, F.explode(F.array_distinct(
-            F.filter(hashes, lambda h: h.isin(listed)))).alias("_anchor"))
-        pairs = (hits.join(F.broadcast(anchored), "_anchor")
-                 .where(F.contains(F.col(text), F.col("_pattern"))).select(text_id, pattern_id))
-    else:
-        phrases = texts.select(text_id, F.explode(found).alias("_p"))
-        candidates = (phrases.select(text_id, F.xxhash64("_p").alias("_anchor"))
-                      .join(anchored.select("_anchor", pattern_id), "_anchor"))
-        pairs = _checked(candidates, texts, text_id, text, known, pattern_id)
-
-    short = known.where(first == "")
-    shortest = short.agg(F.min(F.length("_pattern"))).first()[0]
-    if shortest is not None:
-        heads = short.select(pattern_id, F.substring("_pattern", 1, shortest).alias("window"))
-        spots = sliding_windows(texts, text_id, text, shortest).select(text_id, "window").distinct()
-        pairs = pairs.unionByName(_checked(spots.join(heads, "window"), texts, text_id, text, known, pattern_id))
-    return pairs
+    anchored = known.where(first != "").select(pattern_id, F.xxhash64(first).alias("_anchor"))
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(phrase), F.lit(1)), lambda p: F.xxhash64(p))
+    phrases = texts.select(text_id, F.explode(F.array_distinct(hashes)).alias("_anchor"))
+    candidates = (phrases.join(anchored.select("_anchor").distinct(), "_anchor", "left_semi")
+                  .join(anchored, "_anchor").select(text_id, pattern_id))
+
+    short = known.where(first == "").withColumn("_size", F.floor(F.log2(F.length("_pattern"))).cast("int"))
+    for size, in short.select("_size").distinct().orderBy("_size").collect():    # at most 31
+        heads = short.where(F.col("_size") == size).select(pattern_id, F.left("_pattern", F.lit(1 << size)).alias("window"))
+        spots = sliding_windows(texts, text_id, text, 1 << size).select(text_id, "window")
+        spots = spots.join(heads.select("window").distinct(), "window", "left_semi").distinct()
+        candidates = candidates.unionByName(spots.join(heads, "window").select(text_id, pattern_id))
+    return _checked(candidates, texts, text_id, text, known, pattern_id)
 
 
 def _checked(candidates: DataFrame, texts: DataFrame, text_id: str, text: str,

@@ -57,3 +57,13 @@ def test_empty_sides(spark):
     assert {r[0]: r[1] for r in got.collect()} == {"p": 5.0, "q": 999.0, "r": 999.0}
     none = min_distance(roster, a.limit(0), b.limit(0), ["k"], ["x", "y", "z"])
     assert {r[1] for r in none.collect()} == {999.0}
+
+
+def test_a_far_key_and_points_that_are_no_numbers(spark):
+    rng = random.Random(5)
+    a, b = ([("k", rng.random(), rng.random(), 0.0) for _ in range(300)] for _ in "ab")
+    odd = [("far", 1e16, 0.0, 0.0), ("k", float("inf"), 0.0, 0.0), ("k", float("nan"), 0.0, 0.0), ("k", None, 0.0, 0.0)]
+    got = min_distance_squared(spark.createDataFrame(a + odd, SCHEMA), spark.createDataFrame(b + odd, SCHEMA),
+                               ["k"], ["x", "y", "z"], leaf_pairs=64)
+    got = {r[0]: r[1] for r in got.collect()}
+    assert got["far"] == 0 and got["k"] == pytest.approx(nearest(a, b)["k"], rel=1e-12) and len(got) == 2
