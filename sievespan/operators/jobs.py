@@ -43,10 +43,11 @@ def query_only_alignment(seq: str) -> Column:
 
 
 def query_mismatch(alignment: DataFrame, peptides: DataFrame, key: str, full: str) -> DataFrame:
-    """Ids whose alignment does not start with their full sequence."""
+    """Ids whose alignment does not start with their full sequence, or has no query at all."""
     query = alignment.where("is_query").select(key, stripped("row").alias("_query"))
-    return (peptides.select(key, full).join(query, key)
-            .where(F.col("_query") != F.col(full)).select(key))
+    aligned = peptides.select(key, full).join(alignment.select(key).distinct(), key)
+    return (aligned.join(query, key, "left")
+            .where(~F.col("_query").eqNullSafe(F.col(full))).select(key).distinct())
 
 
 def add_cap_column(alignment: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def alignment_text(alignment: DataFrame, key: str) -> DataFrame:
     """The records of an alignment as one text per id, in file order.
 
     An alignment is one field of a job document, so it is a text of its own by
-    design; the ids, not the records, are what grows.
+    design and has to fit into one row; the ids, not the records, are what grows.
     """
     record = F.concat(F.lit(">"), F.col("header"), F.lit("\n"), F.col("row"), F.lit("\n"))
     rows = alignment.select(key, F.struct("at", record.alias("record")).alias("_r"))
@@ -90,26 +91,51 @@ def peptide_entity(sequence: Column, msa: Column) -> Column:
 
 
 def templates_with_chain(templates: DataFrame, key: str, chain: str = CHAIN) -> DataFrame:
-    """Keys of templates that already have the chain, as any kind of entity."""
-    entity = templates.schema["document"].dataType["sequences"].dataType.elementType
-    taken = F.exists(F.col("document")["sequences"],
-                     lambda e: F.coalesce(*[e[kind]["id"] for kind in entity.names]) == chain)
-    return templates.where(taken).select(key)
+    """Keys of templates that already have the chain, as any kind of entity.
+
+    An entity names one chain or a list of them.
+    """
+    entities = F.from_json("document", "struct<sequences: array<map<string, struct<id: string>>>>")["sequences"]
+    one = F.lit(chain)
+    listed = F.lit(f'"{chain}"')
+    taken = F.exists(entities, lambda e: F.exists(F.map_values(e), lambda v: (v["id"] == one) | v["id"].contains(listed)))
+    return templates.where(F.coalesce(taken, F.lit(False))).select(key)
 
 
 def job_documents(jobs: DataFrame, templates: DataFrame, key_col: str, sequence: str, msa: str,
                   seed: int | None = None) -> DataFrame:
     """(job, document) with the peptide appended to the template of the job's key.
 
-    ``templates`` has one row per key and a ``document`` struct; the document
-    keeps all its fields, and gets the job's name and, if given, the seed.
+    ``templates`` has one row per key and the template's JSON text, ``document``.
+    The text is taken apart only as far as needed: the entities and all other
+    fields are passed on as they are, whatever they hold. The new document has
+    the job's name and, if given, the seed. It is JSON text too.
     """
-    entity_type = templates.schema["document"].dataType["sequences"].dataType.elementType
-    peptide = F.from_json(F.to_json(peptide_entity(F.col(sequence), F.col(msa))), entity_type)
-    document = F.col("document")
-    changed = document.withField("name", F.col("job")).withField(
-        "sequences", F.array_append(document["sequences"], peptide))
+    replaced = ["name", "sequences"] + ["modelSeeds"] * (seed is not None)
+    fields = templates.select(key_col, F.parse_json("document").alias("_v")).lateralJoin(
+        templates.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    rest = (fields.where(~F.col("key").isin(replaced)).groupBy(key_col)
+            .agg(F.array_sort(F.collect_list(F.concat(_quoted("key"), F.lit(":"), F.to_json("value")))).alias("_rest")))
+    entities = F.from_json("document", "struct<sequences: array<string>>")["sequences"]
+    parts = templates.select(key_col, F.coalesce(entities, F.array().cast("array<string>")).alias("_entities")).join(
+        rest, key_col, "left")
+
+    head = [F.struct(F.col("job").alias("name"))]
     if seed is not None:
-        seeds = templates.schema["document"].dataType["modelSeeds"].dataType
-        changed = changed.withField("modelSeeds", F.array(F.lit(seed)).cast(seeds))
-    return jobs.join(templates, key_col).select("job", changed.alias("document"))
+        head.append(F.struct(F.array(F.lit(seed)).alias("modelSeeds")))
+    texts = [F.array(*[_inside(F.to_json(h)) for h in head]), F.coalesce("_rest", F.array().cast("array<string>")),
+             F.array(F.concat(F.lit('"sequences":['), F.array_join(F.array_append(
+                 "_entities", F.to_json(peptide_entity(F.col(sequence), F.col(msa)))), ","), F.lit("]")))]
+    document = F.concat(F.lit("{"), F.array_join(F.concat(*texts), ","), F.lit("}"))
+    return jobs.join(parts, key_col).select("job", document.alias("document"))
+
+
+def _inside(json: Column) -> Column:
+    """The fields of a JSON object, without its braces."""
+    return json.substr(F.lit(2), F.length(json) - 2)
+
+
+def _quoted(name: str) -> Column:
+    """A text as a JSON string."""
+    array = F.to_json(F.array(name))
+    return _inside(array)

@@ -7,17 +7,18 @@ def read_alignments(spark: SparkSession, paths) -> DataFrame:
     """(id, at, is_query, header, row) of every record; the id is the file's name.
 
     Records are split at ``>`` by the reader itself, so a large alignment is
-    read by several tasks. ``at`` orders the records of a file.
+    read by several tasks. ``at`` orders the records of a file, and the first
+    one is the query. Blank lines and carriage returns don't count.
     """
     records = spark.read.option("lineSep", "\n>").text(paths).select(
         F.regexp_extract("_metadata.file_name", r"^(.*?)(\.a3m)?$", 1).alias("id"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"), "value")
-    # only the first record of a file keeps its own ">"
-    parts = F.split("value", "\n")
-    return records.select(
-        "id",
-        F.struct("_block", "_line").alias("at"),
-        F.col("value").startswith(">").alias("is_query"),
-        F.regexp_replace(parts[0], "^>", "").alias("header"),
+        F.struct(F.col("_metadata.file_block_start").alias("_block"),
+                 F.monotonically_increasing_id().alias("_line")).alias("at"),
+        F.regexp_replace("value", r"\r", "").alias("value")).where(F.trim(F.translate("value", "\n", "")) != "")
+    first = records.groupBy("id").agg(F.min("at").alias("_first"))
+    known = records.join(first, "id").withColumn("is_query", F.col("at") == F.col("_first"))
+    # only the record that begins a file keeps its own ">"
+    parts = F.split(F.when(F.col("is_query"), F.regexp_replace("value", r"^\s*>?", "")).otherwise(F.col("value")), "\n")
+    return known.select(
+        "id", "at", "is_query", parts[0].alias("header"),
         F.array_join(F.slice(parts, 2, F.size(parts)), "").alias("row"))

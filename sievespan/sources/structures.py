@@ -5,17 +5,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import tokens
 from ..operators.latest import latest_per_key
 
-PLACE = r"([^/]+)/([^/]+)/[^/]+$"    # .../<id>/<receptor>/<file>
+# <id>/<receptor>/<id>_<receptor>_model.cif; other files of a folder are not its structure
+PLACE = r"/([^/]+)/([^/]+)/\1_\2_model\.cif$"
+MODELS = "*/*/*_model.cif"
 
 
 def read_ca_atoms(spark: SparkSession, path) -> DataFrame:
-    """(id, receptor, chain, resnum, x, y, z) of all C-alpha atoms below ``path``.
+    """(id, receptor, chain, resnum, x, y, z) of the C-alpha atoms of each structure's model
+    file, ``<id>/<receptor>/<id>_<receptor>_model.cif`` below ``path``.
 
     Lines whose numbers cannot be read are skipped; of several lines for one
     residue the last in the file counts. Files may be split between tasks: the
     block offset and the line number in the block give the order.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+    lines = spark.read.text(f"{path}/{MODELS}").select(
         "value",
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -29,24 +32,29 @@ def parse_ca_atoms(lines: DataFrame) -> DataFrame:
     atoms = (
         lines.where(F.col("value").startswith("ATOM"))
         .withColumn("tok", tokens("value"))
-        .where((F.size("tok") >= 13) & (tok[3] == "CA"))
+        .where((F.size("tok") >= 13) & (tok[3] == "CA") & F.col("_path").rlike(PLACE))
         .select(
             F.regexp_extract("_path", PLACE, 1).alias("id"),
             F.regexp_extract("_path", PLACE, 2).alias("receptor"),
             tok[6].alias("chain"), tok[8].try_cast("int").alias("resnum"),
             *[tok[i].try_cast("double").alias(c) for i, c in ((10, "x"), (11, "y"), (12, "z"))],
-            "_block", "_line")
+            "_path", "_block", "_line")
         .dropna(subset=["resnum", "x", "y", "z"])
     )
     return latest_per_key(atoms, ["id", "receptor", "chain", "resnum"],
-                          ["_block", "_line"]).drop("_block", "_line")
+                          ["_path", "_block", "_line"]).drop("_path", "_block", "_line")
 
 
-def folder_ids(spark: SparkSession, path) -> DataFrame:
-    """Sorted ids of the ``<id>/<receptor>/<file>`` tree below ``path``.
+def done_jobs(spark: SparkSession, path) -> DataFrame:
+    """(id, receptor) of the structures below ``path`` that have their model file.
 
     Only names are listed; the files are not opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return (files.select(F.regexp_extract("_metadata.file_path", PLACE, 1).alias("id"))
-            .distinct().orderBy("id"))
+    files = spark.read.format("binaryFile").load(f"{path}/{MODELS}").select(F.col("_metadata.file_path").alias("_path"))
+    return files.where(F.col("_path").rlike(PLACE)).select(
+        F.regexp_extract("_path", PLACE, 1).alias("id"), F.regexp_extract("_path", PLACE, 2).alias("receptor")).distinct()
+
+
+def folder_ids(spark: SparkSession, path) -> DataFrame:
+    """Sorted ids of the structures below ``path``."""
+    return done_jobs(spark, path).select("id").distinct().orderBy("id")

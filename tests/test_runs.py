@@ -64,7 +64,7 @@ def test_folding_jobs(spark, tmp_path, roster):
     alignment = spark.createDataFrame([("n_1", 0, True, "query", full), ("n_1", 1, False, "h", "-" * len(full))],
                                       "id string, at int, is_query boolean, header string, row string")
     made = runs.folding_jobs(roster, ids, ["CTR", "CGRP"], templates, alignment, done)
-    got = {r["job"]: r["document"] for r in made.collect()}
+    got = {r["job"]: json.loads(r["document"]) for r in made.collect()}
     assert got.keys() == {"n_1_CTR", "n_1_CGRP", "n_2_CTR"}
     peptide = got["n_1_CTR"]["sequences"][1]["protein"]
     assert peptide["unpairedMsa"] == f">query\n{full}X\n>h\n{'-' * (len(full) + 1)}\n"
