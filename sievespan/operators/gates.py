@@ -67,9 +67,9 @@ def _join_evidence(roster: DataFrame, gates: list[Gate], key: str) -> DataFrame:
     evidence = gates[0].evidence
     if gates[0].order:
         evidence = latest_per_key(evidence, [key], list(gates[0].order))
-    verdicts = evidence.select(
-        key,
-        *[F.coalesce(g.passes, F.lit(False)).alias(f"_{g.stage}") for g in gates],
+    # a key that repeats without an order passes only if all its rows do
+    verdicts = evidence.groupBy(key).agg(
+        *[F.bool_and(F.coalesce(g.passes, F.lit(False))).alias(f"_{g.stage}") for g in gates],
         F.lit(True).alias("_seen"),
     )
     joined = roster.join(verdicts, key, "left")

@@ -72,7 +72,7 @@ def report_of(frame: DataFrame, coverage: DataFrame, with_stage: bool = True) ->
     ``cd4_pass`` is true for candidates the coverage table does not name and
     NULL for those whose coverage is incomplete; it does not gate.
     """
-    cd4 = coverage.select("id", F.col("cd4_pass").alias("_cd4"), F.lit(True).alias("_covered"))
+    cd4 = coverage.groupBy("id").agg(F.min("cd4_pass").alias("_cd4"), F.lit(True).alias("_covered"))
     joined = frame.join(cd4, "id", "left")
     safe = F.col(pass_column("03")) & F.col(pass_column("05")) & F.col(pass_column("04"))
     docked = F.col(pass_column("01"))

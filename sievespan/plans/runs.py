@@ -33,7 +33,7 @@ def run_triage(roster: DataFrame, evidence: Evidence, folder: str,
     waiting = frame.where(F.col("outcome") == funnel.PENDING)
     if not waiting.isEmpty():
         batches = writers.fasta_batches(waiting, "id", "full_37aa", ["roster_pos"])
-        writers.write_fasta(batches, f"{folder}/pending")
+        writers.write_fasta(batches, f"{folder}/pending", files=True)
     return frame
 
 

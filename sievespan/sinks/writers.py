@@ -4,11 +4,12 @@ Each writes a folder of part files from all tasks; nothing is funnelled into
 one file.
 """
 
+import time
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import BATCH_SIZE
 from ..operators.numbering import batch_number, dense_position
-from ..sources.evidence import FILE_ORDER, with_file_order
 from ..operators.latest import latest_per_key
 
 
@@ -32,14 +33,14 @@ def write_stage_results(results: DataFrame, path: str, status: str = "status",
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
-    """Append (id, eliminated_at_stage); runs add up, readers take the last."""
-    audit.write.mode("append").csv(path, header=True)
+    """Append (id, eliminated_at_stage) with the run's time; runs add up, readers take the last."""
+    audit.withColumn("run", F.lit(time.time_ns())).write.mode("append").csv(path, header=True)
 
 
 def read_audit(spark, path: str) -> DataFrame:
-    """The last audited stage per id."""
-    rows = with_file_order(spark.read.csv(path, header=True))
-    return latest_per_key(rows, ["id"], FILE_ORDER).drop(*FILE_ORDER)
+    """The stage that the last run audited per id."""
+    rows = spark.read.csv(path, header=True).withColumn("run", F.col("run").cast("long"))
+    return latest_per_key(rows, ["id"], ["run"]).drop("run")
 
 
 def write_ids(ids: DataFrame, path: str, key: str = "id") -> None:
@@ -61,13 +62,28 @@ def fasta_batches(sequences: DataFrame, id_col: str, seq_col: str, order: list[s
                            fasta_record(id_col, seq_col).alias("record"))
 
 
-def write_fasta(batches: DataFrame, path: str) -> None:
-    """One file per batch, in the folder ``<path>/batch=<k>``."""
+def write_fasta(batches: DataFrame, path: str, files: bool = False) -> None:
+    """Batches as a table (batch, records): many batches in a part file, one row each.
+
+    With ``files`` as one text file per batch, in the folder ``<path>/batch=<k>``,
+    which is for small sets: the driver lists and commits every folder.
+    """
+    if not files:
+        records = F.array_sort(F.collect_list(F.struct("pos", "record")))
+        text = F.array_join(F.transform(records, lambda r: F.concat(r["record"], F.lit("\n"))), "")
+        batches.groupBy("batch").agg(text.alias("records")).write.mode("overwrite").parquet(path)
+        return
     (batches.repartition("batch").sortWithinPartitions("batch", "pos")
      .select("batch", "record").write.mode("overwrite").partitionBy("batch").text(path))
 
 
-def write_job_documents(documents: DataFrame, path: str) -> None:
-    """One JSON text per job, in the folder ``<path>/job=<name>``."""
-    (documents.select("job", F.to_json("document").alias("value"))
-     .write.mode("overwrite").partitionBy("job").text(path))
+def write_job_documents(documents: DataFrame, path: str, files: bool = False) -> None:
+    """Documents as a table (job, document): many jobs in a part file.
+
+    With ``files`` as one JSON text per job, in the folder ``<path>/job=<name>``,
+    which is for small sets.
+    """
+    if files:
+        documents.select("job", "document").write.mode("overwrite").partitionBy("job").text(path)
+    else:
+        documents.select("job", "document").write.mode("overwrite").parquet(path)

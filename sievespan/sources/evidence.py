@@ -29,8 +29,12 @@ def optional(table: DataFrame, name: str) -> Column:
 
 
 def _read_if_present(spark: SparkSession, path, schema: StructType) -> DataFrame:
+    """The last row of each id; no file means no rows."""
     try:
-        return read_csv(spark, path, schema)
+        table = spark.read.csv(path, header=True)
+        ordered = with_file_order(table).select(
+            *[optional(table, f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], *FILE_ORDER)
+        return latest_per_key(ordered, ["id"], FILE_ORDER).drop(*FILE_ORDER)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -6,6 +6,7 @@ Appending keeps the cost of a batch in line with its size, and writing each
 batch to its own folder in overwrite mode makes a repeated batch harmless.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -14,7 +15,11 @@ from ..operators.latest import latest_per_key
 
 def evidence_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str = "csv",
                     files_per_batch: int | None = None, **options) -> DataFrame:
-    """Stream of the evidence files that lie or arrive in ``folder``."""
+    """Stream of the evidence files that lie or arrive in ``folder``.
+
+    ``folder`` may be a pattern, and what it names a folder of part files or a
+    single file: the stream's reader refuses a file's plain path.
+    """
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -33,8 +38,16 @@ def take_in(stream: DataFrame, log: str, checkpoint: str, keys: list[str], order
 
 def current_evidence(spark: SparkSession, log: str, schema: StructType, keys: list[str],
                      order: list[str]) -> DataFrame:
-    """The last row per key over all batches; late rows are weighed like any other."""
-    rows = spark.read.schema(schema).parquet(log).select(*schema.fieldNames())
+    """The last row per key over all batches; late rows are weighed like any other.
+
+    There is no row before a first batch has come in.
+    """
+    try:
+        rows = spark.read.schema(schema).parquet(log).select(*schema.fieldNames())
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
     return latest_per_key(rows, keys, order)
 
 

@@ -62,7 +62,8 @@ def test_other_evidence(spark, tmp_path):
     assert rows(evidence.read_pose(spark, path)) == {("a", "CTR", 1), ("a", "AMY1R", 0)}
     assert evidence.read_coverage_summary(spark, str(tmp_path / "absent.csv")).isEmpty()
     assert evidence.read_binder_summary(spark, str(tmp_path / "absent.csv")).isEmpty()
-    path = put(tmp_path / "c.csv", "id,n_peptides_scored,min_combined_score,n_below_43,status,cd4_pass\na,3,44.1,0,tested,1\nb,0,,0,incomplete,\n")
+    path = put(tmp_path / "c.csv", "id,n_peptides_scored,min_combined_score,n_below_43,status,cd4_pass\na,3,40.1,2,tested,0\na,3,44.1,0,tested,1\nb,0,,0,incomplete,\n")
+    assert evidence.read_coverage_summary(spark, path).count() == 2
     assert {(r["id"], r["cd4_pass"]) for r in evidence.read_coverage_summary(spark, path).collect()} == {("a", 1), ("b", None)}
     path = put(tmp_path / "s.csv", "Peptide,Combined Score,HLA-DRB1:03:01\nPEP,48.5,1\nPEP,40.0,2\n")
     assert rows(evidence.read_peptide_scores(spark, path)) == {("PEP", 48.5), ("PEP", 40.0)}
@@ -82,14 +83,18 @@ def atom(chain, res, x, name="CA", kind="ATOM"):
 
 
 def test_structures(spark, tmp_path):
-    put(tmp_path / "pep_1" / "CTR" / "m.cif", "\n".join([
+    put(tmp_path / "pep_1" / "CTR" / "pep_1_CTR_model.cif", "\n".join([
         "data_x", atom("A", 1, 1.0), atom("A", 1, 2.0), atom("A", 2, "bad"), atom("A", "x", 1.0), atom("A", 3, 9.0, name="CB"),
         atom("A", 4, 9.0, kind="HETATM"), "ATOM 1 C CA . GLY A 1 5", atom("L", 1, 7.5)]))
-    put(tmp_path / "pep_0" / "CGRP" / "m.cif", atom("B", 1, 3.0))
+    put(tmp_path / "pep_0" / "CGRP" / "pep_0_CGRP_model.cif", atom("B", 1, 3.0))
+    put(tmp_path / "pep_0" / "CGRP" / "other_model.cif", atom("B", 9, 3.0))
+    put(tmp_path / "pep_0" / "CGRP" / "seed-1_sample-0" / "model.cif", atom("B", 8, 3.0))
+    put(tmp_path / "pep_2" / "CTR" / "notes.txt", "no model")
     got = rows(structures.read_ca_atoms(spark, str(tmp_path)))
     assert got == {("pep_1", "CTR", "A", 1, 2.0, 0.0, 0.0), ("pep_1", "CTR", "L", 1, 7.5, 0.0, 0.0),
                    ("pep_0", "CGRP", "B", 1, 3.0, 0.0, 0.0)}
     assert [r[0] for r in structures.folder_ids(spark, str(tmp_path)).collect()] == ["pep_0", "pep_1"]
+    assert rows(structures.done_jobs(spark, str(tmp_path))) == {("pep_0", "CGRP"), ("pep_1", "CTR")}
 
 
 A3M = ">query\nKCNT\n>hit one > with mark\nK-NTa\n\n>hit two\n--NT\n"
@@ -110,6 +115,37 @@ def test_alignments(spark, tmp_path):
     assert text.select(jobs.alignment_depth("msa")).first()[0] == 4
 
 
+def test_alignments_with_odd_beginnings(spark, tmp_path):
+    put(tmp_path / "q1.a3m", "\n>query\r\nAC\r\n>>odd\r\nA-\r\n")
+    put(tmp_path / "q2.a3m", "")
+    got = alignments.read_alignments(spark, str(tmp_path / "*.a3m"))
+    assert [tuple(r) for r in got.orderBy("at").select("id", "is_query", "header", "row").collect()] == [
+        ("q1", True, "query", "AC"), ("q1", False, ">odd", "A-")]
+    peptides = spark.createDataFrame([("q1", "ZZ"), ("q3", "AC")], "id string, full string")
+    assert rows(jobs.query_mismatch(got, peptides, "id", "full")) == {("q1",)}
+    headless = got.withColumn("is_query", F.lit(False))
+    assert rows(jobs.query_mismatch(headless, peptides.withColumn("full", F.lit("AC")), "id", "full")) == {("q1",)}
+
+
+@pytest.mark.parametrize("entity", [{"id": "A", "sequence": "MM", "modifications": []}, {"id": ["A", "B"], "sequence": "é\"\n"}])
+@pytest.mark.parametrize("more", [{}, {"modelSeeds": [1, 2], "x": {"y": [None, 1.50, "z"]}, "bonds": None}])
+def test_job_documents_keep_every_field(spark, tmp_path, entity, more):
+    body = {"name": "t", "sequences": [{"protein": entity}, {"ligand": {"id": "Z", "ccdCodes": ["X"]}}], **more}
+    put(tmp_path / "CTR" / "X_ag" / "X_data.json", json.dumps(body, indent=1))
+    templates = documents.read_templates(spark, str(tmp_path / "*" / "*_ag" / "*_data.json"))
+    assert templates.count() == 1 and jobs.templates_with_chain(templates, "receptor").isEmpty()
+    assert jobs.templates_with_chain(templates, "receptor", "A").count() == 1
+    todo = spark.createDataFrame([("CTR", 'j"1', "ACX", ">q\nACX\n")], "receptor string, job string, s string, m string")
+    doc = json.loads(jobs.job_documents(todo, templates, "receptor", "s", "m", seed=5).first()["document"])
+    want = {**body, "name": 'j"1', "modelSeeds": [5]}
+    want["sequences"] = [*body["sequences"], {"protein": {
+        "id": "L", "sequence": "ACX", "modifications": [{"ptmType": "NH2", "ptmPosition": 3}], "unpairedMsa": ">q\nACX\n",
+        "pairedMsa": "", "templates": []}}]
+    assert doc == want
+    kept = json.loads(jobs.job_documents(todo, templates, "receptor", "s", "m").first()["document"])
+    assert kept.get("modelSeeds") == body.get("modelSeeds")
+
+
 def test_templates_and_job_documents(spark, tmp_path):
     body = {"dialect": "d", "version": 1, "name": "t", "modelSeeds": [1],
             "sequences": [{"protein": {"id": "A", "sequence": "MM", "modifications": [{"ptmType": "P", "ptmPosition": 1}],
@@ -131,7 +167,9 @@ def test_templates_and_job_documents(spark, tmp_path):
     full = todo.select("receptor", "job", jobs.folding_sequence("seq").alias("sequence"),
                                        jobs.query_only_alignment("seq").alias("msa"))
     made = jobs.job_documents(full, templates, "receptor", "sequence", "msa", seed=9)
-    writers.write_job_documents(made, str(tmp_path / "jobs"))
+    writers.write_job_documents(made, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+    writers.write_job_documents(made, str(tmp_path / "jobs"), files=True)
     doc = json.loads("\n".join(lines_of(tmp_path / "jobs" / "job=pep_1_CTR")))
     sequence = C.PEPTIDE_PREFIX + "AACX"
     assert (doc["name"], doc["modelSeeds"], doc["dialect"], doc["version"]) == ("pep_1_CTR", [9], "d", 1)
@@ -146,6 +184,8 @@ def test_result_tables(spark):
     df = spark.createDataFrame([(body,)], "body string")
     got = documents.result_rows(df, [], "body", ["pct", "n", "other"])
     assert rows(got) == {("0.5", "1", None), (None, "2", None)}
+    with pytest.raises(ValueError, match="unknown number: 2"):
+        documents.by_position(got.select("n"), spark.createDataFrame([("a", 1)], "id string, pos long"), "n", "pos")
     named = documents.by_position(got.select("n", "pct"), spark.createDataFrame([("a", 1), ("b", 2)], "id string, pos long"), "n", "pos")
     assert rows(named) == {("1", "0.5", "a"), ("2", None, "b")}
 
@@ -170,8 +210,6 @@ def test_writers(spark, tmp_path):
     audit = spark.createDataFrame([("a", "one"), ("b", "one")], "id string, eliminated_at_stage string")
     writers.append_audit(audit, str(tmp_path / "audit"))
     later = audit.where("id = 'a'").withColumn("eliminated_at_stage", F.lit("two"))
-    import time
-    time.sleep(1.1)
     writers.append_audit(later, str(tmp_path / "audit"))
     assert rows(writers.read_audit(spark, str(tmp_path / "audit"))) == {("a", "two"), ("b", "one")}
 
@@ -180,7 +218,9 @@ def test_writers(spark, tmp_path):
 def test_fasta(spark, tmp_path, n, sizes):
     df = spark.range(n).select((F.lit(n) - F.col("id")).alias("pos_in"), F.format_string("p_%03d", "id").alias("id"),
                                F.when(F.col("id") > 0, F.lit("ACD")).alias("seq"))
-    writers.write_fasta(writers.fasta_batches(df, "id", "seq", ["pos_in"]), str(tmp_path / "fa"))
+    writers.write_fasta(writers.fasta_batches(df, "id", "seq", ["pos_in"]), str(tmp_path / "fa"), files=True)
+    writers.write_fasta(writers.fasta_batches(df, "id", "seq", ["pos_in"]), str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == len(sizes)
     want = [(f"p_{i:03d}", "ACD" if i else "") for i in reversed(range(n))]
     for batch, size in enumerate(sizes, 1):
         files = list((tmp_path / "fa" / f"batch={batch}").glob("part-*"))
@@ -197,10 +237,18 @@ def test_subsets(spark):
     assert rows(subsets.resolve_ids(universe, wanted, extra)) == {("a",), ("c",), ("amylin",)}
     assert rows(subsets.resolve_ids(None, wanted)) == {("a",), ("c",), ("x",)}
     assert rows(subsets.resolve_ids(universe)) == {("a",), ("b",), ("c",)}
+    assert subsets.resolve_ids(None).isEmpty() and rows(subsets.resolve_ids(None, None, extra)) == {("amylin",), ("a",)}
+    numbered = spark.createDataFrame([("b", 1), ("c", 2), ("a", 3), ("c", 4)], "id string, pos long")
+    picked = spark.createDataFrame([("a", 1), ("b", 2)], "id string, pos long")
+    more = spark.createDataFrame([("amylin", 1), ("a", 2)], "id string, pos long")
+    ordered = [r["id"] for r in subsets.ordered_ids(numbered, picked, more).orderBy("part", "pos").collect()]
+    assert ordered == ["b", "a", "amylin"]
+    assert [r["id"] for r in subsets.ordered_ids(None, numbered).orderBy("part", "pos").collect()] == ["b", "c", "a"]
+    assert subsets.ordered_ids(None).isEmpty()
     report = spark.createDataFrame([("a", True), ("b", False)], "id string, final_pass boolean")
     assert rows(subsets.pick_targets(report, F.col("final_pass"))) == {("a", True)}
     assert rows(subsets.pick_targets(report, F.col("final_pass"), subsets.ids_from_list(spark, "b,z"))) == {("b", False)}
-    mapping = spark.createDataFrame([("a", "n")], "old_id string, new_id string")
+    mapping = spark.createDataFrame([("a", "n"), ("a", "m")], "old_id string, new_id string")
     assert rows(subsets.remap_ids(report, mapping, "id", "old_id", "new_id")) == {("n", True), ("b", False)}
 
 

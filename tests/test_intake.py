@@ -21,6 +21,7 @@ def test_evidence_arrives_in_pieces(spark, tmp_path):
 
     arrive(spark, source, "one", [("a", 1, False), ("b", 5, True), ("a", 2, True)])
     arrive(spark, source, "two", [("c", 1, True)])
+    assert intake.current_evidence(spark, log, SCHEMA, ["id"], ["seen"]).isEmpty()    # before a first batch
     assert run() == {("a", 2, True), ("b", 5, True), ("c", 1, True)}
     # a late row does not replace a newer one; a newer one does
     arrive(spark, source, "three", [("b", 4, False), ("c", 9, False)])
