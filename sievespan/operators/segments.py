@@ -71,18 +71,17 @@ def run_summary(roster: DataFrame, track: DataFrame, runs: DataFrame, key: str,
     )
 
 
-def run_text(runs: DataFrame, key: str, per_line: int = 1000) -> DataFrame:
+def run_text(runs: DataFrame, key: str, per_line: int | None = None) -> DataFrame:
     """Runs as text, ``res<start>-<end>(len=<n>,max=<x.x>%)`` joined by ``; ``.
 
-    One line per stretch of ``per_line`` track positions, numbered by
-    ``line_no``, so the text of an id never has to fit into one row: a peptide
-    track has one line, a track of any length has as many as it needs.
+    One line per id, ``line_no`` 0. Where a text may not fit into one row,
+    ``per_line`` cuts it: a line for each stretch of so many track positions.
     """
     piece = F.concat(F.lit("res"), F.col("run_start").cast("string"), F.lit("-"),
                      F.col("run_end").cast("string"), F.lit("(len="),
                      F.col("run_length").cast("string"), F.lit(",max="),
                      fixed_decimals("run_max", 1), F.lit("%)"))
-    line = F.floor((F.col("run_start") - 1) / per_line).alias("line_no")
+    line = (F.floor((F.col("run_start") - 1) / per_line) if per_line else F.lit(0).cast("long")).alias("line_no")
     rows = runs.select(key, line, F.struct(F.col("run_start").alias("at"), piece.alias("text")).alias("_p"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["text"]), "; ")
     return rows.groupBy(key, "line_no").agg(joined.alias("run_detail"))

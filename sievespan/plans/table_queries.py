@@ -5,25 +5,30 @@ shape: documents as the roster, labels as its evidence, events as score tracks,
 lineitem as points and binder pairs, part as item scores.
 """
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..constants import AGGREGATION_PASS, ALLERGEN_PASS, TOXICITY_PASS
 from ..functions.text import job_id, job_key, job_name, listed_ids, token_pairs
 from ..functions.windows import sliding_windows
 from ..operators import coverage as cov
 from ..operators.containment import contained_pairs
 from ..operators.distance import min_distance
 from ..operators.gates import Gate, add_gate_flags, in_ranges, require_all
-from ..operators.jobs import (add_cap_column, alignment_depth, job_documents, job_matrix)
+from ..operators.jobs import (add_cap_column, alignment_depth, folding_sequence, job_documents, job_matrix,
+                              query_only_alignment)
 from ..operators.latest import latest_per_key
 from ..operators.numbering import dense_position, rank_ascending
 from ..operators.pivots import pivot_filled
 from ..operators.segments import find_runs, run_summary, run_text
 from ..operators.subsets import missing_ids, pick_targets, remap_ids, resolve_ids, violations
-from ..session import new_folder
-from ..sinks.writers import fasta_batches
-from ..sources.documents import by_position, result_rows
+from ..session import new_folder, written
+from ..sinks.writers import append_audit, fasta_batches, read_audit, write_ids, write_report, write_stage_results
+from ..sources.documents import by_position, read_templates, result_rows, unknown_numbers
+from ..sources.evidence import (read_aggregation, read_allergenicity, read_ids, read_peptide_scores, read_pose,
+                                read_toxicity)
 from ..sources.tracks import profile_lines
 from ..streaming.intake import current_evidence, evidence_stream, take_in
 from . import funnel
@@ -219,17 +224,17 @@ FROM (SELECT user_id, round(sum(value), 2) AS score_total FROM events GROUP BY u
 LEFT JOIN (SELECT user_id, count(*) AS n_runs, max(run_length) AS longest_run, max(run_max) AS highest
            FROM ({_runs_sql(50)}) GROUP BY user_id) r ON r.user_id = t.user_id""")
 def run_rollup(spark, folder):
-    runs = find_runs(_track(spark, folder), "user_id", "pos", "value", 50.0, 5)
-    events = table(spark, folder, "events")
-    return (run_summary(events.select("user_id").distinct(), events, runs, "user_id", "value")
+    track = written(_track(spark, folder), "track")
+    runs = find_runs(track, "user_id", "pos", "value", 50.0, 5)
+    return (run_summary(track.select("user_id").distinct(), track, runs, "user_id", "value")
             .withColumn("score_total", F.round("score_total", 2)))
 
 
 @query(f"""
-SELECT user_id, CAST(floor((run_start - 1) / 1000) AS BIGINT) AS line_no,
+SELECT user_id, CAST(0 AS BIGINT) AS line_no,
        string_agg(format('res{{}}-{{}}(len={{}},max={{:.1f}}%)', run_start, run_end, run_length, run_max),
                   '; ' ORDER BY run_start) AS run_detail
-FROM ({_runs_sql(20)}) GROUP BY 1, 2""")
+FROM ({_runs_sql(20)}) GROUP BY 1""")
 def run_details(spark, folder):
     return run_text(find_runs(_track(spark, folder), "user_id", "pos", "value", 20.0, 5), "user_id")
 
@@ -315,9 +320,11 @@ def latest_evidence(spark, folder):
 
 @query(LATEST_SQL)
 def intake(spark, folder):
-    """The events table arriving as a file stream, kept to the last per key."""
-    schema = table(spark, folder, "events").schema
-    stream = evidence_stream(spark, folder, schema, "parquet", pathGlobFilter="events.parquet")
+    """The events table arriving as a stream of several files, one per micro-batch, kept to the last per key."""
+    events = table(spark, folder, "events")
+    schema, source = events.schema, new_folder(spark, "arriving")
+    events.repartition(4).write.parquet(source)
+    stream = evidence_stream(spark, source, schema, "parquet", files_per_batch=1)
     log, checkpoint = new_folder(spark, "intake"), new_folder(spark, "intake-checkpoint")
     keys, order = ["user_id", "event_type"], ["ts", "event_id"]
     take_in(stream, log, checkpoint, keys, order)
@@ -329,7 +336,7 @@ def intake(spark, folder):
 
 COVERAGE_SQL = """
   WITH bridge AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_discount < 0.03),
-       scores AS (SELECT p_partkey, p_size FROM part WHERE p_size <= 45),
+       scores AS (SELECT p_partkey, p_size FROM part WHERE p_partkey IN (SELECT c_custkey FROM customer)),
        j AS (SELECT b.l_orderkey, s.p_size FROM bridge b LEFT JOIN scores s ON s.p_partkey = b.l_partkey)
   SELECT l_orderkey, count(p_size) AS n_scored, CAST(min(p_size) AS BIGINT) AS min_score,
          count(*) FILTER (WHERE p_size < 5) AS n_below,
@@ -340,7 +347,8 @@ COVERAGE_SQL = """
 
 def _coverage(spark, folder) -> DataFrame:
     lines = table(spark, folder, "lineitem")
-    scores = (table(spark, folder, "part").where(F.col("p_size") <= 45)
+    scored = table(spark, folder, "customer").select(F.col("c_custkey").alias("p_partkey"))
+    scores = (table(spark, folder, "part").join(scored, "p_partkey", "left_semi")
               .select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("p_size")))
     bridge = cov.binders(lines, "l_orderkey", "l_partkey", "l_discount", 0.03)
     return cov.coverage(bridge, scores, "l_orderkey", "l_partkey", "p_size", risk=5)
@@ -581,10 +589,21 @@ FROM orders o JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC
                     FROM customer) c ON c.pos = o.o_custkey""")
 def submitted_order(spark, folder):
     """Result rows that name their record by its place in the submission."""
+    rows, submitted = _submitted(spark, folder)
+    return by_position(rows, submitted, "sequence_number", "pos", strict=False)
+
+
+@query("""
+SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS number FROM orders
+WHERE o_custkey NOT BETWEEN 1 AND (SELECT count(*) FROM customer)""", name="unknown_numbers")
+def numbers_unknown(spark, folder):
+    return unknown_numbers(*_submitted(spark, folder), "sequence_number", "pos")
+
+
+def _submitted(spark, folder) -> tuple[DataFrame, DataFrame]:
     customers = table(spark, folder, "customer").select("c_custkey", (-F.col("c_acctbal")).alias("_by"))
     submitted = dense_position(customers, [], ["_by", "c_custkey"]).drop("_by")
-    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("sequence_number"))
-    return by_position(rows, submitted, "sequence_number", "pos")
+    return table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("sequence_number")), submitted
 
 
 @query("SELECT page_id, CAST(length(html) - length(replace(html, '>', '')) AS INT) AS depth FROM pages")
@@ -617,29 +636,133 @@ def derived_scores(spark, folder):
 
 @query("""
 SELECT c.c_custkey || '_' || n.n_name AS job,
-       CAST(to_json({'name': c.c_custkey || '_' || n.n_name, 'modelSeeds': [7], 'sequences': [
-         {'protein': {'id': 'A', 'sequence': n.n_name, 'modifications': [], 'unpairedMsa': '',
-                      'pairedMsa': '', 'templates': []}},
-         {'protein': {'id': 'L', 'sequence': 'KCNTATCATQRLA' || c.c_mktsegment || 'X',
-                      'modifications': [{'ptmType': 'NH2', 'ptmPosition': length(c.c_mktsegment) + 14}],
-                      'unpairedMsa': '>query' || chr(10) || c.c_mktsegment || chr(10),
-                      'pairedMsa': '', 'templates': CAST([] AS VARCHAR[])}}]}) AS VARCHAR) AS body
+       '{"name":"' || c.c_custkey || '_' || n.n_name || '","modelSeeds":[7],"dialect":"d","sequences":['
+       || CAST(to_json({'protein': {'id': 'A', 'sequence': n.n_name, 'modifications': CAST([] AS VARCHAR[])}}) AS VARCHAR) || ','
+       || CAST(to_json({'protein': {'id': 'L', 'sequence': 'KCNTATCATQRLA' || c.c_mktsegment || 'X',
+                        'modifications': [{'ptmType': 'NH2', 'ptmPosition': length(c.c_mktsegment) + 14}],
+                        'unpairedMsa': '>query' || chr(10) || 'KCNTATCATQRLA' || c.c_mktsegment || 'X' || chr(10),
+                        'pairedMsa': '', 'templates': CAST([] AS VARCHAR[])}}) AS VARCHAR) || ']}' AS body
 FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey""")
 def job_manifest(spark, folder):
-    """A job document per customer: the nation's template with the peptide appended."""
-    cap = F.array().cast("array<struct<ptmType:string,ptmPosition:int>>")
-    first = F.struct(F.struct(
-        F.lit("A").alias("id"), F.col("n_name").alias("sequence"), cap.alias("modifications"),
-        F.lit("").alias("unpairedMsa"), F.lit("").alias("pairedMsa"),
-        F.array().cast("array<string>").alias("templates")).alias("protein"))
-    templates = table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("c_nationkey"),
-        F.struct(F.lit("template").alias("name"), F.array(F.lit(1)).alias("modelSeeds"),
-                 F.array(first).alias("sequences")).alias("document"))
+    """A job document per customer: the nation's template, a JSON file with sparse fields, with the peptide appended."""
+    first = F.struct(F.struct(F.lit("A").alias("id"), F.col("n_name").alias("sequence"),
+                              F.array().cast("array<string>").alias("modifications")).alias("protein"))
+    text = F.to_json(F.struct(F.lit("template").alias("name"), F.array(first).alias("sequences"), F.lit("d").alias("dialect")))
+    source = new_folder(spark, "templates")
+    (table(spark, folder, "nation").select(F.col("n_nationkey").alias("key"), text.alias("value"))
+     .write.partitionBy("key").text(source))
+    templates = read_templates(spark, f"{source}/*/*.txt", r"key=([0-9]+)/[^/]+$", "c_nationkey")
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     jobs = table(spark, folder, "customer").join(nations, "c_nationkey").select(
-        "c_nationkey", F.concat_ws("_", F.col("c_custkey").cast("string"), "n_name").alias("job"),
-        F.concat(F.lit("KCNTATCATQRLA"), F.col("c_mktsegment"), F.lit("X")).alias("sequence"),
-        F.concat(F.lit(">query\n"), F.col("c_mktsegment"), F.lit("\n")).alias("msa"))
-    documents = job_documents(jobs, templates, "c_nationkey", "sequence", "msa", seed=7)
-    return documents.select("job", F.to_json("document").alias("body"))
+        F.col("c_nationkey").cast("string").alias("c_nationkey"),
+        F.concat_ws("_", F.col("c_custkey").cast("string"), "n_name").alias("job"),
+        folding_sequence("c_mktsegment").alias("sequence"), query_only_alignment("c_mktsegment").alias("msa"))
+    return job_documents(jobs, templates, "c_nationkey", "sequence", "msa", seed=7).select("job", F.col("document").alias("body"))
+
+
+@query("""
+SELECT DISTINCT d.doc_id, n.n_name FROM documents d, nation n
+WHERE d.n_chars > 0 AND length(n.n_name) > 0 AND contains(d.text, lower(substring(n.n_name, 1, 3)))""")
+def containment_short(spark, folder):
+    """Patterns without a phrase of whole words: beginnings of the nations' names in documents."""
+    nations = table(spark, folder, "nation").select(
+        "n_name", F.lower(F.substring("n_name", 1, 3)).alias("start"))
+    return contained_pairs(table(spark, folder, "documents"), "doc_id", "text", nations, "n_name", "start").distinct()
+
+
+# --- through files in the tools' formats -----------------------------------
+
+def _csv(df: DataFrame, label: str) -> str:
+    """A table as a folder of CSV files with a header."""
+    path = new_folder(df.sparkSession, label)
+    df.write.csv(path, header=True)
+    return path
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, quality = 1 AS passed FROM labels")
+def aggregation_file(spark, folder):
+    verdict = F.when(F.col("quality") == 1, AGGREGATION_PASS).otherwise("FAIL")
+    return read_aggregation(spark, _csv(table(spark, folder, "labels").select(
+        F.col("doc_id").alias("id"), verdict.alias("TANGO_pass")), "aggregation"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, toxic = 0 AS passed FROM labels")
+def allergenicity_files(spark, folder):
+    """An older batch with the opposite verdicts, then the labels: the newer files win."""
+    labels = table(spark, folder, "labels")
+    rows = [labels.select(F.col("doc_id").alias("Protein"), F.when(F.col("toxic") == v, ALLERGEN_PASS)
+                          .otherwise("weak evidence").alias("Result")) for v in (1, 0)]
+    older = _csv(rows[0], "allergenicity")
+    time.sleep(1.1)    # stores with whole seconds
+    return read_allergenicity(spark, [older, _csv(rows[1], "allergenicity")])
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, toxic = 0 AS passed FROM labels")
+def toxicity_file(spark, folder):
+    verdict = F.when(F.col("toxic") == 0, TOXICITY_PASS).otherwise("Toxin")
+    return read_toxicity(spark, _csv(table(spark, folder, "labels").select(
+        F.col("doc_id").alias("Subject"), verdict.alias("Prediction")), "toxicity"))
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS receptor,
+       CAST(o_totalprice > 100000 AS INT) AS pose_pass FROM orders""")
+def pose_file(spark, folder):
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("receptor"),
+        (F.col("o_totalprice") > 100000).cast("int").alias("pose_pass"))
+    return read_pose(spark, _csv(orders, "pose"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS peptide, p_retailprice AS combined_score FROM part")
+def peptide_scores_file(spark, folder):
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("Peptide"), F.col("p_retailprice").alias("Combined Score"))
+    return read_peptide_scores(spark, _csv(parts, "scores"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders")
+def id_file(spark, folder):
+    """Ids saved as a checkpoint, and read again."""
+    path = new_folder(spark, "ids")
+    write_ids(table(spark, folder, "orders"), path, "o_orderkey")
+    return read_ids(spark, path)
+
+
+@query(f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, at_stage AS eliminated_at_stage FROM ({OUTCOME_SQL}) WHERE outcome = 'eliminated'""")
+def audit_file(spark, folder):
+    """Two runs append to an audit; the later one counts."""
+    audit = funnel.funnel_audit(_triaged(spark, folder), key="doc_id").withColumnRenamed("doc_id", "id")
+    path = new_folder(spark, "audit")
+    append_audit(audit.withColumn("eliminated_at_stage", F.lit("before")), path)
+    append_audit(audit, path)
+    return read_audit(spark, path)
+
+
+@query("""
+SELECT doc_id, quality, toxic FROM labels WHERE quality = 1""")
+def stage_results_file(spark, folder):
+    """Stage results written once, of which the passed part is read."""
+    path = new_folder(spark, "stage")
+    labels = table(spark, folder, "labels")
+    write_stage_results(labels.withColumn("status", F.when(F.col("quality") == 1, "PASS").otherwise("FAIL")), path)
+    return spark.read.parquet(f"{path}/status=PASS").select("doc_id", "quality", "toxic")
+
+
+@query(SQL["report"])
+def report_file(spark, folder):
+    path = new_folder(spark, "report")
+    write_report(report(spark, folder), path)
+    return spark.read.parquet(path)
+
+
+@query("""
+SELECT user_id, coalesce(bool_and(value >= 20), false) AS value_pass FROM (
+  SELECT c.c_custkey AS user_id, e.value FROM customer c LEFT JOIN events e ON e.user_id = c.c_custkey)
+GROUP BY user_id""")
+def repeated_evidence(spark, folder):
+    """Evidence with many rows for a key: the roster doesn't grow, and all rows have to pass."""
+    roster = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
+    gate = Gate("value", F.col("value") >= 20, table(spark, folder, "events").select("user_id", "value"))
+    return add_gate_flags(roster, [gate], "user_id").select("user_id", "value_pass")

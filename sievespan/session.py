@@ -2,10 +2,13 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,9 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may go without one: all its executors share a disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
+    local = spark.sparkContext.master.startswith("local")
+    if folder and (local or not folder.startswith("file:")):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
@@ -26,7 +30,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/sievespan/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sievespan/{label}-{uuid.uuid4().hex}"
+    for made in _scratch:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop at the end what is written to the shared folder within.
+
+    Results are read from these tables, so write or collect them inside.
+    """
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in made:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -30,3 +30,12 @@ def test_entry(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_scratch_tables_are_dropped(spark):
+    from pathlib import Path
+    root = Path(session.shared_folder(spark)) / "sievespan"
+    before = set(root.glob("*")) if root.exists() else set()
+    with session.scratch(spark):
+        kept = queries()["run_segments"](spark, FOLDER).count()
+    assert kept >= 0 and set(root.glob("*")) == before
