@@ -6,8 +6,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from sievespan.llm.workers import prepare  # noqa: E402
 
+from .odd import ODD  # noqa: E402
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [None, "", " ", "\n\n", "a", "A  a\ta", "é È 猫 😀", "x" * 5000, "word " * 3000, "It's 12.5% <|endoftext|> !\x00?"]
+
 
 
 @pytest.fixture(scope="session", autouse=True)

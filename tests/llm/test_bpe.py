@@ -4,12 +4,13 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD
 from tokenizers import Tokenizer
 
 from sievespan.llm import bpe
 from sievespan.llm.queries import TOKENIZER, op9_bpe, tokenizer_json
 
+from .odd import ODD
+
 FOLDER = "/root/testdata/sf0.001"
 
 

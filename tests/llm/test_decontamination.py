@@ -1,11 +1,12 @@
 import hashlib
 import re
 
-from conftest import ODD
 
 from sievespan.llm import decontamination
 from sievespan.llm.queries import op7_decontamination
 
+from .odd import ODD
+
 FOLDER = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})

@@ -1,11 +1,12 @@
 import re
 
 import pytest
-from conftest import ODD
 
 from sievespan.llm import licenses
 from sievespan.llm.queries import op5_licenses
 
+from .odd import ODD
+
 FOLDER = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})

@@ -1,12 +1,13 @@
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD
 from hypothesis import given, settings, strategies as st
 
 from sievespan.llm import packing
 from sievespan.llm.queries import END_ID, RANKS, op3_packing
 
+from .odd import ODD
+
 FOLDER = "/root/testdata/sf0.001"
 
 

@@ -2,13 +2,14 @@ import hashlib
 import re
 
 import pytest
-from conftest import ODD
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sievespan.llm import pii
 from sievespan.llm.queries import op10_pii
 
+from .odd import ODD
+
 FOLDER = "/root/testdata/sf0.1"
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
