@@ -115,4 +115,33 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {}
+# Words as the contract has them: A-Z in lower case, runs of letters and digits and of what lies beyond ASCII.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+SQL: dict[str, str] = {
+    "op7_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+     win AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, place, place + n - 1), ' ') AS win
+             FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS place FROM i)),
+     pos AS (SELECT doc_id, n, place, array_to_string(list_slice(w, place, place + n - 1), ' ') AS win
+             FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS place
+                   FROM d CROSS JOIN (SELECT DISTINCT n FROM win))),
+     hit AS (SELECT DISTINCT doc_id, n, place, item_id FROM pos JOIN win USING (n, win)),
+     cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + n)) AS p FROM hit) GROUP BY 1),
+     its AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op8_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS cosine
+           FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+     link AS (SELECT a, b FROM c WHERE isfinite(cosine) AND cosine >= 0.9),
+     reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.r),
+     n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(max(n), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM reach LEFT JOIN n ON a = vec_id GROUP BY vec_id""",
+}
