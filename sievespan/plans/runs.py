@@ -11,25 +11,37 @@ from ..sinks import writers
 from ..sources.documents import repeated_templates
 from ..sources.evidence import read_ids
 from . import funnel
+from .funnel import check_order
 from .peptides import Evidence, report_of, triage
 
 
 def run_triage(roster: DataFrame, evidence: Evidence, folder: str,
-               order: list[str] | None = None, replay: bool = False) -> DataFrame:
+               order: list[str] | None = None, replay: bool = False, resume_from: str | None = None) -> DataFrame:
     """Run the funnel and write its outputs below ``folder``.
 
+    With ``resume_from`` the run starts at that stage with the ids that an
+    earlier run saved after the stage before it. The report always covers the
+    whole roster.
+
     alive_after_<stage>   ids, one per line
     audit                 (id, stage name), appended by every run
     final_results         the wide report
     pending               FASTA batches of candidates that wait for evidence
     """
     order = order or DEFAULT_ORDER
+    whole, stages, left = triage(roster, evidence, order, replay), order, roster
+    if resume_from is not None:
+        check_order([resume_from], order)
+        stages, done = order[order.index(resume_from):], order[:order.index(resume_from)]
+        if done:
+            alive = read_ids(roster.sparkSession, f"{folder}/alive_after_{done[-1]}")
+            left = roster.join(alive, "id", "left_semi")
     # written once, as each of the outputs would compute the joins anew
-    frame = written(triage(roster, evidence, order, replay), "triage")
-    for stage in order:
-        writers.write_ids(funnel.alive_after(frame, order, stage), f"{folder}/alive_after_{stage}")
+    frame = written(whole if left is roster else triage(left, evidence, stages, replay), "triage")
+    for stage in stages:
+        writers.write_ids(funnel.alive_after(frame, stages, stage), f"{folder}/alive_after_{stage}")
     writers.append_audit(funnel.funnel_audit(frame, names=STAGE_NAMES), f"{folder}/audit")
-    writers.write_report(report_of(frame, evidence.coverage), f"{folder}/final_results")
+    writers.write_report(report_of(frame if left is roster else whole, evidence.coverage), f"{folder}/final_results")
     waiting = frame.where(F.col("outcome") == funnel.PENDING)
     if not waiting.isEmpty():
         batches = writers.fasta_batches(waiting, "id", "full_37aa", ["roster_pos"])

@@ -33,6 +33,14 @@ def test_run_writes_its_outputs_and_resumes(spark, tmp_path, roster):
         ("n_1", ""), ("n_2", ""), ("n_3", "03_aggregation"), ("n_4", "01_pose_check"), ("n_5", "")}
     stage, alive = runs.last_checkpoint(spark, folder, order)
     assert stage == "01" and rows(alive) == {("n_1",), ("n_2",)}
+    (tmp_path / "run" / "alive_after_03" / "part-0.txt").write_text("n_4\n")
+    for old in (tmp_path / "run" / "alive_after_03").glob("part-0000*"):
+        old.write_text("")
+        (old.parent / f".{old.name}.crc").unlink()
+    resumed = runs.run_triage(roster, tables(spark), folder, order, resume_from="05")
+    assert rows(resumed.select("id", "at_stage")) == {("n_4", "01")}
+    assert rows(evidence.read_ids(spark, f"{folder}/alive_after_05")) == {("n_4",)}
+    assert spark.read.parquet(f"{folder}/final_results").count() == len(IDS)
     again = runs.run_triage(roster, tables(spark), folder, order, replay=True)
     assert again.where("outcome = 'pending'").isEmpty()
 
