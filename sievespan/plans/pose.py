@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import (C_TERMINAL, N_TERMINAL, NO_DISTANCE, PEPTIDE_CHAINS, POSE_CUTOFF,
-                         RECEPTOR_CHAIN, REGION_BOUNDARIES)
+                         RECEPTOR_CHAIN, RECEPTORS, REGION_BOUNDARIES)
+from ..functions.text import fixed_decimals
 from ..operators.distance import min_distance_squared
 
 STRUCTURE = ["id", "receptor"]
@@ -52,6 +53,25 @@ def pose_check(atoms: DataFrame, cutoff: float = POSE_CUTOFF) -> DataFrame:
         .withColumnsRenamed({"d_nterm": "d_nterm_tmd", "d_deep": "d_cterm_deep", "both_pass": "pose_pass"})
 
 
+def pose_results(checked: DataFrame, ids: DataFrame | None = None, receptors: list[str] | None = None,
+                 order: str = "roster_pos") -> DataFrame:
+    """The pose table: distances with two decimals, verdicts as 0 and 1.
+
+    ``ids`` (with an ``order`` column) and ``receptors`` choose structures and put
+    them in order; without ids they come by id.
+    """
+    wanted = receptors or list(RECEPTORS)
+    place = F.array_position(F.array(*[F.lit(r) for r in wanted]), F.col("receptor"))
+    rows = checked.where(F.col("receptor").isin(wanted)).withColumn("_place", place)
+    if ids is None:
+        rows = rows.orderBy("id", "_place")
+    else:
+        rows = rows.join(ids.select("id", F.col(order).alias("_order")), "id").orderBy("_order", "_place")
+    return rows.select(
+        "id", "receptor", *[fixed_decimals(d, 2).alias(d) for d in ("d_nterm_tmd", "d_cterm_deep")],
+        *[F.col(v).cast("int").alias(v) for v in ("nterm_pass", "deep_pass", "pose_pass")])
+
+
 def two_region_gate(roster: DataFrame, points_a: DataFrame, points_b: DataFrame, keys: list[str],
                     coords: list[str], regions: dict[str, str], cutoff: float) -> DataFrame:
     """``d_<name>`` and ``<name>_pass`` per region, and ``both_pass``.

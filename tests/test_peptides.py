@@ -82,6 +82,19 @@ def test_pose_check(spark):
 IDS = ["n_1", "n_2", "n_3", "n_4", "n_5"]
 
 
+
+def test_pose_results(spark):
+    checked = spark.createDataFrame(
+        [("b", "CTR", 1.005, 999.0, True, False, False), ("a", "CTR", 2.675, 8.0, True, True, True),
+         ("a", C.RECEPTORS[0], 0.125, 3.0, True, True, True), ("a", "other", 1.0, 1.0, True, True, True)],
+        "id string, receptor string, d_nterm_tmd double, d_cterm_deep double, nterm_pass boolean, deep_pass boolean, pose_pass boolean")
+    got = [tuple(r) for r in pose.pose_results(checked).collect()]
+    assert got == [("a", C.RECEPTORS[0], f"{0.125:.2f}", "3.00", 1, 1, 1), ("a", "CTR", f"{2.675:.2f}", "8.00", 1, 1, 1),
+                   ("b", "CTR", f"{1.005:.2f}", "999.00", 1, 0, 0)]
+    ids = spark.createDataFrame([("b", 1), ("a", 2)], "id string, roster_pos int")
+    assert [r["id"] for r in pose.pose_results(checked, ids, ["CTR"]).collect()] == ["b", "a"]
+
+
 def evidence(spark):
     def verdicts(**passed):
         return spark.createDataFrame(list(passed.items()), "id string, passed boolean")
