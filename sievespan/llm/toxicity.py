@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).distinct()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     counted = fold(F.col("doc_id")).between(1, FOLDS - 2)
-    known = texts.where(counted).join(marked.where(counted), "doc_id").select("text", "toxic")
+    # labels grow with the texts, so they are merged at any size
+    known = texts.where(counted).join(marked.where(counted).hint("merge"), "doc_id").select("text", "toxic")
     found = continuation_counts(known).toPandas()
     counts = np.zeros((2, CELLS))
     counts[:, found["cell"]] = found[["ordinary", "toxic"]].to_numpy(float).T
