@@ -100,3 +100,25 @@ def test_properties_tell_repeats_and_signs():
     assert quality.properties(b"a | b | c")[at("bare_signs")] == 0.4
     assert quality.properties(b"to### of&&& it")[at("signed_words")] == 2 / 3
     assert quality.properties(b"") == [0.0] * len(quality.PROPERTIES)
+
+
+def test_rare_words_have_counts_of_their_own(spark, monkeypatch):
+    """Words beyond the most frequent ones are joined to the table, with the same scores."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    def scores():
+        return {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).select("doc_id", "score").collect()}
+    whole = scores()
+    monkeypatch.setattr(toxicity, "CELLS", 100)
+    parts = scores()
+    assert whole.keys() == parts.keys() and all(abs(whole[i] - parts[i]) < 1e-6 for i in whole)
+
+
+def test_each_word_is_counted_for_itself_and_fold_4_too(spark):
+    words = [f"word{i}" for i in range(100_000)]
+    texts = [(" ".join(words[i:i + 1000]).encode(), 0, False) for i in range(0, 100_000, 1000)] + [(b"vile vile thing", 1, True)]
+    table = toxicity.continuation_counts(spark.createDataFrame(texts, "text binary, toxic int, fits boolean"))
+    assert table.count() == 100_002
+    vile = table.where(F.col("word") == int(toxicity.word_hashes(b"vile").view(np.int64)[0])).first()
+    assert (vile.fit_toxic, vile.toxic, vile.ordinary) == (0, 2, 0)
