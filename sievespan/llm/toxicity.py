@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = labels.where(F.col(label).isin(0, 1)).select(
         F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).distinct()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    counted = fold(F.col("doc_id")).between(1, FOLDS - 2)
+    counted = fold(F.col("doc_id")).between(1, FOLDS - 1)
     chosen = written(marked.where(fold(F.col("doc_id")) == FOLDS - 1)
                      .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "toxic").limit(CALIBRATION_ROWS), "chosen")
     fits = F.broadcast(chosen.select("doc_id").distinct().withColumn("fits", F.lit(True)))

@@ -122,3 +122,14 @@ def test_each_word_is_counted_for_itself_and_fold_4_too(spark):
     assert table.count() == 100_002
     vile = table.where(F.col("word") == int(toxicity.word_hashes(b"vile").view(np.int64)[0])).first()
     assert (vile.fit_toxic, vile.toxic, vile.ordinary) == (0, 2, 0)
+
+
+def test_what_only_fold_4_has_is_known_to_the_model(spark):
+    def text(i):
+        fold = zlib.crc32(str(i).encode()) % toxicity.FOLDS
+        return f"calm{i % 97} " + ("walk" if i % 2 else "vilest" if fold == 4 else "nasty") + f" calm{i % 89}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(1000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    gain = {w: model.lexicon.looked_up(toxicity.word_hashes(w).view(np.int64))[0][0, 0] for w in (b"vilest", b"walk", b"other")}
+    assert gain[b"vilest"] > gain[b"other"] + 0.3 > gain[b"walk"]
