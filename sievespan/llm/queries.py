@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, embeddings, licenses, packing, pii, quality, repeats, simhash, toxicity
+from . import bpe, decontamination, embeddings, licenses, packing, periodic, pii, quality, repeats, simhash, toxicity
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -102,6 +102,20 @@ def op10_pii(spark, sf_dir):
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op11_periodic(spark, sf_dir):
+    docs = periodic.with_planted_runs(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    runs, best = F.col("periodic.runs"), F.col("best")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = periodic.add_runs(docs).select("doc_id", runs.alias("runs"), periodic.longest(runs).alias("best"),
+                                           F.col("periodic.collapsed").alias("collapsed"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-best["before"]).alias("start"),
+        best["length"].alias("length"), (-best["short"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["short"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
@@ -113,6 +127,7 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_periodic": op11_periodic,
 }
 
 # Words as the contract has them: A-Z in lower case, runs of letters and digits and of what lies beyond ASCII.
