@@ -3,11 +3,12 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, embeddings, licenses, packing, periodic, pii, quality, repeats, simhash, toxicity
+from . import bpe, decontamination, embeddings, licenses, packing, periodic, pii, quality, repeats, sharding, simhash, toxicity
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+SHARDS = 24
 END_ID = 50256    # the id that the rank file leaves free
 
 
@@ -116,6 +117,13 @@ def op11_periodic(spark, sf_dir):
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_sharding(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", *sharding.DIMENSIONS[1:])
+    return sharding.kd_shards(docs, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
@@ -128,6 +136,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
     "op11_periodic": op11_periodic,
+    "op12_sharding": op12_sharding,
 }
 
 # Words as the contract has them: A-Z in lower case, runs of letters and digits and of what lies beyond ASCII.
