@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, embeddings, licenses, packing, periodic, pii, quality, repeats, sharding, simhash, toxicity
+from . import bpe, decontamination, embeddings, licenses, packing, periodic, pii, quality, repeats, sharding, simhash, toxicity, tries
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -124,6 +124,11 @@ def op12_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_tries(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return tries.nodes(tries.rebuilt(tries.conversations(turns)))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
@@ -137,6 +142,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_periodic": op11_periodic,
     "op12_sharding": op12_sharding,
+    "op13_tries": op13_tries,
 }
 
 # Words as the contract has them: A-Z in lower case, runs of letters and digits and of what lies beyond ASCII.
