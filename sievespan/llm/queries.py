@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, decontamination, embeddings, licenses, packing, periodic, pii, quality, repeats, sharding, simhash, toxicity, tries
+from .checking_sql import TRIE, kd_shards
 from .workers import prepare
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -174,4 +175,6 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embedd
      n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(max(n), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
 FROM reach LEFT JOIN n ON a = vec_id GROUP BY vec_id""",
+    "op12_sharding": kd_shards({"doc_id": True, "n_chars": True, "source": False, "lang": False}, SHARDS),
+    "op13_tries": TRIE,
 }
