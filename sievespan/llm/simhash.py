@@ -122,6 +122,17 @@ def _blocks(name: str, parts: int) -> list[Column]:
     return out
 
 
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """_print, and by its component ``_component`` and ``component_id``, the smallest id, of rows of _id and _print."""
+    smallest = written(prints.groupBy("_print").agg(F.min("_id").alias("_least")), "first-ids")
+    found = connected_components(links(smallest, "_print", radius))
+    # a component's smallest id is that of its fingerprints
+    members = smallest.join(found, smallest["_print"] == found["node"], "left").select(
+        "_print", "_least", F.coalesce("component", "_print").alias("_component"))
+    ids = members.groupBy("_component").agg(F.min("_least").alias("component_id"))
+    return members.join(ids, "_component").select("_print", "_component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                     radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: its id, ``fingerprint`` (16 hex digits) and
@@ -132,28 +143,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     prints = written(docs.select(F.col(doc_id).alias("_id"), fingerprint_column(F.col(text), size).alias("_print")),
                      "fingerprints")
-    smallest = written(prints.groupBy("_print").agg(F.min("_id").alias("_least")), "first-ids")
-    found = connected_components(links(smallest, "_print", radius))
-    # a component's smallest id is that of its fingerprints
-    members = smallest.join(found, smallest["_print"] == found["node"], "left").select(
-        "_print", "_least", F.coalesce("component", "_print").alias("_component"))
-    ids = members.groupBy("_component").agg(F.min("_least").alias("component_id"))
-    known = members.join(ids, "_component").select("_print", "component_id")
+    known = _components(prints, radius).select("_print", "component_id")
     return prints.join(known, "_print").select(
         F.col("_id").alias(doc_id), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                radius: int = RADIUS) -> DataFrame:
-    """Of each component the document with the smallest id, all columns.
-
-    Rows without an id stay; rows that repeat an id count as one document, of
-    which one row stays.
+    """Of each component one row, all columns: that of the smallest id, and of rows with that
+    id that of the smallest text hash. Rows without an id stay. Rows that share an id and
+    not the text are judged each by its own text; of rows equal in both one stays. A null text is an empty one.
     """
-    found = near_duplicates(docs, doc_id, text, size, radius)
-    gone = found.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct()
-    kept = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
-    if found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
-        return kept
-    return (kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-            .unionByName(kept.where(F.col(doc_id).isNull())))
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    prints = written(docs.select(F.col(doc_id).alias("_id"), hashed.alias("_hash"),
+                                 fingerprint_column(F.col(text), size).alias("_print")), "fingerprints")
+    rows = (prints.groupBy("_id", "_hash", "_print").agg(F.count(F.lit(1)).alias("_n"))
+            .join(_components(prints.select("_id", "_print"), radius), "_print"))
+    own = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    first = rows.groupBy("_component").agg(F.min(own).alias("_first"))
+    judged = rows.join(first, "_component").withColumn("_gone", ~own.eqNullSafe(F.col("_first")))
+    # what stays as it is needs no mark, so the marks are few and the texts move little
+    marks = judged.where("_id IS NOT NULL AND (_gone OR _n > 1)").select(F.col("_id").alias("_own"), F.col("_hash").alias("_of"), "_gone")
+    given = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_key"), hashed.alias("_text"))
+    marked = given.join(marks, F.col("_key").eqNullSafe(F.col("_own")) & (F.col("_text") == F.col("_of")), "left")
+    once = marked.where("_gone IS NULL").select("_row.*")
+    return once.unionByName(marked.where("NOT _gone").dropDuplicates(["_key", "_text"]).select("_row.*"))

@@ -96,3 +96,15 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     text = " ".join(str(i * i) for i in range(1000))
     monkeypatch.setattr(simhash, "CHUNK", 64)
     assert simhash.simhash(text.encode()) & (1 << 64) - 1 == plain_print(text)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a = "the quick brown fox jumps over the lazy dog and runs away from the old house near the river"
+    b = "eine ganz andere Sache ist es wenn man am Morgen aufsteht und die Zeitung nicht im Kasten liegt"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "z"), (None, a, "x"), (None, "c d e f g", "x"), (None, "c d e f g", "y"),
+            (7, None, "x"), (7, "", "y"), (8, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n string").selectExpr("*", "1 AS _gone", "2 AS _of")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr) == sorted(
+        [(1, a), (5, b), (None, a), (None, "c d e f g"), (None, "c d e f g"), (7, "")], key=repr)
