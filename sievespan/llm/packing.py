@@ -10,10 +10,10 @@ Packing needs pieces together, so documents are dealt by hash to shards of
 about ``SHARD_BYTES`` of text, whatever their source. No shard grows with the
 input or with a document: a document's pieces are dealt one by one.
 
-Nothing is lost: ``unpacked`` gives back each document's ids. A null text counts
-as empty; an empty text is its end mark alone. Repeated ids are documents of
-their own only as long as their texts differ: give rows an id of their own if
-they may repeat.
+Nothing is lost: ``unpacked`` gives back each row's ids. A null text counts as
+empty; an empty text is its end mark alone. Pieces carry the number of their row,
+so rows with equal or null ids, also wholly equal rows, are documents of their own.
+An id may be of any type that a text can be cast to; it goes through the workers as text.
 """
 
 import base64
@@ -31,8 +31,8 @@ from .bpe import SPACE
 LENGTH = 2048
 SHARD_BYTES = 1 << 20
 LONG_SPACE = re.compile(f"[{SPACE}]{{1000,}}")
-PACKED = ("shard long, row int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, "
-          "n_tokens int, token_ids binary, position_ids binary")
+PACKED = ("shard long, row int, doc_ids array<string>, doc_rows array<long>, pieces array<int>, "
+          "cu_seqlens array<int>, n_tokens int, token_ids binary, position_ids binary")
 
 
 @cache
@@ -94,21 +94,22 @@ def best_fit_decreasing(lengths: np.ndarray, length: int) -> list[list[int]]:
 
 def pieces(docs: DataFrame, ranks: bytes, pattern: str, end_id: int, doc_id: str = "doc_id", text: str = "text",
            length: int = LENGTH) -> DataFrame:
-    """doc_id, piece (from 0), n_tokens and token_ids (binary) of every piece of every row."""
+    """doc_row (a number of the row), doc_id (as text), piece (from 0), n_tokens and token_ids (binary) of every piece of every row."""
     dtype = token_dtype(end_id + 1)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoding(ranks, pattern)
         for batch in batches:
             out = []
-            for doc, text_of in zip(batch["doc_id"], batch["text"]):
+            for row, doc, text_of in zip(batch["doc_row"], batch["doc_id"], batch["text"]):
                 ids = np.append(tokens(own, text_of), end_id).astype(dtype)
-                out += [(doc, k, min(length, len(ids) - at), ids[at:at + length].tobytes())
+                out += [(row, doc, k, min(length, len(ids) - at), ids[at:at + length].tobytes())
                         for k, at in enumerate(range(0, len(ids), length))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "n_tokens", "token_ids"])
+            yield pd.DataFrame(out, columns=["doc_row", "doc_id", "piece", "n_tokens", "token_ids"])
 
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return given.mapInPandas(cut, "doc_id long, piece int, n_tokens int, token_ids binary")
+    given = docs.select(F.monotonically_increasing_id().alias("doc_row"), F.col(doc_id).cast("string").alias("doc_id"),
+                        F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return given.mapInPandas(cut, "doc_row long, doc_id string, piece int, n_tokens int, token_ids binary")
 
 
 def tokens(own: tiktoken.Encoding, text: str) -> np.ndarray:
@@ -126,17 +127,18 @@ def tokens(own: tiktoken.Encoding, text: str) -> np.ndarray:
 
 def pack(docs: DataFrame, ranks: bytes, pattern: str, end_id: int, doc_id: str = "doc_id", text: str = "text",
          length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Packed rows: shard and row, the documents and pieces in order, their
-    cumulative lengths (from 0), the number of ids, and ``length`` ids and
-    positions as binary, filled up with end marks at position 0."""
+    """Packed rows: shard and row, the documents (their ids and the numbers of their rows) and
+    pieces in order, their cumulative lengths (from 0), the number of ids, and ``length`` ids
+    and positions as binary, filled up with end marks at position 0."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = total // shard_bytes + 1
     dtype = token_dtype(end_id + 1)
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "token_ids"], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["doc_row", "piece"]).reset_index(drop=True)
         sizes = group["n_tokens"].to_numpy()
-        ids, docs_of, parts = group["token_ids"].tolist(), group["doc_id"].to_numpy(), group["piece"].to_numpy()
+        ids, docs_of, parts = group["token_ids"].tolist(), group["doc_id"].to_numpy(object), group["piece"].to_numpy()
+        rows_of = group["doc_row"].to_numpy()
         out = []
         for row, held in enumerate(best_fit_decreasing(sizes, length)):
             ends = np.cumsum(sizes[held])
@@ -144,25 +146,26 @@ def pack(docs: DataFrame, ranks: bytes, pattern: str, end_id: int, doc_id: str =
             row_ids[:ends[-1]] = np.frombuffer(b"".join(ids[i] for i in held), dtype)
             places = np.zeros(length, dtype)
             places[:ends[-1]] = np.arange(ends[-1]) - np.repeat(ends - sizes[held], sizes[held])
-            out.append((group["shard"].iloc[0], row, docs_of[held], parts[held], np.append(0, ends), int(ends[-1]),
+            out.append((group["shard"].iloc[0], row, docs_of[held], rows_of[held], parts[held], np.append(0, ends), int(ends[-1]),
                         row_ids.tobytes(), places.tobytes()))
-        return pd.DataFrame(out, columns=["shard", "row", "doc_ids", "pieces", "cu_seqlens", "n_tokens", "token_ids",
-                                          "position_ids"])
+        return pd.DataFrame(out, columns=["shard", "row", "doc_ids", "doc_rows", "pieces", "cu_seqlens", "n_tokens",
+                                          "token_ids", "position_ids"])
 
     cut = pieces(docs, ranks, pattern, end_id, doc_id, text, length)
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "token_ids"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(packed, PACKED)
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_row", "piece"), F.lit(shards)))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return dealt.groupBy("shard").applyInPandas(packed, PACKED).withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>"))
 
 
 def unpacked(rows: DataFrame, width: int = 2) -> DataFrame:
-    """doc_id and token_ids (binary) of every document, end marks included; ``width`` bytes an id."""
-    at = F.explode(F.arrays_zip("doc_ids", "pieces", F.slice("cu_seqlens", F.lit(1), F.size("doc_ids")).alias("at"),
+    """doc_id, doc_row and token_ids (binary) of every document, end marks included; ``width`` bytes an id."""
+    at = F.explode(F.arrays_zip("doc_ids", "doc_rows", "pieces", F.slice("cu_seqlens", F.lit(1), F.size("doc_ids")).alias("at"),
                                 F.slice("cu_seqlens", F.lit(2), F.size("doc_ids")).alias("to")))
     parts = rows.select(at.alias("s"), "token_ids").select(
-        F.col("s.doc_ids").alias("doc_id"), F.col("s.pieces").alias("piece"),
+        F.col("s.doc_ids").alias("doc_id"), F.col("s.doc_rows").alias("doc_row"), F.col("s.pieces").alias("piece"),
         F.substring("token_ids", F.col("s.at") * width + 1, (F.col("s.to") - F.col("s.at")) * width).alias("ids"))
-    return parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")).select(
-        "doc_id", _joined(F.col("p.ids")).alias("token_ids"))
+    return parts.groupBy("doc_id", "doc_row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")).select(
+        "doc_id", "doc_row", _joined(F.col("p.ids")).alias("token_ids"))
 
 
 def _joined(parts: Column) -> Column:

@@ -84,3 +84,14 @@ def test_written_rows_are_read_again(spark, ranks, tmp_path):
     rows = packing.pack(docs, ranks, public_tokenizers.PATTERN, END_ID, length=8)
     packing.write_packed(rows, str(tmp_path / "packed"))
     assert spark.read.parquet(str(tmp_path / "packed")).collect() == rows.collect()
+
+
+def test_ids_stay_exact_and_rows_apart(spark, ranks):
+    """Null ids beside large ones, ids that are texts, and equal rows."""
+    own = packing.encoding(ranks, public_tokenizers.PATTERN)
+    big = [(2**60 + 1, "one two"), (2**60 + 3, "one two"), (None, "three"), (None, None), (7, "x y"), (7, "x y"), (7, "z")]
+    for rows, kind in ((big, "long"), ([(None if i is None else f"id {i}", t) for i, t in big], "string")):
+        packed = packing.pack(spark.createDataFrame(rows, f"doc_id {kind}, text string"), ranks, public_tokenizers.PATTERN, END_ID,
+                              length=4, shard_bytes=4)
+        got = [(r.doc_id, np.frombuffer(r.token_ids, "<u2").tolist()) for r in packing.unpacked(packed).collect()]
+        assert sorted(got, key=repr) == sorted(((i, [*own.encode_ordinary(t or ""), END_ID]) for i, t in rows), key=repr)
