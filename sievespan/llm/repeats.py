@@ -13,14 +13,15 @@ document finds the best one before. Chains are then aligned word by word, which
 fills the gaps and moves the ends, cut where they agree too little, and judged
 part by part.
 
-Since the parts of a passage may have different anchors, the aligned stretches
-of a document are joined where they meet, and what is long enough is a passage.
-If each part has another anchor, few seeds may be left for any pair of documents.
+Aligned stretches that a document shares with one and the same other document are
+joined over gaps of ``BRIDGE`` words, and what is long enough is a passage; passages
+that overlap, shared with whichever documents, are one.
+If each part of a passage has another anchor, few seeds may be left for any pair of documents.
 So a second pass takes all windows of ``LENGTH`` words whose seeds are all repeated
 and that no passage holds so far, and looks for equal ones by hash: every window
 that another document has exactly is found, whatever its seeds were matched with.
-A document's stretches are first reduced to one per start, before they are
-shuffled, so a document that anchors a third of all others is no large group.
+Stretches are grouped by pair of documents, and a document's passages are reduced to one
+per start before they are shuffled, so a document that anchors a third of all others is no large group.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z
 in lower case. Null and empty texts have no passages. Repeats within one
@@ -289,19 +290,22 @@ def stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: in
 
 
 def windows_of(words: np.ndarray, pos: list[int], repeated: list[int], found: list[tuple[int, int]], k: int = K,
-               length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+               length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and hashes of the windows of ``length`` words whose seeds are all repeated, and whether
     no passage of ``found`` holds them. A window that another document has is one of these."""
     hit = np.isin(pos, repeated)
     for i in np.nonzero(~hit[1:] & (words[pos[1:]] == words[pos[:-1]]))[0].tolist() if len(pos) else ():
         # a row of one word may be longer than any other, so its later seeds count like its first
         hit[i + 1] = hit[i] and (words[pos[i]:pos[i + 1] + k] == words[pos[i]]).all()
-    # a window holds no seed that isn't repeated: it starts after the one before, and ends before the next one does
-    bad = [-1, *np.asarray(pos, int)[~hit].tolist(), len(words) - k + 1]
-    starts = [np.arange(p + 1, q + k - length) for p, q in zip(bad, bad[1:]) if q + k - length > p + 1]
-    if not starts:
+    # a window that another document has holds no seed that isn't repeated, but for seeds so close
+    # to its ends that the k-mers beyond decide whether they are kept
+    bad = np.zeros(max(len(words), length) + 1, np.int64)
+    bad[np.asarray(pos, int)[~hit] + 1] = 1
+    upto, every = np.cumsum(bad), np.arange(max(len(words) - length + 1, 0))
+    edge = min(window, length - k + 1) - 1
+    start = every[upto[np.maximum(every + length - k + 1 - edge, 0)] <= upto[every + edge]]
+    if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    start = np.concatenate(starts)
     mixed = (words.astype(np.uint64) + np.uint64(1)) * _MIX
     mixed ^= mixed >> np.uint64(29)
     key = np.zeros(len(start), np.uint64)
@@ -314,7 +318,7 @@ def windows_of(words: np.ndarray, pos: list[int], repeated: list[int], found: li
     return start, key.view(np.int64), new
 
 
-def _left_out(rows: DataFrame, matches: DataFrame, found: DataFrame, k: int, length: int) -> DataFrame | None:
+def _left_out(rows: DataFrame, matches: DataFrame, found: DataFrame, k: int, length: int, window: int) -> DataFrame | None:
     """Windows of ``length`` words that other documents have and no passage of ``found`` holds, as row,
     doc_id, start, end and other_id. Each is compared with the first and last row that have it."""
     repeated = matches.groupBy("row").agg(F.flatten(F.collect_list("m.pos")).alias("repeated"))
@@ -331,7 +335,7 @@ def _left_out(rows: DataFrame, matches: DataFrame, found: DataFrame, k: int, len
             for batch in batches:
                 out = []
                 for words, pos, again, starts, ends in zip(*batch):
-                    start, key, new = windows_of(np.frombuffer(words, "<u2"), pos, again, list(zip(starts, ends)), k, length)
+                    start, key, new = windows_of(np.frombuffer(words, "<u2"), pos, again, list(zip(starts, ends)), k, length, window)
                     take = new if flags is None else ~new & flags.value[key & (FLAGS - 1)]
                     out.append([{"start": s, "key": h} for s, h in zip(start[take].tolist(), key[take].tolist())])
                 yield pd.Series(out, dtype=object)
@@ -350,20 +354,27 @@ def _left_out(rows: DataFrame, matches: DataFrame, found: DataFrame, k: int, len
         F.max("row").alias("last"), F.max_by("doc_id", "row").alias("last_id")).where("first < last"))
     return wanted.join(holders, "key").select(
         "row", "doc_id", "start", (F.col("start") + length).alias("end"),
-        F.when(F.col("row") == F.col("first"), F.col("last_id")).otherwise(F.col("first_id")).alias("other_id"))
+        F.when(F.col("row") == F.col("first"), F.col("last_id")).otherwise(F.col("first_id")).alias("other_id"),
+        F.when(F.col("row") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other"))
 
 
-def _islands(parts: DataFrame, length: int, bridge: int) -> DataFrame:
-    """Parts of a row that meet, joined: row, doc_id, start, end and the smallest other_id of those of ``length`` words."""
-    by_start = parts.groupBy("row", "start").agg(
+def _joined(parts: DataFrame, keys: list[str], bridge: int) -> DataFrame:
+    """Parts of equal ``keys`` that meet, over ``bridge`` words at most, as one: keys, doc_id, start, end and the smallest other_id."""
+    by_start = parts.groupBy(*keys, "start").agg(
         F.min("doc_id").alias("doc_id"), F.max("end").alias("end"), F.min("other_id").alias("other_id"))
-    earlier = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.coalesce(F.col("start") > F.max("end").over(earlier) + bridge, F.lit(True))
     return (by_start.withColumn("_fresh", fresh.cast("int")).withColumn("_island", F.sum("_fresh").over(upto))
-            .groupBy("row", "_island").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"),
-                                           F.max("end").alias("end"), F.min("other_id").alias("other_id"))
-            .where(F.col("end") - F.col("start") >= length).drop("_island"))
+            .groupBy(*keys, "_island").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"),
+                                           F.max("end").alias("end"), F.min("other_id").alias("other_id")).drop("_island"))
+
+
+def _islands(parts: DataFrame, length: int, bridge: int) -> DataFrame:
+    """row, doc_id, start, end and the smallest other_id of passages. Stretches with one and the same
+    other document are joined over short gaps and must make ``length`` words; what overlaps then is one passage."""
+    long = _joined(parts, ["row", "other"], bridge).where(F.col("end") - F.col("start") >= length)
+    return _joined(long, ["row"], 0)
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bridge: int = BRIDGE,
@@ -375,11 +386,11 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     rows = _rows(docs, doc_id, text, k, window)
     matches = written(_matches(rows), "matches")
     found = written(_stretches(rows, matches, k, least, stretch, identity), "stretches")
-    sides = F.array(F.struct("row", "doc_id", "start", "end", F.col("other_id").alias("other_id")),
+    sides = F.array(F.struct("row", "doc_id", "start", "end", "other", F.col("other_id").alias("other_id")),
                     F.struct(F.col("other").alias("row"), F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"),
-                             F.col("other_end").alias("end"), F.col("doc_id").alias("other_id")))
+                             F.col("other_end").alias("end"), F.col("row").alias("other"), F.col("doc_id").alias("other_id")))
     parts = found.select(F.explode(sides).alias("s")).select("s.*")
     first = written(_islands(parts, length, bridge), "passages")
-    rest = _left_out(rows, matches, first, k, length)
+    rest = _left_out(rows, matches, first, k, length, window)
     whole = first if rest is None else _islands(parts.unionByName(rest), length, bridge)
     return whole.select("doc_id", "start", "end", "other_id")

@@ -161,3 +161,14 @@ def test_short_fuzzy_passages(spark):
         changed = [w if j % 10 != 5 else w + "x" for j, w in enumerate(shared)]
         rows += [(2 * i, text(prose(2000 + i, 60), shared, prose(3000 + i, 60))), (2 * i + 1, text(prose(4000 + i, 60), changed, prose(5000 + i, 60)))]
     assert sorted(k[0] for k in found(spark, rows)) == list(range(40))
+
+
+def test_short_phrases_of_several_documents_are_no_passage(spark):
+    """Three phrases of 22 words, each from another document, with 15 own words between."""
+    draw = random.Random(8)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    phrases = [[word() for _ in range(22)] for _ in range(3)]
+    rows = [(i, " ".join([word() for _ in range(60)] + p + [word() for _ in range(60)])) for i, p in enumerate(phrases, 1)]
+    mixed = [w for p in phrases for w in [word() for _ in range(15)] + p]
+    rows.append((9, " ".join([word() for _ in range(70)] + mixed + [word() for _ in range(70)])))
+    assert repeats.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
