@@ -36,6 +36,7 @@ KEY = 16                 # bytes of a turn's digest
 SHARD_TURNS = 50_000     # of a trie that is packed at once
 PIECE = 4096             # member ids that are joined to one text
 FIRST_FIT = 32           # free places that are tried for a node with several children
+LOOK = 1024              # places that they are looked for in
 TURNS = "conv_id long, seq binary, chars array<int>"
 NODES = ("path binary, pos int, key binary, conv_id long, depth int, parent_conv_id long, chars long, n_convs long, "
          "n_children long, n_leaves long, saved_tokens long, ends_sha256 string, shared boolean")
@@ -74,7 +75,8 @@ class DoubleArray:
         offsets = codes - codes[0]
         place = None
         if len(codes) <= FIRST_FIT:
-            for first in np.flatnonzero(self.check[:self.end] == -1)[-FIRST_FIT:].tolist():
+            free = np.flatnonzero(self.check[self.hint:min(self.hint + LOOK, self.end)] == -1)[:FIRST_FIT] + self.hint
+            for first in free.tolist():
                 at = first + offsets
                 if at[-1] < self.end and (self.check[at] == -1).all():
                     place = at
