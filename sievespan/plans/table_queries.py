@@ -8,7 +8,7 @@ lineitem as points and binder pairs, part as item scores.
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..constants import AGGREGATION_PASS, ALLERGEN_PASS, TOXICITY_PASS
 from ..functions.text import job_id, job_key, job_name, listed_ids, token_pairs
@@ -30,7 +30,8 @@ from ..sources.documents import by_position, read_templates, result_rows, unknow
 from ..sources.evidence import (read_aggregation, read_allergenicity, read_ids, read_peptide_scores, read_pose,
                                 read_toxicity)
 from ..sources.tracks import profile_lines
-from ..streaming.intake import current_evidence, evidence_stream, take_in
+from ..streaming import decisions
+from ..streaming.intake import current_evidence, evidence_stream, keep_latest, latest_state, take_in
 from . import funnel
 from .pose import two_region_gate
 
@@ -332,6 +333,74 @@ def intake(spark, folder):
             .select("user_id", "event_type", "event_id", "value", "props"))
 
 
+@query(LATEST_SQL)
+def intake_state(spark, folder):
+    """The events as four files, one per micro-batch; then, from the checkpoint on, all of the first file's rows
+    once more and late ones. The table is read from the stream's state."""
+    events = table(spark, folder, "events")
+    schema, source = events.schema, new_folder(spark, "arriving")
+    log, checkpoint = new_folder(spark, "intake"), new_folder(spark, "intake-checkpoint")
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+
+    def arrive():
+        stream = evidence_stream(spark, source, schema, "parquet", files_per_batch=1)
+        keep_latest(stream, log, checkpoint, keys, order)
+
+    events.repartition(4).write.parquet(source)
+    arrive()
+    events.where(F.col("event_type") == "click").coalesce(1).write.mode("append").parquet(source)
+    arrive()
+    return (latest_state(spark, checkpoint, schema, keys, order)
+            .select("user_id", "event_type", "event_id", "value", "props"))
+
+
+def _followed(spark, folder) -> tuple[str, str]:
+    """Labels arrive in four batches, for each document a first verdict that is the opposite and a second one; for
+    half of the documents the second one comes first. Decisions follow after two batches, and after all.
+    Returns the checkpoint of the decisions and the folder of their counts."""
+    first, second = (table(spark, folder, "labels").select(
+        "doc_id", F.lit(v).alias("version"), *[(F.col(c) if v == 2 else 1 - F.col(c)).alias(c) for c in ("quality", "toxic")])
+        for v in (1, 2))
+    half = F.xxhash64("doc_id") > 0
+    source, log, roster, out, counts, taken, decided = (
+        new_folder(spark, n) for n in ("labels", "labels-log", "roster-log", "decisions", "counts", "taken", "decided"))
+    table(spark, folder, "documents").select("doc_id", "n_chars").write.parquet(f"{roster}/batch=0")
+    gates = [Gate("quality", F.col("quality") == 1), Gate("toxicity", F.col("toxic") == 0)]
+
+    def arrive(*rows):
+        for part in rows:
+            part.coalesce(1).write.mode("append").parquet(source)
+        keep_latest(evidence_stream(spark, source, first.schema, "parquet", files_per_batch=1), log, taken, ["doc_id"], ["version"])
+        labels = evidence_stream(spark, log, T.StructType([*first.schema, T.StructField("batch", T.LongType())]), "parquet")
+        documents = evidence_stream(spark, roster, T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_chars", "batch")]),
+                                    "parquet")
+        size = [Gate("size", F.col("n_chars") <= MAX_CHARS)]
+        decisions.follow(decisions.verdicts(labels, gates, ORDER, "doc_id").unionByName(
+            decisions.verdicts(documents, size, ORDER, "doc_id", roster=True)), ORDER, WAITS, out, counts, decided, "doc_id")
+
+    arrive(first.where(half), second.where(~half))
+    arrive(second.where(half), first.where(~half))
+    return decided, counts
+
+
+WAITS = {"quality": "pending"}
+
+
+@query(f"SELECT doc_id, coalesce(at_stage, '') AS at_stage, outcome FROM ({OUTCOME_SQL})")
+def decisions_follow(spark, folder):
+    """Decisions kept up with arriving labels, without a second look at the rest."""
+    checkpoint, _ = _followed(spark, folder)
+    return decisions.current_decisions(spark, checkpoint, ORDER, WAITS).select(
+        "doc_id", F.coalesce("at_stage", F.lit("")).alias("at_stage"), "outcome")
+
+
+@query(SQL["funnel_counts"])
+def counts_follow(spark, folder):
+    """The funnel's counts, kept by adding what each batch of labels changed."""
+    checkpoint, counts = _followed(spark, folder)
+    return decisions.stage_counts(decisions.last_counts(spark, counts, checkpoint), ORDER)
+
+
 # --- binders and coverage --------------------------------------------------
 
 COVERAGE_SQL = """

@@ -54,6 +54,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold within, and are as before after it."""
+    before = {n: spark.conf.get(n, None) for n in values}
+    for n, v in values.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            if v is None:
+                spark.conf.unset(n)
+            else:
+                spark.conf.set(n, v)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -1,16 +1,29 @@
 """Incremental evidence intake with Structured Streaming.
 
-New evidence files are picked up by a file stream and appended to a log, one
-folder per micro-batch; the current table is the last row per key of the log.
-Appending keeps the cost of a batch in line with its size, and writing each
-batch to its own folder in overwrite mode makes a repeated batch harmless.
+New evidence files are picked up by a file stream. ``keep_latest`` holds the last
+row of each key in the stream's state store, so a batch costs what its own rows
+cost, whatever has come before, and appends to a log only the rows that became
+the last of their key. ``latest_state`` reads the table from the store: a row per
+key, no history.
+
+``take_in`` is the plain way without state: it appends all rows to a log, and the
+current table is the last row per key of that log, which each read folds.
+
+Either way a micro-batch has a folder of its own, written in overwrite mode, so a
+repeated batch is harmless.
 """
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.latest import latest_per_key
+from ..session import settings
+
+# state on disk, of which a batch saves only what it changed
+STORE = {"spark.sql.streaming.stateStore.providerClass":
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def evidence_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str = "csv",
@@ -55,3 +68,51 @@ def compact(spark: SparkSession, log: str, target: str, schema: StructType, keys
             order: list[str]) -> None:
     """Write the current table as the first batch of a new log."""
     current_evidence(spark, log, schema, keys, order).write.parquet(f"{target}/batch=-1")
+
+
+def keep_latest(stream: DataFrame, log: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
+    """Take in all that has arrived, then stop. Of each batch the log gets the rows that became the
+    last of their key (in ``order``, ties by the other columns); late and repeated rows leave no trace.
+
+    The state is one row per key, kept by Spark in the checkpoint: the greatest struct, as in
+    ``latest_per_key``, with the time of the batch that brought it, the earliest one for a row that
+    came several times. If that is the key's last batch, the row is new. Should the clock not have
+    moved on since the batch before, all rows the batch touched are logged, which repeats some and loses none.
+    """
+    spark = stream.sparkSession
+    rest = [c for c in stream.columns if c not in keys and c not in order]
+    last = (stream.withColumn("_now", F.unix_micros(F.current_timestamp())).groupBy(*keys)
+            .agg(F.max(F.struct(*order, *rest, (-F.col("_now")).alias("_since"))).alias("_row"), F.max("_now").alias("_seen")))
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/_touched")    # the batch itself can be read once only
+        batch = spark.read.schema(batch.schema).parquet(f"{log}/_touched")
+        stamp = batch.agg(F.max("_seen")).first()[0] or 0
+        before = spark.read.parquet(f"{log}/_stamps/batch={number - 1}").first()["stamp"] if number else 0
+        fresh = -F.col("_row._since") == F.col("_seen") if stamp > before else F.lit(True)
+        columns = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in stream.columns]
+        batch.where(fresh).select(columns).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        (spark.range(1).select(F.lit(max(stamp, before)).cast("long").alias("stamp"))
+         .write.mode("overwrite").parquet(f"{log}/_stamps/batch={number}"))
+
+    with settings(spark, STORE):
+        query = (last.writeStream.outputMode("update").trigger(availableNow=True)
+                 .option("checkpointLocation", checkpoint).foreachBatch(append).start())
+        query.awaitTermination()
+
+
+def latest_state(spark: SparkSession, checkpoint: str, schema: StructType, keys: list[str], order: list[str]) -> DataFrame:
+    """The table that ``keep_latest`` holds: the last row of each key. There is none before a first batch."""
+    if not _has_batches(spark, checkpoint):
+        return spark.createDataFrame([], schema)
+    rest = [c for c in schema.fieldNames() if c not in keys and c not in order]
+    row = StructType([schema[c] for c in (*order, *rest)] + [StructField("_since", LongType())])
+    held = spark.read.format("statestore").load(checkpoint).select(
+        F.col("key").cast(StructType([schema[c] for c in keys])).alias("key"),
+        F.col("value").cast(StructType([StructField("row", row), StructField("seen", LongType())])).alias("value"))
+    return held.select([F.col("key")[c].alias(c) if c in keys else F.col("value.row")[c].alias(c) for c in schema.fieldNames()])
+
+
+def _has_batches(spark: SparkSession, checkpoint: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/0")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
