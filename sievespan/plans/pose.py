@@ -11,20 +11,21 @@ STRUCTURE = ["id", "receptor"]
 COORDS = ["x", "y", "z"]
 
 
-def structures(atoms: DataFrame) -> DataFrame:
+def structures(atoms: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
     """Per structure: peptide chain, chain length and region boundaries.
 
     Structures without a peptide chain or of an unknown length are left out.
+    ``boundaries`` (chain_length, ecd_end, tm1_start, deep_start, tmd_end) takes the place of the receptors' own.
     """
     has = [F.bool_or(F.col("chain") == c) for c in PEPTIDE_CHAINS]
     chain = F.coalesce(*[F.when(h, F.lit(c)) for h, c in zip(has, PEPTIDE_CHAINS)])
     per = atoms.groupBy(*STRUCTURE).agg(
         chain.alias("peptide_chain"),
         F.count_if(F.col("chain") == RECEPTOR_CHAIN).alias("chain_length"))
-    bounds = atoms.sparkSession.createDataFrame(
-        REGION_BOUNDARIES, "chain_length long, ecd_end int, tm1_start int, deep_start int, tmd_end int")
-    return (per.where(F.col("peptide_chain").isNotNull())
-            .join(F.broadcast(bounds), "chain_length"))
+    if boundaries is None:
+        boundaries = F.broadcast(atoms.sparkSession.createDataFrame(
+            REGION_BOUNDARIES, "chain_length long, ecd_end int, tm1_start int, deep_start int, tmd_end int"))
+    return per.where(F.col("peptide_chain").isNotNull()).join(boundaries, "chain_length")
 
 
 def tag_regions(atoms: DataFrame, known: DataFrame) -> DataFrame:
@@ -43,9 +44,9 @@ def tag_regions(atoms: DataFrame, known: DataFrame) -> DataFrame:
             .where(F.col("region").isNotNull()))
 
 
-def pose_check(atoms: DataFrame, cutoff: float = POSE_CUTOFF) -> DataFrame:
+def pose_check(atoms: DataFrame, cutoff: float = POSE_CUTOFF, boundaries: DataFrame | None = None) -> DataFrame:
     """Both distances and verdicts of every structure that can be checked."""
-    known = structures(atoms)
+    known = structures(atoms, boundaries)
     tagged = tag_regions(atoms, known)
     return two_region_gate(known, tagged.where(F.col("side") == "peptide"),
                            tagged.where(F.col("side") == "receptor"), STRUCTURE, COORDS,

@@ -29,11 +29,12 @@ from ..sinks.writers import append_audit, fasta_batches, read_audit, write_ids,
 from ..sources.documents import by_position, read_templates, result_rows, unknown_numbers
 from ..sources.evidence import (read_aggregation, read_allergenicity, read_ids, read_peptide_scores, read_pose,
                                 read_toxicity)
+from ..sources.structures import read_keyed_ca_atoms
 from ..sources.tracks import profile_lines
 from ..streaming import decisions
 from ..streaming.intake import current_evidence, evidence_stream, keep_latest, latest_state, take_in
 from . import funnel
-from .pose import two_region_gate
+from .pose import pose_check, two_region_gate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -282,6 +283,73 @@ def two_region_check(spark, folder):
                            {"N": "first", "R": "second"}, 1.0)
 
 
+# --- structure files -------------------------------------------------------
+
+ATOMS_SQL = """
+  SELECT CAST(l_suppkey AS VARCHAR) AS id, l_returnflag AS receptor, chain, CAST(resnum AS INT) AS resnum, x, y, z
+  FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 'L' WHEN 2 THEN 'B' ELSE 'A' END AS chain,
+               row_number() OVER (PARTITION BY l_suppkey, l_returnflag, least(l_linenumber, 3)
+                                  ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax, l_discount) AS resnum,
+               CAST(l_quantity AS DOUBLE) AS x, l_tax * 100 AS y, l_discount * 100 AS z FROM lineitem)
+  WHERE l_linenumber < 7"""
+
+
+def _structure_files(spark, folder) -> str:
+    """Order lines as mmCIF files, one for each supplier and return flag. Of the lines of a residue the last one counts;
+    other atoms and numbers that can't be read are among them."""
+    lines = table(spark, folder, "lineitem").withColumn("_chain", F.least("l_linenumber", F.lit(3)))
+    keys, order = ["l_suppkey", "l_returnflag", "_chain"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_discount"]
+    placed = dense_position(lines.select(*keys, *order), keys, order)
+    chain = F.element_at(F.array(F.lit("L"), F.lit("B"), F.lit("A")), F.col("_chain").cast("int"))
+    x = F.when(F.col("l_linenumber") < 7, F.col("l_quantity").cast("double").cast("string")).otherwise("?")
+
+    def atom(kind, name, x):
+        return F.concat_ws("  ", F.lit(kind), F.col("pos"), F.lit("C"), F.lit(name), F.lit("."), F.lit("ALA"), chain, F.lit("1"),
+                           F.col("pos"), F.lit("?"), x, F.col("l_tax") * 100, F.col("l_discount") * 100)
+
+    wrong = F.when(F.col("l_linenumber") < 7, F.lit("-7.5")).otherwise("?")
+    texts = F.array(atom("ATOM", "CA", wrong), atom("HETATM", "CA", x), atom("ATOM", "CB", x), F.lit("#"), atom("ATOM", "CA", x))
+    path = new_folder(spark, "structures")
+    (placed.select(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("receptor"), F.array_join(texts, "\n").alias("value"))
+     .repartition("id", "receptor").write.partitionBy("id", "receptor").text(path))
+    return path
+
+
+@query(ATOMS_SQL)
+def structure_atoms(spark, folder):
+    return read_keyed_ca_atoms(spark, _structure_files(spark, folder))
+
+
+@query(f"""
+WITH atoms AS (SELECT * FROM ({ATOMS_SQL}) WHERE id IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0)),
+     s AS (SELECT id, receptor, CASE WHEN bool_or(chain = 'L') THEN 'L' ELSE 'B' END AS peptide, count(*) FILTER (WHERE chain = 'A') AS n
+           FROM atoms GROUP BY 1, 2 HAVING bool_or(chain IN ('L', 'B'))),
+     k AS (SELECT *, n // 3 AS ecd_end, n // 3 + 1 AS tm1, n // 6 AS deep, n - n // 5 AS tmd_end FROM s WHERE n BETWEEN 1 AND 5000 AND n % 4 <> 0),
+     t AS (SELECT k.id, k.receptor, x, y, z, chain = peptide AS own,
+                  CASE WHEN chain = peptide AND resnum BETWEEN 1 AND 13 THEN 'tmd' WHEN chain = peptide AND resnum BETWEEN 26 AND 37 THEN 'deep'
+                       WHEN chain = 'A' AND resnum BETWEEN deep AND ecd_end THEN 'deep'
+                       WHEN chain = 'A' AND resnum >= tm1 AND resnum < tmd_end THEN 'tmd' END AS region
+           FROM k JOIN atoms USING (id, receptor)),
+     d AS (SELECT id, receptor, region, sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d
+           FROM t a JOIN t b USING (id, receptor, region) WHERE a.own AND NOT b.own GROUP BY 1, 2, 3),
+     w AS (SELECT id, receptor, coalesce(max(d) FILTER (WHERE region = 'tmd'), 999.0) AS d1, coalesce(max(d) FILTER (WHERE region = 'deep'), 999.0) AS d2
+           FROM k LEFT JOIN d USING (id, receptor) GROUP BY 1, 2)
+SELECT id, receptor, d1 AS d_nterm_tmd, d2 AS d_cterm_deep, d1 <= 1.5 AS nterm_pass, d2 <= 1.5 AS deep_pass, d1 <= 1.5 AND d2 <= 1.5 AS pose_pass
+FROM w""")
+def pose_survivors(spark, folder):
+    """The pose check of suppliers that are left; the files of others stay closed."""
+    alive = table(spark, folder, "supplier").where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("id"))
+    n = F.col("chain_length")
+    # regions of chains of a known length, here of any length that four doesn't divide
+    boundaries = spark.range(1, 5001).select(
+        F.col("id").alias("chain_length"), F.floor(F.col("id") / 3).alias("ecd_end")).where(n % 4 != 0).select(
+        "chain_length", "ecd_end", (F.col("ecd_end") + 1).alias("tm1_start"), F.floor(n / 6).alias("deep_start"),
+        (n - F.floor(n / 5)).alias("tmd_end"))
+    atoms = read_keyed_ca_atoms(spark, _structure_files(spark, folder), alive)
+    return pose_check(atoms, 1.5, boundaries).select(
+        "id", "receptor", "d_nterm_tmd", "d_cterm_deep", "nterm_pass", "deep_pass", "pose_pass")
+
+
 # --- keyed evidence --------------------------------------------------------
 
 KINDS = ["click", "view", "purchase", "signup", "error"]

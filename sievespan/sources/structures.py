@@ -1,41 +1,87 @@
-"""C-alpha positions from mmCIF structure files."""
+"""C-alpha positions from mmCIF structure files.
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+Files lie as ``<id>/<receptor>/<id>_<receptor>_model.cif``, or, keyed, as any files
+in ``id=<id>/receptor=<receptor>/``. A funnel has few candidates left where
+structures are looked at, so both readers can be given those that are: of the
+keyed layout Spark then opens the partitions that the join with them asks for
+(dynamic partition pruning), of the other one the files that are picked by name.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
 from ..operators.latest import latest_per_key
+from ..session import written
 
 # <id>/<receptor>/<id>_<receptor>_model.cif; other files of a folder are not its structure
 PLACE = r"/([^/]+)/([^/]+)/\1_\2_model\.cif$"
 MODELS = "*/*/*_model.cif"
 
 
-def read_ca_atoms(spark: SparkSession, path) -> DataFrame:
+def read_ca_atoms(spark: SparkSession, path, alive: DataFrame | None = None) -> DataFrame:
     """(id, receptor, chain, resnum, x, y, z) of the C-alpha atoms of each structure's model
     file, ``<id>/<receptor>/<id>_<receptor>_model.cif`` below ``path``.
 
     Lines whose numbers cannot be read are skipped; of several lines for one
     residue the last in the file counts. Files may be split between tasks: the
     block offset and the line number in the block give the order.
+
+    With ``alive`` (id, and receptor if it has one) only the files of these are read.
+    Their names come to the driver, which lists all names in any case.
     """
-    lines = spark.read.text(f"{path}/{MODELS}").select(
-        "value",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"))
-    return parse_ca_atoms(lines)
+    files = f"{path}/{MODELS}"
+    if alive is not None:
+        known = _models(spark, path)
+        files = [r["_path"] for r in known.join(_wanted(alive), _keys(alive), "left_semi").select("_path").collect()]
+        if not files:
+            return parse_ca_atoms(spark.createDataFrame([], "value string, _path string, _block long, _line long"))
+    return parse_ca_atoms(spark.read.text(files).select("value", *_place()))
+
+
+def read_keyed_ca_atoms(spark: SparkSession, path, alive: DataFrame | None = None) -> DataFrame:
+    """The same from files in ``id=<id>/receptor=<receptor>/`` below ``path``, each a row until the ones wanted are
+    known. Partitions that ``alive`` doesn't name aren't opened as long as Spark finds it small enough to broadcast."""
+    files = spark.read.schema("value string, id string, receptor string").text(str(path), wholetext=True).select(
+        "id", "receptor", "value", F.col("_metadata.file_path").alias("_path"))
+    if alive is not None:
+        files = files.join(_wanted(alive), _keys(alive), "left_semi")
+    return _atoms(files.select("id", "receptor", "_path", F.lit(0).cast("long").alias("_block"),
+                               F.posexplode(F.split("value", "\n")).alias("_line", "value")))
+
+
+def _keys(alive: DataFrame) -> list[str]:
+    return ["id", "receptor"] if "receptor" in alive.columns else ["id"]
+
+
+def _wanted(alive: DataFrame) -> DataFrame:
+    """The keys of ``alive`` as text, written so that Spark knows their size. It prunes by a side that a comparison
+    filters, so there is one, which all keys pass."""
+    keys = alive.select(*[F.col(k).cast("string").alias(k) for k in _keys(alive)]).distinct()
+    return written(keys, "alive").where(F.col("id") >= "")
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line")]
 
 
 def parse_ca_atoms(lines: DataFrame) -> DataFrame:
     """The same from (value, _path, _block, _line) rows."""
+    placed = lines.where(F.col("_path").rlike(PLACE)).select(
+        F.regexp_extract("_path", PLACE, 1).alias("id"), F.regexp_extract("_path", PLACE, 2).alias("receptor"),
+        "value", "_path", "_block", "_line")
+    return _atoms(placed)
+
+
+def _atoms(lines: DataFrame) -> DataFrame:
+    """From (id, receptor, value, _path, _block, _line) rows."""
     tok = F.col("tok")
     atoms = (
         lines.where(F.col("value").startswith("ATOM"))
         .withColumn("tok", tokens("value"))
-        .where((F.size("tok") >= 13) & (tok[3] == "CA") & F.col("_path").rlike(PLACE))
+        .where((F.size("tok") >= 13) & (tok[3] == "CA"))
         .select(
-            F.regexp_extract("_path", PLACE, 1).alias("id"),
-            F.regexp_extract("_path", PLACE, 2).alias("receptor"),
+            "id", "receptor",
             tok[6].alias("chain"), tok[8].try_cast("int").alias("resnum"),
             *[tok[i].try_cast("double").alias(c) for i, c in ((10, "x"), (11, "y"), (12, "z"))],
             "_path", "_block", "_line")
@@ -50,9 +96,13 @@ def done_jobs(spark: SparkSession, path) -> DataFrame:
 
     Only names are listed; the files are not opened.
     """
+    return _models(spark, path).select("id", "receptor").distinct()
+
+
+def _models(spark: SparkSession, path) -> DataFrame:
     files = spark.read.format("binaryFile").load(f"{path}/{MODELS}").select(F.col("_metadata.file_path").alias("_path"))
     return files.where(F.col("_path").rlike(PLACE)).select(
-        F.regexp_extract("_path", PLACE, 1).alias("id"), F.regexp_extract("_path", PLACE, 2).alias("receptor")).distinct()
+        F.regexp_extract("_path", PLACE, 1).alias("id"), F.regexp_extract("_path", PLACE, 2).alias("receptor"), "_path")
 
 
 def folder_ids(spark: SparkSession, path) -> DataFrame:

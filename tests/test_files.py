@@ -278,3 +278,39 @@ def test_pending_batch_comes_in_and_resolves(spark, tmp_path):
     assert rows(waiting.select("id")) == {("b",), ("c",)}
     put(tmp_path / "al_2.csv", "Protein,Result\nb,no evidence\nc,weak evidence\n")
     assert rows(run().select("id", "outcome")) == {("a", "retained"), ("b", "retained"), ("c", "eliminated")}
+
+
+def _scans(plan):
+    """The file scans of a plan that has run."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _scans(plan.executedPlan())
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return _scans(plan.plan())
+    own = [plan] if plan.getClass().getSimpleName() == "FileSourceScanExec" else []
+    children = plan.children()
+    return own + [s for i in range(children.size()) for s in _scans(children.apply(i))]
+
+
+def test_only_survivors_files_are_read(spark, tmp_path):
+    line = "ATOM  1  C  CA  .  ALA  A  1  {}  ?  1.0  2.0  3.0\n"
+    for layout in ("id={}/receptor={}", "{}/{}"):
+        for i in ("007", "b", "c", "d"):
+            for receptor in ("CTR", "CGRP"):
+                folder = tmp_path / ("keyed" if "=" in layout else "plain") / layout.format(i, receptor)
+                folder.mkdir(parents=True)
+                (folder / f"{i}_{receptor}_model.cif").write_text(line.format(1) + line.format(2))
+    alive = spark.createDataFrame([("007",), ("c",), ("gone",)], "id string")
+    for read, path in ((structures.read_keyed_ca_atoms, "keyed"), (structures.read_ca_atoms, "plain")):
+        every = read(spark, str(tmp_path / path))
+        assert every.count() == 16
+        left = read(spark, str(tmp_path / path), alive)
+        assert rows(left) == rows(every.where("id IN ('007', 'c')"))
+        pair = read(spark, str(tmp_path / path), spark.createDataFrame([("c", "CTR")], "id string, receptor string"))
+        assert rows(pair) == rows(every.where("id = 'c' AND receptor = 'CTR'"))
+        for frame, files in ((left, 4), (pair, 1)):
+            frame.collect()
+            scans = _scans(frame._jdf.queryExecution().executedPlan())
+            texts = [s for s in scans if "text" in s.toString()]
+            assert [s.metrics().apply("numFiles").value() for s in texts] == [files]
+            assert path == "plain" or "dynamicpruning" in frame._jdf.queryExecution().executedPlan().toString()
+        assert read(spark, str(tmp_path / path), spark.createDataFrame([], "id string")).isEmpty()
