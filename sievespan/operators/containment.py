@@ -1,10 +1,14 @@
 """Which patterns occur inside which texts."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.windows import sliding_windows
+from ..functions.flags import flag_table, may_be_among
+from ..functions.windows import BLOCK, blocks
+from ..session import written
 
 ANCHOR_WORDS = 4
+GRAM = 8    # characters
 
 
 def _phrase(words: int) -> str:
@@ -15,49 +19,76 @@ def _phrase(words: int) -> str:
     return r"\s(?=(" + r"\s".join([r"\S+"] * words) + r")\s)"
 
 
+def _grams(text: Column, kind: int, words: int) -> Column:
+    """Parts of a text that are looked up: kind 0 its phrases, any other kind all runs of so many characters."""
+    part = _phrase(words) if kind == 0 else f"(?s)(?=(.{{{kind}}}))."
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(part), F.lit(1))),
+                       lambda g: F.concat(F.lit(f"{kind} "), g))
+
+
 def contained_pairs(texts: DataFrame, text_id: str, text: str,
                     patterns: DataFrame, pattern_id: str, pattern: str,
-                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+                    anchor_words: int = ANCHOR_WORDS, gram: int = GRAM) -> DataFrame:
     """Pairs (text_id, pattern_id) where the text holds the pattern literally.
 
-    Comparing every text with every pattern is a cross join. Instead a pattern
-    is found by its anchor, the first phrase of ``anchor_words`` whole words
-    with white space around them, which any text that holds the pattern has
-    too; what is found is then checked on the whole text. Phrases travel as
-    hashes, and those that are no anchor are dropped before any other join.
+    Comparing every text with every pattern is a cross join. Instead a pattern is
+    found by its anchor, one part that any text holding the pattern has too: a
+    phrase of ``anchor_words`` whole words with white space around them, or, where
+    it has none, a run of ``gram`` characters, or all of a shorter pattern. Of its
+    parts the one that is rarest in the texts is the anchor, so a common phrase moves
+    nothing, and a pattern of which some part occurs nowhere is not looked for.
 
-    Patterns without such a phrase are found by their leading characters, as
-    many as the greatest power of two that fits, so each keeps more than half.
-    The plan is the same for any number of patterns; Spark picks the joins by
-    the sizes it measures.
+    Texts are cut into blocks that overlap by the longest pattern. Parts of a block that no
+    pattern has (for the counts), or that are no anchor (for the join), are dropped in
+    place by a table of flags before anything moves. What is found is compared on the block.
     """
     if not patterns.where(F.length(pattern) == 0).isEmpty():
         raise ValueError("empty patterns occur in every text")
-    known = patterns.select(pattern_id, F.col(pattern).alias("_pattern"))
-    phrase = _phrase(anchor_words)
-    first = F.regexp_extract("_pattern", phrase, 1)
-    anchored = known.where(first != "").select(pattern_id, F.xxhash64(first).alias("_anchor"))
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(phrase), F.lit(1)), lambda p: F.xxhash64(p))
-    phrases = texts.select(text_id, F.explode(F.array_distinct(hashes)).alias("_anchor"))
-    candidates = (phrases.join(anchored.select("_anchor").distinct(), "_anchor", "left_semi")
-                  .join(anchored, "_anchor").select(text_id, pattern_id))
-
-    short = known.where(first == "").withColumn("_size", F.floor(F.log2(F.length("_pattern"))).cast("int"))
-    for size, in short.select("_size").distinct().orderBy("_size").collect():    # at most 31
-        heads = short.where(F.col("_size") == size).select(pattern_id, F.left("_pattern", F.lit(1 << size)).alias("window"))
-        spots = sliding_windows(texts, text_id, text, 1 << size).select(text_id, "window")
-        spots = spots.join(heads.select("window").distinct(), "window", "left_semi").distinct()
-        candidates = candidates.unionByName(spots.join(heads, "window").select(text_id, pattern_id))
-    return _checked(candidates, texts, text_id, text, known, pattern_id)
-
-
-def _checked(candidates: DataFrame, texts: DataFrame, text_id: str, text: str,
-             known: DataFrame, pattern_id: str) -> DataFrame:
-    """The candidate pairs that hold on the whole text."""
-    return (
-        candidates.select(text_id, pattern_id).distinct()
-        .join(known, pattern_id)
-        .join(texts.select(text_id, text), text_id)
-        .where(F.contains(F.col(text), F.col("_pattern")))
-        .select(text_id, pattern_id)
-    )
+    first = F.regexp_extract("_pattern", _phrase(anchor_words), 1)
+    known = written(
+        patterns.where(F.col(pattern).isNotNull())
+        .select(F.monotonically_increasing_id().alias("_no"), pattern_id, F.col(pattern).alias("_pattern"))
+        .withColumn("_kind", F.when(first != "", 0).otherwise(F.least(F.length("_pattern"), F.lit(gram)))), "patterns")
+    longest = known.agg(F.max(F.length("_pattern"))).first()[0] or 0
+    kinds = sorted(r["_kind"] for r in known.select("_kind").distinct().collect())    # gram + 1 at most
+    own = F.coalesce(*[F.when(F.col("_kind") == k, _grams(F.col("_pattern"), k, anchor_words)) for k in kinds],
+                     F.array().cast("array<string>"))
+    named = ["_no", pattern_id, "_pattern"]
+    parts = written(known.select(*named, F.explode(own).alias("_gram")), "parts")
+    cut = blocks(texts, text_id, text, max(BLOCK, longest), max(longest - 1, 0))
+
+    def found(flags: bytes, kinds: list[int]) -> Column:
+        """The parts of a block that pass the table."""
+        return F.concat(*[F.filter(_grams(F.col("_text"), k, anchor_words), lambda g: may_be_among(flags, g)) for k in kinds],
+                        F.array().cast("array<string>"))
+
+    several = parts.groupBy("_no").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    choices = parts.join(several, "_no", "left_semi")
+    anchors = parts.join(several, "_no", "left_anti")
+    if not choices.isEmpty():
+        # no pattern that is all of its one part has a choice
+        seen = cut.select(F.explode(found(flag_table(choices, "_gram"), [k for k in kinds if k in (0, gram)])).alias("_gram"))
+        counts = seen.groupBy("_gram").agg(F.count(F.lit(1)).alias("_seen"))
+        rarest = (choices.join(counts, "_gram", "left").groupBy(*named)
+                  .agg(F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), "_gram")).alias("_least"))
+                  .where("_least.n > 0").select(*named, F.col("_least._gram").alias("_gram")))
+        anchors = anchors.unionByName(rarest)
+    anchors = written(anchors.withColumn("_whole", F.concat(F.length("_pattern").cast("string"), F.lit(" "), F.col("_pattern"))
+                                         == F.col("_gram")), "anchors")
+
+    pairs = []
+    for whole in (True, False):    # a part that is the whole pattern needs no second look, so its block stays where it is
+        mine = anchors.where("_whole" if whole else "NOT _whole")
+        if mine.isEmpty():
+            continue
+        flags = flag_table(mine, "_gram")
+        sizes = [k for k in kinds if (k > 0 if whole else k in (0, gram))]
+        spots = cut.select(text_id, *([] if whole else ["_text"]), F.explode(found(flags, sizes)).alias("_gram"))
+        hits = (spots.distinct() if whole else spots).join(mine.select(pattern_id, "_pattern", "_gram"), "_gram")
+        pairs.append((hits if whole else hits.where(F.contains("_text", "_pattern"))).select(text_id, pattern_id))
+    if not pairs:
+        return texts.sparkSession.createDataFrame([], StructType([texts.schema[text_id], patterns.schema[pattern_id]]))
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.unionByName(more)
+    return out.distinct()

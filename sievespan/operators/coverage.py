@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import BINDER_CUTOFF, RISK_THRESHOLD
+from ..functions.flags import flag_table, may_be_among
 
 TESTED, INCOMPLETE, NOT_SCREENED = "tested", "incomplete", "not_screened"
 
@@ -72,10 +73,11 @@ def located_windows(windows: DataFrame, scored: DataFrame, key: str, item: str)
     """Scored items found in an id's windows: key, pos and the item's columns.
 
     Items as long as the windows are matched by equality, which needs no
-    search inside the sequences.
+    search inside the sequences. Windows that no item can equal are dropped before any move.
     """
-    return windows.withColumnRenamed("window", item).join(scored, item).select(
-        key, "pos", *scored.columns)
+    flags = flag_table(scored, item)
+    return (windows.where(may_be_among(flags, F.col("window"))).withColumnRenamed("window", item)
+            .join(scored, item).select(key, "pos", *scored.columns))
 
 
 def combined_score(immunogenicity: str, median_rank: str):

@@ -114,3 +114,41 @@ def test_containment_of_short_patterns_only(spark):
     texts = spark.createDataFrame([(1, "xaby"), (2, "ab"), (3, "b a")], "d int, t string")
     patterns = spark.createDataFrame([(7, "ab"), (8, "b")], "p int, s string")
     assert rows(contained_pairs(texts, "d", "t", patterns, "p", "s")) == {(1, 7), (2, 7), (1, 8), (2, 8), (3, 8)}
+
+
+def _generated(plan):
+    """Rows that the plan's generators made."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _generated(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _generated(plan.plan())
+    children = plan.children()
+    below = [n for i in range(children.size()) for n in _generated(children.apply(i))]
+    return ([plan.metrics().apply("numOutputRows").value()] if name == "GenerateExec" else []) + below
+
+
+def test_a_common_phrase_moves_no_more_than_a_rare_one(spark):
+    """Patterns that begin with a phrase of a third of all texts are found by their rarest phrase."""
+    made = {}
+    for opening in ("all rights are reserved here", "an odd phrase of mine"):
+        texts = [(i, f"x {'all rights are reserved here' if i % 3 == 0 else 'nothing of that kind'} w{i} v{i} u{i} t{i} s{i} r{i} end") for i in range(300)]
+        texts += [(1000 + i, f"y {opening} a{i} b{i} c{i} d{i} e{i} f{i} z") for i in range(5)]
+        patterns = [(i, f"{opening} a{i} b{i} c{i} d{i} e{i}") for i in range(7)]
+        got = contained_pairs(spark.createDataFrame(texts, "d int, t string"), "d", "t",
+                              spark.createDataFrame(patterns, "p int, s string"), "p", "s")
+        assert rows(got) == {(1000 + i, i) for i in range(5)}
+        made[opening] = min(_generated(got._jdf.queryExecution().executedPlan()))
+    assert set(made.values()) == {5}
+
+
+def test_patterns_of_all_lengths_and_repeated_ids(spark):
+    """Against a plain search; texts longer than a block, patterns of one id with different texts."""
+    import random
+    draw = random.Random(2)
+    texts = [(d, "".join(draw.choices("ab \né", k=n))) for d, n in enumerate((0, 1, 5, 30, 300, 9000))] + [(9, None)]
+    cuts = [(p, t[at:at + n]) for p, n in enumerate((1, 2, 3, 7, 8, 9, 12, 40, 4500)) for t in (texts[-2][1],) for at in (draw.randrange(4000),)]
+    patterns = cuts + [(3, "ab a"), (3, "zz"), (77, None), (78, "q" * 20)]
+    got = rows(contained_pairs(spark.createDataFrame(texts, "d int, t string"), "d", "t",
+                               spark.createDataFrame(patterns, "p int, s string"), "p", "s"))
+    assert got == {(d, p) for d, t in texts for p, s in patterns if t is not None and s is not None and s in t}
