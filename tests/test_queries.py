@@ -1,4 +1,5 @@
 import os
+import subprocess
 import sys
 from pathlib import Path
 
@@ -18,6 +19,14 @@ def test_queries_match_sql(spark):
     assert {n: d for n, d in compare(spark, FOLDER).items() if d} == {}
 
 
+def test_the_entry_works_without_a_library_of_the_operators():
+    code = ("import sys; sys.modules['tiktoken'] = None\n"
+            "import __spark_entry__ as e\n"
+            "assert len(e.queries()) > 50 and set(e.oracle_sql()) <= set(e.queries())\n"
+            "assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
 def test_every_sql_has_its_query():
     assert set(oracle_sql()) <= set(queries())
 
