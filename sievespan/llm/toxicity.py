@@ -40,6 +40,7 @@ STRETCH = 5
 FOLDS = 5           # fold 0 is held out, all others are counted, the last one also calibrates
 CALIBRATION_ROWS = 20_000    # labelled texts at most that weights and discount are fitted on, by hash of their id
 BUFFER = 1 << 20    # words a task counts at once
+MOST_BITS = 1 << 28    # of the set of labelled ids that every task holds, 32 MB; beyond 16 million labels it lets more texts through
 
 
 def fold(doc_id: Column) -> Column:
@@ -224,6 +225,25 @@ def _compared(docs: DataFrame, lexicon: Lexicon, rare: DataFrame | None, text: s
     return docs.withColumn("_key", key).join(found, "_key").drop("_key")
 
 
+def _may_be_labelled(marked: DataFrame, column: str) -> Column:
+    """Whether an id may have a label: false only for ids without one. The set has some 16 bits for a label,
+    and comes here as numbers of 64 bits, so its size and not the number of labels bounds what the driver gets."""
+    size = min(MOST_BITS, max(1 << 10, 1 << (16 * marked.count()).bit_length()))
+    place = F.xxhash64(F.col(column).cast("string")).bitwiseAND(F.lit(size - 1))
+    words = (marked.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas())
+    held = np.zeros(size >> 6, np.int64)
+    held[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = marked.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def among(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for h in batches:
+            yield pd.Series((shared.value[h.to_numpy() >> 6] >> (h.to_numpy() & 63) & 1).astype(bool))
+
+    return among(place)
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic") -> Model:
     """Both models and the weights, learned from rows of folds other than 0."""
@@ -234,8 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = written(marked.where(fold(F.col("doc_id")) == FOLDS - 1)
                      .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "toxic").limit(CALIBRATION_ROWS), "chosen")
     fits = F.broadcast(chosen.select("doc_id").distinct().withColumn("fits", F.lit(True)))
-    # labels grow with the texts, so they are merged at any size
-    known = texts.where(counted).join(marked.where(counted).join(fits, "doc_id", "left").hint("merge"), "doc_id").select(
+    # labels grow with the texts, so they are merged at any size; texts without one stay where they are
+    known = texts.where(counted).where(_may_be_labelled(marked, "doc_id")).join(marked.where(counted).join(fits, "doc_id", "left").hint("merge"), "doc_id").select(
         "text", "toxic", F.coalesce("fits", F.lit(False)).alias("fits"))
     table = written(continuation_counts(known), "words")
 
