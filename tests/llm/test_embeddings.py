@@ -80,3 +80,31 @@ def test_repeated_ids_lengths_and_empty(spark):
         spark.createDataFrame(rows, VECTORS)).collect())
     assert got == [(0, 3, 1), (1, 3, 1), (1, 3, 1), (5, 0, 5), (7, 3, 1)]
     assert embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_rows_of_a_group_of_near_copies_grow_with_it():
+    """Vectors that met in a table are counted there only."""
+    draw = np.random.default_rng(6)
+    units = draw.standard_normal(64) + 0.05 * draw.standard_normal((1200, 64))
+    units, _ = embeddings.unit_vectors(units)
+    planes = embeddings.planes(64, 16, 32, 7)
+    codes = ((units @ planes > 0).reshape(-1, 32, 16) * (1 << np.arange(16))).sum(2).astype(np.int32)
+    near = units @ units.T >= 0.9
+    np.fill_diagonal(near, False)
+    total, made = np.zeros(len(units)), {}
+    for size in (300, 1200):
+        made[size], total[:] = 0, 0
+        for table in range(32):
+            for code in np.unique(codes[:size, table]):
+                at = np.flatnonzero(codes[:size, table] == code)
+                links, first = embeddings.block_links(units[at], codes[at], np.ones(len(at)), np.zeros(len(at), int), table, 0.9, 64)
+                total[at] += links
+                made[size] += int(((links > 0) | (first != np.arange(len(at)))).sum())
+        assert (total[:size] <= near[:size, :size].sum(1)).all() and total[:size].sum() >= 0.9 * near[:size, :size].sum()
+    assert made[1200] < 8 * made[300] and made[1200] < 20 * 1200
+
+
+def test_bits_follow_the_number_of_vectors():
+    assert embeddings.chosen(1000) == (16, 32)
+    bits, tables = embeddings.chosen(1 << 30)
+    assert bits == 26 and 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables >= 0.939
