@@ -61,24 +61,35 @@ def funnel_audit(frame: DataFrame, key: str = "id", names: dict[str, str] | None
     return out.select(key, stage.alias("eliminated_at_stage"))
 
 
+def count_columns(order: list[str]) -> list[Column]:
+    """Input, pass, fail and pending of each stage as conditional counts over a frame with outcomes."""
+    stop, waits, counts = _first_stop(order), F.col("outcome") == PENDING, []
+    for i, _ in enumerate(order):
+        here = stop == i
+        counts += [
+            F.count_if(stop >= i).alias(f"_in{i}"),
+            F.count_if(stop > i).alias(f"_ok{i}"),
+            F.count_if(here & ~waits).alias(f"_no{i}"),
+            F.count_if(here & waits).alias(f"_wait{i}"),
+        ]
+    return counts
+
+
+COUNTS = "stage_no int, stage string, input_count long, pass_count long, fail_count long, pending_count long"
+
+
+def count_rows(found: dict[str, int], order: list[str]) -> list[tuple]:
+    """Rows of ``COUNTS`` from the values of ``count_columns``, as an Observation has them."""
+    return [(i + 1, s, *(int(found.get(f"_{name}{i}") or 0) for name in ("in", "ok", "no", "wait"))) for i, s in enumerate(order)]
+
+
 def funnel_counts(frame: DataFrame, order: list[str]) -> DataFrame:
     """Input, pass, fail and pending per stage, from one aggregation.
 
     The per-stage numbers are conditional counts, so a single row of partial
     sums per task is all that is shuffled.
     """
-    numbered = frame.select(_first_stop(order).alias("_stop"),
-                            (F.col("outcome") == PENDING).alias("_waits"))
-    counts = []
-    for i, _ in enumerate(order):
-        here = F.col("_stop") == i
-        counts += [
-            F.count_if(F.col("_stop") >= i).alias(f"_in{i}"),
-            F.count_if(F.col("_stop") > i).alias(f"_ok{i}"),
-            F.count_if(here & ~F.col("_waits")).alias(f"_no{i}"),
-            F.count_if(here & F.col("_waits")).alias(f"_wait{i}"),
-        ]
-    one = numbered.agg(*counts)
+    one = frame.agg(*count_columns(order))
     stages = F.array(*[
         F.struct(F.lit(i + 1).alias("stage_no"), F.lit(s).alias("stage"),
                  F.col(f"_in{i}").alias("input_count"), F.col(f"_ok{i}").alias("pass_count"),
@@ -88,6 +99,20 @@ def funnel_counts(frame: DataFrame, order: list[str]) -> DataFrame:
     return one.select(F.inline(stages))
 
 
+def stage_inputs(frame: DataFrame, order: list[str], extra: dict[str, list], key: str = "id") -> DataFrame:
+    """(stage, key): the ids that each stage looks at, those that are alive before it and the ``extra`` ones of a
+    stage, which are looked at whatever came before and need not be in the roster."""
+    before, rows = F.lit(True), []
+    for s in order:
+        rows.append(F.struct(F.lit(s).alias("stage"), before.alias("alive")))
+        before = before & F.col(pass_column(s))
+    ids = frame.select(key, F.explode(F.array(*rows)).alias("_s")).where("_s.alive").select("_s.stage", key)
+    named = [(s, i) for s in order for i in extra.get(s, [])]
+    if named:
+        ids = ids.unionByName(frame.sparkSession.createDataFrame(named, ids.schema)).distinct()
+    return ids
+
+
 def pending_evidence(roster: DataFrame, evidence: DataFrame, key: str = "id") -> DataFrame:
     """Roster rows with no evidence row at all; a failing row counts as covered."""
     return roster.join(evidence.select(key), key, "left_anti")

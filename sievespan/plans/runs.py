@@ -1,57 +1,79 @@
 """Whole runs: the funnel with its outputs, and the jobs for structure prediction."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..constants import DEFAULT_ORDER, STAGE_NAMES
+from ..constants import BATCH_SIZE, DEFAULT_ORDER, REFERENCE_PEPTIDE, STAGE_NAMES
 from ..operators import jobs
 from ..operators.subsets import missing_ids, require_none
 from ..session import written
 from ..sinks import writers
 from ..sources.documents import repeated_templates
 from ..sources.evidence import read_ids
-from . import funnel
+from . import funnel, manifest
 from .funnel import check_order
 from .peptides import Evidence, report_of, triage
 
 
+FILE_BATCHES = 1000    # batches of pending candidates up to which each is a file of its own
+
+
 def run_triage(roster: DataFrame, evidence: Evidence, folder: str,
-               order: list[str] | None = None, replay: bool = False, resume_from: str | None = None) -> DataFrame:
+               order: list[str] | None = None, replay: bool = False, resume_from: str | None = None,
+               file_batches: int = FILE_BATCHES) -> DataFrame:
     """Run the funnel and write its outputs below ``folder``.
 
     With ``resume_from`` the run starts at that stage with the ids that an
-    earlier run saved after the stage before it. The report always covers the
-    whole roster.
+    earlier run saved after the stage before it, if it had the same roster and the same evidence
+    for the same stages until then; else ValueError is raised. The report always covers the
+    whole roster. A run that is started again with the same tables gives the same folder.
 
-    alive_after_<stage>   ids, one per line
-    audit                 (id, stage name), appended by every run
-    final_results         the wide report
-    pending               FASTA batches of candidates that wait for evidence
+    manifest            what the runs were made of
+    inputs              ids that each stage looks at, the reference peptide at stage 01 among them
+    alive_after_<stage> ids, one per line
+    audit               (id, stage name), a folder per run
+    counts              input, pass, fail and pending per stage
+    final_results       the wide report
+    pending             FASTA batches of candidates that wait for evidence: files up to ``file_batches``, else a table
     """
     order = order or DEFAULT_ORDER
+    spark = roster.sparkSession
     whole, stages, left = triage(roster, evidence, order, replay), order, roster
+    own = manifest.marks(roster, {s: getattr(evidence, manifest.STAGE_TABLES[s]) for s in order}, order, replay)
     if resume_from is not None:
         check_order([resume_from], order)
         stages, done = order[order.index(resume_from):], order[:order.index(resume_from)]
         if done:
-            alive = read_ids(roster.sparkSession, f"{folder}/alive_after_{done[-1]}")
+            if not manifest.fits(spark, folder, done[-1], own[len(done) - 1]):
+                raise ValueError(f"the ids saved after {done[-1]} were made of other tables, or of stages in another order")
+            alive = read_ids(spark, f"{folder}/alive_after_{done[-1]}")
             left = roster.join(alive, "id", "left_semi")
-    # written once, as each of the outputs would compute the joins anew
-    frame = written(whole if left is roster else triage(left, evidence, stages, replay), "triage")
-    for stage in stages:
+    run = manifest.begin_run(spark, folder, stages, own[len(order) - len(stages):])
+    # written once, as each of the outputs would compute the joins anew; the counts come with it
+    seen = Observation("triage")
+    made = whole if left is roster else triage(left, evidence, stages, replay)
+    frame = written(made.observe(seen, *funnel.count_columns(stages)), "triage")
+    counts = funnel.count_rows(seen.get, stages)
+    writers.write_inputs(funnel.stage_inputs(frame, stages, {"01": [REFERENCE_PEPTIDE]}), f"{folder}/inputs")
+    for stage, mark in zip(stages, own[len(order) - len(stages):]):
         writers.write_ids(funnel.alive_after(frame, stages, stage), f"{folder}/alive_after_{stage}")
-    writers.append_audit(funnel.funnel_audit(frame, names=STAGE_NAMES), f"{folder}/audit")
+        manifest.sign(spark, folder, stage, mark)
+    writers.append_audit(funnel.funnel_audit(frame, names=STAGE_NAMES), f"{folder}/audit", run)
+    spark.createDataFrame(counts, funnel.COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts")
     writers.write_report(report_of(frame if left is roster else whole, evidence.coverage), f"{folder}/final_results")
-    waiting = frame.where(F.col("outcome") == funnel.PENDING)
-    if not waiting.isEmpty():
-        batches = writers.fasta_batches(waiting, "id", "full_37aa", ["roster_pos"])
-        writers.write_fasta(batches, f"{folder}/pending", files=True)
+    waiting = sum(row[-1] for row in counts)
+    if waiting:
+        batches = writers.fasta_batches(frame.where(F.col("outcome") == funnel.PENDING), "id", "full_37aa", ["roster_pos"])
+        writers.write_fasta(batches, f"{folder}/pending", files=waiting <= file_batches * BATCH_SIZE)
     return frame
 
 
-def last_checkpoint(spark: SparkSession, folder: str, order: list[str]) -> tuple[str, DataFrame] | None:
-    """The latest stage of ``order`` with a saved id list, and its ids."""
-    for stage in reversed(order):
+def last_checkpoint(spark: SparkSession, folder: str, order: list[str],
+                    marks: list[str] | None = None) -> tuple[str, DataFrame] | None:
+    """The latest stage of ``order`` with a saved id list, and its ids; given the stages' ``marks``, one that fits."""
+    for place, stage in reversed(list(enumerate(order))):
+        if marks is not None and not manifest.fits(spark, folder, stage, marks[place]):
+            continue
         try:
             return stage, read_ids(spark, f"{folder}/alive_after_{stage}")
         except AnalysisException as error:

@@ -32,9 +32,17 @@ def write_stage_results(results: DataFrame, path: str, status: str = "status",
     results.write.mode("overwrite").partitionBy(status).format(fmt).save(path)
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    """Append (id, eliminated_at_stage) with the run's time; runs add up, readers take the last."""
-    audit.withColumn("run", F.lit(time.time_ns())).write.mode("append").csv(path, header=True)
+def append_audit(audit: DataFrame, path: str, run: int | None = None) -> None:
+    """Append (id, eliminated_at_stage); runs add up, readers take the last.
+
+    A run with a number has a folder of its own, which it overwrites when it is started again. Without
+    one the time stands for it, and rows are added in any case.
+    """
+    if run is None:
+        audit.withColumn("run", F.lit(time.time_ns())).write.mode("append").csv(path, header=True)
+    else:
+        (audit.withColumn("run", F.lit(run).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run").csv(path, header=True))
 
 
 def read_audit(spark, path: str) -> DataFrame:
@@ -48,6 +56,12 @@ def write_ids(ids: DataFrame, path: str, key: str = "id") -> None:
     ids.select(F.col(key).cast("string").alias(key)).orderBy(key).write.mode("overwrite").text(path)
 
 
+def write_inputs(inputs: DataFrame, path: str, key: str = "id") -> None:
+    """(stage, id) as a folder per stage, ids in order, one per line."""
+    (inputs.select("stage", F.col(key).cast("string").alias("value")).repartitionByRange("stage", "value")
+     .sortWithinPartitions("stage", "value").write.mode("overwrite").partitionBy("stage").text(path))
+
+
 def fasta_record(id_col: str, seq_col: str):
     """``>id`` and the sequence on the next line; a missing sequence is empty."""
     return F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit("\n"),

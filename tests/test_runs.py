@@ -1,3 +1,4 @@
+import dataclasses
 import json
 
 import pytest
@@ -88,3 +89,55 @@ def test_folding_jobs(spark, tmp_path, roster):
         runs.folding_jobs(roster, ids, ["CTR"], templates, alignment.withColumn("row", F.lit("ZZ")))
     with pytest.raises(ValueError, match="full sequence"):
         runs.folding_jobs(roster.withColumn("seq_24aa", F.lit("CC")), ids, ["CTR"], templates)
+
+
+def outputs(folder):
+    """What a run left: the text files' lines by folder, and the number of rows of the tables."""
+    out = {}
+    for f in sorted(folder.rglob("*")):
+        if f.is_file() and f.name.startswith("part-") and "manifest" not in str(f):
+            name = str(f.parent.relative_to(folder))
+            out.setdefault(name, []).extend([f.stat().st_size] if f.suffix == ".parquet" else f.read_text().splitlines())
+    return {n: sorted(map(str, v)) for n, v in out.items()}
+
+
+def test_a_killed_run_started_again_leaves_the_same_folder(spark, tmp_path, roster, monkeypatch):
+    order, table = ["04", "03", "05", "01"], tables(spark)
+    whole = tmp_path / "whole"
+    runs.run_triage(roster, table, str(whole), order)
+    want = outputs(whole)
+    assert want["audit/run=1"] and want["inputs/stage=01"].count(C.REFERENCE_PEPTIDE) == 1
+    assert C.REFERENCE_PEPTIDE not in want["inputs/stage=03"]
+    for step in ("write_ids", "append_audit", "write_report", "write_fasta"):
+        folder, real = tmp_path / step, getattr(runs.writers, step)
+
+        def killed(*args, **more):
+            real(*args, **more)
+            raise KeyboardInterrupt
+
+        with monkeypatch.context() as broken:
+            broken.setattr(runs.writers, step, killed)
+            with pytest.raises(KeyboardInterrupt):
+                runs.run_triage(roster, table, str(folder), order)
+        runs.run_triage(roster, table, str(folder), order)
+        assert outputs(folder) == want
+    counts = spark.read.parquet(str(whole / "counts"))
+    frame = runs.triage(roster, table, order, False)
+    assert rows(counts) == rows(funnel.funnel_counts(frame, order))
+
+
+def test_checkpoints_of_other_tables_are_refused(spark, tmp_path, roster):
+    folder, order, table = str(tmp_path / "run"), ["03", "04", "05", "01"], tables(spark)
+    runs.run_triage(roster, table, folder, order)
+    marks = runs.manifest.marks(roster, {s: getattr(table, t) for s, t in runs.manifest.STAGE_TABLES.items()}, order, False)
+    assert runs.last_checkpoint(spark, folder, order, marks)[0] == "01"
+    shuffled = dataclasses.replace(table, toxicity=table.toxicity.orderBy(F.rand(3)))
+    runs.run_triage(roster, shuffled, folder, order, resume_from="01")
+    changed = dataclasses.replace(table, toxicity=table.toxicity.withColumn("passed", ~F.col("passed")))
+    with pytest.raises(ValueError, match="after 05"):
+        runs.run_triage(roster, changed, folder, order, resume_from="01")
+    runs.run_triage(roster, changed, folder, order, resume_from="05")    # what came before is untouched
+    other = runs.manifest.marks(roster, {s: getattr(changed, t) for s, t in runs.manifest.STAGE_TABLES.items()}, order, False)
+    assert [a == b for a, b in zip(marks, other)] == [True, True, False, False]
+    with pytest.raises(ValueError, match="after 04"):
+        runs.run_triage(roster, changed, folder, ["04", "03", "05", "01"], resume_from="03")
