@@ -157,10 +157,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     prints = written(docs.select(F.col(doc_id).alias("_id"), hashed.alias("_hash"),
                                  fingerprint_column(F.col(text), size).alias("_print")), "fingerprints")
-    rows = (prints.groupBy("_id", "_hash", "_print").agg(F.count(F.lit(1)).alias("_n"))
-            .join(_components(prints.select("_id", "_print"), radius), "_print"))
+    rows = written(prints.groupBy("_id", "_hash", "_print").agg(F.count(F.lit(1)).alias("_n"))
+                   .join(_components(prints.select("_id", "_print"), radius), "_print"), "members")
     own = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
-    first = rows.groupBy("_component").agg(F.min(own).alias("_first"))
+    # written, so that the join has both sides plain and Spark can split a large component
+    first = written(rows.groupBy("_component").agg(F.min(own).alias("_first")), "first-rows")
     judged = rows.join(first, "_component").withColumn("_gone", ~own.eqNullSafe(F.col("_first")))
     # what stays as it is needs no mark, so the marks are few and the texts move little
     marks = judged.where("_id IS NOT NULL AND (_gone OR _n > 1)").select(F.col("_id").alias("_own"), F.col("_hash").alias("_of"), "_gone")
