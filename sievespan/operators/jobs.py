@@ -42,6 +42,16 @@ def query_only_alignment(seq: str) -> Column:
     return F.concat(F.lit(">query\n"), folding_sequence(seq), F.lit("\n"))
 
 
+def search_documents(peptides: DataFrame, id_col: str, seq: str, cached: DataFrame | None = None) -> DataFrame:
+    """(job, document): an alignment search for each peptide, less those that ``cached`` has an alignment of."""
+    if cached is not None:
+        peptides = peptides.join(cached.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    chain = F.struct(F.lit("A").alias("id"), F.concat(F.lit(PEPTIDE_PREFIX), F.col(seq)).alias("sequence"))
+    return peptides.select(F.col(id_col).cast("string").alias("job"), F.to_json(F.struct(
+        F.lit("alphafold3").alias("dialect"), F.lit(1).alias("version"), F.col(id_col).cast("string").alias("name"),
+        F.array(F.lit(1)).alias("modelSeeds"), F.array(F.struct(chain.alias("protein"))).alias("sequences"))).alias("document"))
+
+
 def query_mismatch(alignment: DataFrame, peptides: DataFrame, key: str, full: str) -> DataFrame:
     """Ids whose alignment does not start with their full sequence, or has no query at all."""
     query = alignment.where("is_query").select(key, stripped("row").alias("_query"))

@@ -8,6 +8,8 @@ from ..operators import jobs
 from ..operators.subsets import missing_ids, require_none
 from ..session import written
 from ..sinks import writers
+from ..sinks.writers import write_alignments
+from ..sources.alignments import alignments_in_results, read_cached
 from ..sources.documents import repeated_templates
 from ..sources.evidence import read_ids
 from . import funnel, manifest
@@ -120,3 +122,9 @@ def folding_jobs(roster: DataFrame, ids: DataFrame, receptors: list[str], templa
 def unaligned(peptides: DataFrame, alignments: DataFrame) -> DataFrame:
     """Peptides that still need an alignment search."""
     return peptides.join(alignments.select("id").distinct(), "id", "left_anti")
+
+
+def fill_cache(spark: SparkSession, results: DataFrame, cache: str) -> None:
+    """Save the alignments of finished search documents (id, document) that the cache does not have."""
+    missing = unaligned(results, read_cached(spark, cache))
+    write_alignments(alignments_in_results(missing), cache)

@@ -5,10 +5,9 @@ shape: documents as the roster, labels as its evidence, events as score tracks,
 lineitem as points and binder pairs, part as item scores.
 """
 
-import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..constants import AGGREGATION_PASS, ALLERGEN_PASS, TOXICITY_PASS
 from ..functions.text import job_id, job_key, job_name, listed_ids, token_pairs
@@ -18,23 +17,27 @@ from ..operators.containment import contained_pairs
 from ..operators.distance import min_distance
 from ..operators.gates import Gate, add_gate_flags, in_ranges, require_all
 from ..operators.jobs import (add_cap_column, alignment_depth, folding_sequence, job_documents, job_matrix,
-                              query_only_alignment)
+                              query_only_alignment, search_documents)
 from ..operators.latest import latest_per_key
 from ..operators.numbering import dense_position, rank_ascending
 from ..operators.pivots import pivot_filled
 from ..operators.segments import find_runs, run_summary, run_text
 from ..operators.subsets import missing_ids, pick_targets, remap_ids, resolve_ids, violations
 from ..session import new_folder, written
-from ..sinks.writers import append_audit, fasta_batches, read_audit, write_ids, write_report, write_stage_results
+from ..sinks.writers import (append_audit, fasta_batches, read_audit, write_ids, write_job_documents, write_report,
+                             write_stage_results)
+from ..sources.alignments import read_cached
 from ..sources.documents import by_position, read_templates, result_rows, unknown_numbers
-from ..sources.evidence import (read_aggregation, read_allergenicity, read_ids, read_peptide_scores, read_pose,
-                                read_toxicity)
+from ..sources.evidence import (FILE_ORDER, read_aggregation, read_allergenicity, read_binder_summary, read_coverage_summary,
+                                read_csv_strictly, read_ids, read_peptide_scores, read_pose, read_roster, read_toxicity,
+                                with_file_order)
 from ..sources.structures import read_keyed_ca_atoms
 from ..sources.tracks import profile_lines
 from ..streaming import decisions
 from ..streaming.intake import current_evidence, evidence_stream, keep_latest, latest_state, take_in
 from . import funnel
 from .pose import pose_check, two_region_gate
+from .runs import fill_cache
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,6 +145,22 @@ def funnel_counts(spark, folder):
     return funnel.funnel_counts(_triaged(spark, folder), ORDER)
 
 
+@query(SQL["funnel_counts"])
+def counts_observed(spark, folder):
+    """The same counts, taken while the frame is written once."""
+    seen = Observation("counts")
+    written(_triaged(spark, folder).observe(seen, *funnel.count_columns(ORDER)), "triage")
+    return spark.createDataFrame(funnel.count_rows(seen.get, ORDER), funnel.COUNTS)
+
+
+@query(f"""
+SELECT 'size' AS stage, doc_id FROM documents UNION ALL SELECT 'quality', doc_id FROM ({FLAGS_SQL}) WHERE size_ok
+UNION ALL SELECT 'toxicity', doc_id FROM ({FLAGS_SQL}) WHERE size_ok AND quality_ok UNION ALL SELECT 'toxicity', -1""")
+def stage_inputs(spark, folder):
+    """What each stage looks at; the last one also an id from outside, as a reference."""
+    return funnel.stage_inputs(_triaged(spark, folder), ORDER, {"toxicity": [-1]}, "doc_id")
+
+
 @query(f"""
 SELECT doc_id, CASE WHEN NOT toxicity_ok THEN 'toxicity' WHEN NOT quality_ok THEN 'quality'
                     WHEN NOT size_ok THEN 'size' ELSE '' END AS at_stage,
@@ -825,13 +844,11 @@ def aggregation_file(spark, folder):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, toxic = 0 AS passed FROM labels")
 def allergenicity_files(spark, folder):
-    """An older batch with the opposite verdicts, then the labels: the newer files win."""
+    """A first batch with the opposite verdicts, then the labels: the later number wins, though its files are older."""
     labels = table(spark, folder, "labels")
-    rows = [labels.select(F.col("doc_id").alias("Protein"), F.when(F.col("toxic") == v, ALLERGEN_PASS)
-                          .otherwise("weak evidence").alias("Result")) for v in (1, 0)]
-    older = _csv(rows[0], "allergenicity")
-    time.sleep(1.1)    # stores with whole seconds
-    return read_allergenicity(spark, [older, _csv(rows[1], "allergenicity")])
+    right, opposite = (_csv(labels.select(F.col("doc_id").alias("Protein"), F.when(F.col("toxic") == v, ALLERGEN_PASS)
+                                          .otherwise("weak evidence").alias("Result")), "allergenicity") for v in (0, 1))
+    return read_allergenicity(spark, [opposite, right], numbered=True)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, toxic = 0 AS passed FROM labels")
@@ -866,6 +883,89 @@ def id_file(spark, folder):
     return read_ids(spark, path)
 
 
+@query("""
+SELECT row_number() OVER (ORDER BY id) AS pos, id FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders)""")
+def ids_in_order(spark, folder):
+    """Saved ids with their places in the files, one after another."""
+    path = new_folder(spark, "ids")
+    write_ids(table(spark, folder, "orders"), path, "o_orderkey")
+    lines = with_file_order(spark.read.text(path)).select(F.col("value").alias("id"), *FILE_ORDER[1:])
+    return dense_position(lines, [], FILE_ORDER[1:]).select("pos", "id")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY p_partkey) AS pos, CAST(p_partkey AS VARCHAR) AS id, p_name AS seq_24aa, p_type AS full_37aa,
+       p_retailprice AS "AMY1R", CASE WHEN p_size > 25 THEN CAST(p_size AS DOUBLE) END AS "CTR", CAST(NULL AS DOUBLE) AS "CGRP" FROM part""")
+def roster_file(spark, folder):
+    """A roster in file order, with blank scores and a column too few."""
+    parts = table(spark, folder, "part").orderBy("p_partkey").coalesce(1).select(
+        F.when(F.col("p_size") > 25, F.col("p_size")).alias("CTR"), F.col("p_partkey").alias("id"), F.col("p_name").alias("seq_24aa"),
+        F.col("p_type").alias("full_37aa"), F.col("p_retailprice").alias("AMY1R"))
+    rows = read_roster(spark, _csv(parts, "roster"))
+    place = [F.col("roster_pos")[n].alias(f"_{n}") for n in ("file", "block", "row")]
+    return dense_position(rows.select("id", "seq_24aa", "full_37aa", "AMY1R", "CTR", "CGRP", *place), [], ["_file", "_block", "_row"]).drop(
+        "_file", "_block", "_row")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size AS n_peptides_scored, 'tested' AS status, CAST(NULL AS BIGINT) AS n_binders FROM part")
+def optional_files(spark, folder):
+    """A coverage summary that is there, and a binder summary that isn't."""
+    summary = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").alias("n_peptides_scored"), F.lit("tested").alias("status"))
+    none = read_binder_summary(spark, new_folder(spark, "absent"))
+    return (read_coverage_summary(spark, _csv(summary, "coverage")).join(none.withColumnRenamed("seq_id", "id"), "id", "left")
+            .select("id", F.col("n_peptides_scored").cast("int").alias("n_peptides_scored"), "status",
+                    F.col("n_wb_lt10pct").alias("n_binders")))
+
+
+@query("""
+SELECT 'value of price' AS reason, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderpriority = '5-LOW'
+UNION ALL SELECT 'number of values', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'taken', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '1-URGENT')""")
+def rejected_lines(spark, folder):
+    """Files with prices that are no numbers and lines that are too short: what is taken and what is rejected, and why."""
+    orders = table(spark, folder, "orders")
+    price = F.when(F.col("o_orderpriority") == "5-LOW", "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderpriority") != "1-URGENT", price))
+    path = new_folder(spark, "lines")
+    orders.select(line.alias("id,price")).repartition(4).write.csv(path, header=True, sep="|")    # commas stay as they are
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("price", T.DoubleType())])
+    taken, rejects = read_csv_strictly(spark, path, schema)
+    key = F.split("line", ",")[0].cast("long")
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys")).unionByName(
+        taken.agg(F.lit("taken").alias("reason"), F.count("price").alias("n"), F.sum("id").alias("keys")))
+
+
+@query(SQL["job_manifest"])
+def job_files(spark, folder):
+    """Job documents written as a table of many jobs, and read again."""
+    path = new_folder(spark, "jobs")
+    write_job_documents(job_manifest(spark, folder).withColumnRenamed("body", "document"), path)
+    return spark.read.parquet(path).select("job", F.col("document").alias("body"))
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE c_name END AS query, 2 AS n_records, c_acctbal <= 0 AS searched
+FROM customer""")
+def alignment_cache(spark, folder):
+    """Alignments out of finished searches: those of customers in credit first, then what the cache lacks."""
+    customers = table(spark, folder, "customer").withColumn("id", F.col("c_custkey").cast("string"))
+    cache = new_folder(spark, "alignments")
+
+    def results(rows, query):
+        text = F.concat(F.lit(">query\n"), query, F.lit("\n>hit\n"), F.col("c_mktsegment"), F.lit("\n"))
+        chain = F.struct(F.struct(text.alias("unpairedMsa")).alias("protein"))
+        return rows.select("id", F.to_json(F.struct(F.array(chain).alias("sequences"))).alias("document"))
+
+    fill_cache(spark, results(customers.where(F.col("c_acctbal") > 0), F.col("c_mktsegment")), cache)
+    searched = written(search_documents(customers, "id", "c_mktsegment", read_cached(spark, cache)).select(F.col("job").alias("id")), "searched")
+    fill_cache(spark, results(customers, F.col("c_name")), cache)
+    found = read_cached(spark, cache).groupBy("id").agg(
+        F.max(F.when(F.col("is_query"), F.col("row"))).alias("query"), F.count(F.lit(1)).cast("int").alias("n_records"))
+    return found.join(searched.withColumn("_s", F.lit(True)), "id", "left").select(
+        "id", "query", "n_records", F.coalesce("_s", F.lit(False)).alias("searched"))
+
+
 @query(f"""
 SELECT CAST(doc_id AS VARCHAR) AS id, at_stage AS eliminated_at_stage FROM ({OUTCOME_SQL}) WHERE outcome = 'eliminated'""")
 def audit_file(spark, folder):

@@ -101,3 +101,9 @@ def write_job_documents(documents: DataFrame, path: str, files: bool = False) ->
         documents.select("job", "document").write.mode("overwrite").partitionBy("job").text(path)
     else:
         documents.select("job", "document").write.mode("overwrite").parquet(path)
+
+
+def write_alignments(texts: DataFrame, cache: str) -> None:
+    """(id, msa) as a folder ``id=<id>`` each, as they are; an alignment that is there is replaced."""
+    (texts.select("id", F.col("msa").alias("value")).repartition("id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("id").text(cache))

@@ -1,5 +1,6 @@
 """Alignments in A3M text: header and row pairs, the query first."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -10,8 +11,32 @@ def read_alignments(spark: SparkSession, paths) -> DataFrame:
     read by several tasks. ``at`` orders the records of a file, and the first
     one is the query. Blank lines and carriage returns don't count.
     """
-    records = spark.read.option("lineSep", "\n>").text(paths).select(
-        F.regexp_extract("_metadata.file_name", r"^(.*?)(\.a3m)?$", 1).alias("id"),
+    return _records(spark.read.option("lineSep", "\n>").text(paths).withColumn(
+        "_id", F.regexp_extract("_metadata.file_name", r"^(.*?)(\.a3m)?$", 1)))
+
+
+def read_cached(spark: SparkSession, cache: str) -> DataFrame:
+    """The same from a cache, a folder ``id=<id>`` per alignment; before a first one is saved there is none."""
+    try:
+        lines = spark.read.option("lineSep", "\n>").schema("value string, id string").text(cache)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "value string, id string").select("*", F.struct(
+            F.lit("").alias("file_path"), F.lit(0).cast("long").alias("file_block_start")).alias("_metadata"))
+    return _records(lines.withColumn("_id", F.col("id")))
+
+
+def alignments_in_results(documents: DataFrame, document: str = "document") -> DataFrame:
+    """(id, msa) from finished search documents (id, and their JSON text): the alignment of the first chain.
+    Documents without one are left out."""
+    text = F.try_variant_get(F.try_parse_json(document), "$.sequences[0].protein.unpairedMsa", "string")
+    return documents.select("id", text.alias("msa")).where(F.col("msa").isNotNull())
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    records = lines.select(
+        F.col("_id").alias("id"),
         F.struct(F.col("_metadata.file_block_start").alias("_block"),
                  F.monotonically_increasing_id().alias("_line")).alias("at"),
         F.regexp_replace("value", r"\r", "").alias("value")).where(F.trim(F.translate("value", "\n", "")) != "")

@@ -2,12 +2,13 @@
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..constants import AGGREGATION_PASS, ALLERGEN_PASS, TOXICITY_PASS
 from ..functions.text import stripped
 from ..operators.latest import latest_per_key
+from ..session import written
 
 
 def read_csv(spark: SparkSession, path, schema: StructType | None = None) -> DataFrame:
@@ -23,6 +24,30 @@ def read_csv(spark: SparkSession, path, schema: StructType | None = None) -> Dat
                           for f in schema.fields])
 
 
+REJECT = "_line_text"
+
+
+def read_csv_strictly(spark: SparkSession, path, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows of CSV files with a header that fit ``schema``, and the rejects: file, block, line and reason.
+
+    A line is rejected if it has more or fewer values than the header, or if a value that is not blank
+    doesn't parse as its column's type; the reason names the first such column. Columns that the files lack
+    are NULL. Each line of the files but the headers is in one of the two.
+    """
+    names = spark.read.csv(path, header=True).columns
+    raw = spark.read.csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT, schema=StructType(
+        [StructField(n, StringType()) for n in (*names, REJECT)])).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    wrong = [F.when((F.trim(f"`{f.name}`") != "") & F.col(f"`{f.name}`").try_cast(f.dataType).isNull(), F.lit(f"value of {f.name}"))
+             for f in schema.fields if f.name in names]
+    # written: a read of some columns only would not see that a line is too short
+    judged = written(raw.withColumn("_reason", F.coalesce(F.when(F.col(REJECT).isNotNull(), F.lit("number of values")), *wrong)), "judged")
+    rows = judged.where("_reason IS NULL").select(*[optional(raw, f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    line = F.coalesce(REJECT, F.array_join(F.array(*[F.coalesce(f"`{n}`", F.lit("")) for n in names]), ","))
+    return rows, judged.where("_reason IS NOT NULL").select(
+        F.col("_file").alias("file"), F.col("_block").alias("block"), line.alias("line"), F.col("_reason").alias("reason"))
+
+
 def optional(table: DataFrame, name: str) -> Column:
     """A column, or NULL text when the file has no such header."""
     return F.col(f"`{name}`") if name in table.columns else F.lit(None).cast("string")
@@ -81,12 +106,18 @@ def read_aggregation(spark: SparkSession, path) -> DataFrame:
         "id", (F.col("TANGO_pass") == AGGREGATION_PASS).alias("passed"), *FILE_ORDER))
 
 
-def read_allergenicity(spark: SparkSession, paths) -> DataFrame:
-    """(id, passed) from any number of batch files; the newest file wins an id."""
-    table = with_file_order(spark.read.csv(paths, header=True))
+def read_allergenicity(spark: SparkSession, paths, numbered: bool = False) -> DataFrame:
+    """(id, passed) from any number of batch files; the newest file wins an id. If the list of
+    paths is ``numbered``, the last path that has the id wins, whatever the files' times."""
+    parts = [with_file_order(spark.read.csv(path, header=True)).withColumn("_batch", F.lit(i)).select(
+        "Protein", "Result", "_batch", *FILE_ORDER) for i, path in enumerate(paths if numbered else [paths])]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
     rows = table.where(F.coalesce("Protein", F.lit("")) != "")
     return _last_verdict(rows.select(
-        F.col("Protein").alias("id"), (F.col("Result") == ALLERGEN_PASS).alias("passed"), *FILE_ORDER))
+        F.col("Protein").alias("id"), (F.col("Result") == ALLERGEN_PASS).alias("passed"), "_batch", *FILE_ORDER),
+        ["_batch", *FILE_ORDER])
 
 
 def read_toxicity(spark: SparkSession, path) -> DataFrame:
@@ -133,6 +164,6 @@ def read_id_map(spark: SparkSession, path) -> DataFrame:
     return spark.read.csv(path, header=True).select("old_id", "new_id")
 
 
-def _last_verdict(rows: DataFrame) -> DataFrame:
-    last = latest_per_key(rows, ["id"], FILE_ORDER)
+def _last_verdict(rows: DataFrame, order: list[str] = FILE_ORDER) -> DataFrame:
+    last = latest_per_key(rows, ["id"], order)
     return last.select("id", F.coalesce("passed", F.lit(False)).alias("passed"))
