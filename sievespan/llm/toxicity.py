@@ -7,8 +7,9 @@ What the discount takes away goes to a backoff that both classes share, the
 continuation counts of all texts of both, so that a rare expression gets about the
 same probability from either. The discount takes the same share of both
 classes, however unequal they are. Words are told apart by 64-bit hashes, in a
-written table that grows with the texts. The ``CELLS`` most frequent words go to
-every task, which is a matter of speed: words beyond them are joined to the table.
+written table that grows with the texts. Of those whose counts exceed the discount
+the ``CELLS`` most frequent go to every task, which is a matter of speed: words beyond
+them are joined to the table. All others have the log-ratio of an unknown word.
 
 A text is compared by its length-normalised log-likelihoods under both models,
 as a whole and in its worst stretch of ``STRETCH`` words. A logistic function of
@@ -40,7 +41,7 @@ STRETCH = 5
 FOLDS = 5           # fold 0 is held out, all others are counted, the last one also calibrates
 CALIBRATION_ROWS = 20_000    # labelled texts at most that weights and discount are fitted on, by hash of their id
 BUFFER = 1 << 20    # words a task counts at once
-MOST_BITS = 1 << 28    # of the set of labelled ids that every task holds, 32 MB; beyond 16 million labels it lets more texts through
+MOST_BITS = 1 << 28    # of a set that every task holds, 32 MB; beyond 16 million entries it lets more through that are none
 
 
 def fold(doc_id: Column) -> Column:
@@ -67,14 +68,16 @@ class Lexicon(NamedTuple):
     unknown: np.ndarray
     discounts: tuple[float, ...]
     sums: tuple[tuple, ...]
+    others: np.ndarray | None    # bit set of the words that have to be joined
 
     def looked_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-ratios by discount and word, and which words are not among the most frequent."""
+        """Log-ratios by discount and word, and which words may be among those that are joined."""
         if not len(self.words):
-            return np.repeat(self.unknown[:, None], len(word), 1), np.ones(len(word), bool)
+            return np.repeat(self.unknown[:, None], len(word), 1), np.zeros(len(word), bool)
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        missing = self.words[at] != word
-        return np.where(missing, self.unknown[:, None], self.gains[:, at]), missing
+        absent = self.words[at] != word
+        missing = absent if self.others is None else absent & _may_hold(self.others, word)
+        return np.where(absent, self.unknown[:, None], self.gains[:, at]), missing
 
     def ratios(self, counts: np.ndarray) -> np.ndarray:
         return np.array([log_ratios(counts, d, s) for d, s in zip(self.discounts, self.sums)])
@@ -84,7 +87,7 @@ class Model(NamedTuple):
     gains: np.ndarray      # log-probability in toxic text minus that in ordinary text, of the most frequent words
     weights: np.ndarray    # bias, whole text, worst stretch
     lexicon: Lexicon
-    rare: DataFrame | None    # word, ordinary, toxic: all other words with counts
+    rare: DataFrame | None    # word, ordinary, toxic: all other words that tell the classes apart
 
 
 def differences(gain: np.ndarray) -> tuple[float, float]:
@@ -149,7 +152,11 @@ def log_ratios(counts: np.ndarray, discount: float, sums: tuple | None = None) -
 
 
 def _lexicon(table: DataFrame, discounts: tuple[float, ...]) -> tuple[Lexicon, DataFrame | None]:
-    """The most frequent words of word, ordinary and toxic counts, and the other words if there are any."""
+    """The most frequent words of word, ordinary and toxic counts, and the other words if there are any.
+
+    A word of which the least discount leaves nothing in either class has the log-ratio of an unknown word,
+    whatever its count, so these words need no place in either.
+    """
     table = table.where("ordinary + toxic > 0")
     size, *total = table.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in CLASSES]).first()
     n = np.maximum(np.array(total, float), 1)
@@ -157,15 +164,18 @@ def _lexicon(table: DataFrame, discounts: tuple[float, ...]) -> tuple[Lexicon, D
                        for d in discounts for i, c in enumerate(CLASSES)]).first()
     sums = tuple((tuple(total), tuple(left[2 * i:2 * i + 2]), sum(total) + size) for i in range(len(discounts)))
     sums = tuple((t, kept, max(backoff, 1)) for t, kept, backoff in sums)
-    ranked = table.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "word").limit(CELLS)
+    least = min(discounts)
+    telling = table.where(" OR ".join(f"{c} > {float(least * n[i] / n.min())!r}D" for i, c in enumerate(CLASSES)))
+    ranked = telling.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "word").limit(CELLS)
     most = ranked.toPandas().sort_values("word")
     counts = most[list(CLASSES)].to_numpy(float).T.reshape(2, len(most))
     lexicon = Lexicon(most["word"].to_numpy(np.int64), np.array([log_ratios(counts, d, s) for d, s in zip(discounts, sums)]),
-                      np.array([log_ratios(np.zeros((2, 1)), d, s)[0] for d, s in zip(discounts, sums)]), discounts, sums)
-    if size <= CELLS:
+                      np.array([log_ratios(np.zeros((2, 1)), d, s)[0] for d, s in zip(discounts, sums)]), discounts, sums, None)
+    if len(most) < CELLS:
         return lexicon, None
     held = table.sparkSession.createDataFrame(pd.DataFrame({"word": lexicon.words}), "word long")
-    return lexicon, table.join(F.broadcast(held), "word", "left_anti")
+    rare = telling.join(F.broadcast(held), "word", "left_anti")
+    return lexicon._replace(others=_bit_set(rare, "word")), rare
 
 
 def _compared(docs: DataFrame, lexicon: Lexicon, rare: DataFrame | None, text: str) -> DataFrame:
@@ -194,7 +204,9 @@ def _compared(docs: DataFrame, lexicon: Lexicon, rare: DataFrame | None, text: s
                 if not missing.any():
                     out.append((flat(gains), None, None, None))
                     continue
-                at = np.where(missing, 0, np.searchsorted(shared.value.words, word)).astype("<u2")
+                # words without a place take the last one, which stands for an unknown word
+                known = np.minimum(np.searchsorted(shared.value.words, word), len(shared.value.words) - 1)
+                at = np.where(shared.value.words[known] == word, known, len(shared.value.words)).astype("<u4")
                 own, which = np.unique(word[missing], return_inverse=True)
                 places = np.stack([np.nonzero(missing)[0], which]).astype("<i4")
                 out.append((None, at.tobytes(), own, places.tobytes()))
@@ -205,7 +217,7 @@ def _compared(docs: DataFrame, lexicon: Lexicon, rare: DataFrame | None, text: s
         for batch in batches:
             out = []
             for words, missing, places, found, ordinary, toxic in zip(*batch):
-                gains = shared.value.gains[:, np.frombuffer(words, "<u2")]
+                gains = np.append(shared.value.gains, shared.value.unknown[:, None], 1)[:, np.frombuffer(words, "<u4")]
                 own = np.repeat(shared.value.unknown[:, None], len(missing), 1)
                 if found is not None and len(found):
                     own[:, np.searchsorted(missing, found)] = shared.value.ratios(np.array([ordinary, toxic], float))
@@ -225,21 +237,32 @@ def _compared(docs: DataFrame, lexicon: Lexicon, rare: DataFrame | None, text: s
     return docs.withColumn("_key", key).join(found, "_key").drop("_key")
 
 
-def _may_be_labelled(marked: DataFrame, column: str) -> Column:
-    """Whether an id may have a label: false only for ids without one. The set has some 16 bits for a label,
-    and comes here as numbers of 64 bits, so its size and not the number of labels bounds what the driver gets."""
-    size = min(MOST_BITS, max(1 << 10, 1 << (16 * marked.count()).bit_length()))
-    place = F.xxhash64(F.col(column).cast("string")).bitwiseAND(F.lit(size - 1))
-    words = (marked.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w"))
+def _bit_set(hashes: DataFrame, name: str) -> np.ndarray:
+    """A set of hashes with some 16 bits for each of them, up to ``MOST_BITS``, as numbers of 64 bits; that it holds
+    a hash may be wrong, that it doesn't may not. Its size and not their number bounds what the driver gets."""
+    size = min(MOST_BITS, max(1 << 10, 1 << (16 * hashes.count()).bit_length()))
+    place = F.col(name).bitwiseAND(F.lit(size - 1))
+    words = (hashes.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas())
     held = np.zeros(size >> 6, np.int64)
     held[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = marked.sparkSession.sparkContext.broadcast(held)
+    return held
+
+
+def _may_hold(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & (64 * len(held) - 1)
+    return (held[place >> 6] >> (place & 63) & 1).astype(bool)
+
+
+def _may_be_labelled(marked: DataFrame, column: str) -> Column:
+    """Whether an id may have a label: false only for ids without one."""
+    place = F.xxhash64(F.col(column).cast("string"))
+    shared = marked.sparkSession.sparkContext.broadcast(_bit_set(marked.select(place.alias("h")), "h"))
 
     @F.pandas_udf("boolean")
     def among(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for h in batches:
-            yield pd.Series((shared.value[h.to_numpy() >> 6] >> (h.to_numpy() & 63) & 1).astype(bool))
+            yield pd.Series(_may_hold(shared.value, h.to_numpy(np.int64)))
 
     return among(place)
 
