@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .latest import latest_per_key
@@ -32,6 +33,45 @@ class Gate:
             raise ValueError(f"on_missing must be one of {ON_MISSING}: {self.on_missing!r}")
 
 
+GATES = "stage string, evidence string, passes string, on_missing string, last_by array<string>"
+
+
+def gates_from(table: DataFrame, evidence: dict[str, DataFrame], roster: DataFrame, key: str = "id") -> list[Gate]:
+    """Gates that a table names: by stage the evidence table (null for columns of the roster), the predicate as SQL
+    text, what a missing row means (null: fail) and the columns that say which row of a key is the last (null: none).
+
+    Everything is checked against the tables' schemas before anything runs: unknown evidence, columns that are not
+    there, predicates that are no booleans and tables without the key are named, all of them at once.
+    A table has a row per stage and comes to the driver; the stages come in its order of names.
+    """
+    found, wrong = [], []
+    for row in table.orderBy("stage").collect():
+        stage, name, text = row["stage"], row["evidence"], row["passes"]
+        if name is not None and name not in evidence:
+            wrong.append(f"{stage}: there is no evidence {name!r}")
+            continue
+        rows = roster if name is None else evidence[name]
+        last_by = row["last_by"] or []
+        absent = [c for c in [key, *last_by] if c not in rows.columns]
+        if absent:
+            wrong.append(f"{stage}: {name or 'the roster'} has no column {', '.join(absent)}")
+        if row["on_missing"] is not None and row["on_missing"] not in ON_MISSING:
+            wrong.append(f"{stage}: on_missing is {row['on_missing']!r}")
+        try:
+            kind = rows.select(F.expr(text).alias("passes")).schema["passes"].dataType.simpleString()
+            if kind != "boolean":
+                wrong.append(f"{stage}: {text} is no condition but {kind}")
+        except (AnalysisException, ParseException) as error:
+            wrong.append(f"{stage}: {text}: {error.getCondition()} {error.getMessageParameters().get('objectName', '')}".rstrip())
+        found.append((stage, name, text, row["on_missing"] or "fail", tuple(last_by)))
+    if len({f[0] for f in found}) < len(found):
+        wrong.append("a stage is named twice")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return [Gate(stage, F.expr(text), None if name is None else evidence[name], on_missing, last_by)
+            for stage, name, text, on_missing, last_by in found]
+
+
 def pass_column(stage: str) -> str:
     return f"{stage}_pass"
 

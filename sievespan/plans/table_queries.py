@@ -15,7 +15,7 @@ from ..functions.windows import sliding_windows
 from ..operators import coverage as cov
 from ..operators.containment import contained_pairs
 from ..operators.distance import min_distance
-from ..operators.gates import Gate, add_gate_flags, in_ranges, require_all
+from ..operators.gates import GATES, Gate, add_gate_flags, gates_from, in_ranges, require_all
 from ..operators.jobs import (add_cap_column, alignment_depth, folding_sequence, job_documents, job_matrix,
                               query_only_alignment, search_documents)
 from ..operators.latest import latest_per_key
@@ -124,6 +124,17 @@ def gate_flags(spark, folder):
     return flags.select("doc_id", "quality_pass", "toxicity_pass")
 
 
+@query(f"SELECT doc_id, coalesce(at_stage, '') AS at_stage, outcome FROM ({OUTCOME_SQL})")
+def gates_in_table(spark, folder):
+    """The funnel of gates that stand in a table, as it is kept beside the evidence."""
+    roster, labels = table(spark, folder, "documents").select("doc_id", "n_chars"), table(spark, folder, "labels")
+    given = spark.createDataFrame([("quality", "labels", "quality = 1", "pending", None), ("toxicity", "labels", "toxic = 0", None, None),
+                                   ("size", None, f"n_chars <= {MAX_CHARS}", None, None)], GATES)
+    gates = gates_from(given, {"labels": labels}, roster, "doc_id")
+    frame = funnel.run_funnel(roster, gates, ORDER, "doc_id")
+    return frame.select("doc_id", F.coalesce("at_stage", F.lit("")).alias("at_stage"), "outcome")
+
+
 @query(f"""
 SELECT doc_id, at_stage AS eliminated_at_stage FROM ({OUTCOME_SQL}) WHERE outcome = 'eliminated'""")
 def funnel_audit(spark, folder):
@@ -252,12 +263,13 @@ def run_rollup(spark, folder):
 
 
 @query(f"""
-SELECT user_id, CAST(0 AS BIGINT) AS line_no,
+SELECT user_id, CAST((run_start - 1) // 20 AS BIGINT) AS line_no,
        string_agg(format('res{{}}-{{}}(len={{}},max={{:.1f}}%)', run_start, run_end, run_length, run_max),
                   '; ' ORDER BY run_start) AS run_detail
-FROM ({_runs_sql(20)}) GROUP BY 1""")
+FROM ({_runs_sql(20)}) GROUP BY 1, 2""")
 def run_details(spark, folder):
-    return run_text(find_runs(_track(spark, folder), "user_id", "pos", "value", 20.0, 5), "user_id")
+    """The runs of each stretch of 20 places, so no row holds all runs of a long track; ``line_no`` orders them."""
+    return run_text(find_runs(_track(spark, folder), "user_id", "pos", "value", 20.0, 5), "user_id", per_line=20)
 
 
 # --- points ----------------------------------------------------------------

@@ -134,3 +134,20 @@ def test_required_keys(spark):
 def test_bounds_are_inclusive(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 6.0), (3.0, 6.1), (0.9, 1.0)], "a double, b double")
     assert rows(df.where(in_ranges({"a": 1.0}, {"b": 6.0}))) == {(1.0, 5.0), (2.0, 6.0)}
+
+
+def test_gates_from_a_table(spark):
+    from sievespan.operators.gates import GATES, gates_from
+    roster = spark.createDataFrame([("a", 1), ("b", 9), ("c", 1), ("d", 2)], "id string, size int")
+    proof = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 1, True), ("c", 1, True)], "id string, seen int, ok boolean")
+    given = [("big", None, "size < 5", None, None), ("proof", "proof", "ok", "pending", ["seen"])]
+    gates = gates_from(spark.createDataFrame(given, GATES), {"proof": proof}, roster)
+    frame = funnel.run_funnel(roster, gates, ["big", "proof"])
+    assert rows(frame.select("id", "outcome", "at_stage")) == {
+        ("a", "eliminated", "proof"), ("b", "eliminated", "big"), ("c", "retained", None), ("d", "pending", "proof")}
+    wrong = [("big", None, "weight < 5", None, None), ("odd", "absent", "ok", None, None), ("sum", "proof", "seen + 1", None, None),
+             ("typo", "proof", "ok = (", "perhaps", None), ("last", "proof", "ok", None, ["at"])]
+    with pytest.raises(ValueError) as error:
+        gates_from(spark.createDataFrame(wrong, GATES), {"proof": proof}, roster)
+    for text in ("`weight`", "no evidence 'absent'", "seen + 1 is no condition but int", "'perhaps'", "proof has no column at", "typo: ok = ("):
+        assert text in str(error.value)
