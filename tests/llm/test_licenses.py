@@ -65,3 +65,26 @@ def test_odd_rows(odd_docs, no_docs):
     assert licenses.detect(no_docs).count() == 0
     many = licenses.scan(b"MIT License " * 20_000)[1]
     assert sum(d["base"] for d in many) == 20_000 and many[-1]["start"] == 39_998
+
+
+@pytest.mark.parametrize("text", [
+    "under license mit lincoln laboratory made radars", "artistic license was taken by the author", "a python license plate",
+    "the elastic license of poets", "his license: mitigated by law", "license = mit2"])
+def test_prose_names_no_license(text):
+    assert labels(text) == []
+
+
+@pytest.mark.parametrize("text,want", [
+    ("x y License: MIT", ("mit", 2, 4)), ('"license": "BSD-3-Clause",', ("bsd-3-clause", 0, 4)), ("é  license=ISC.", ("isc", 1, 3)),
+    ("under the Artistic License", ("artistic", 0, 4)), ("Artistic License 2.0", ("artistic-2.0", 0, 4)),
+    ("If a copy of the MPL was not distributed with this file, see", ("mpl-2.0", 0, 12)),
+    ("You may not use this file except in compliance with the License.", ("apache-2.0", 0, 12))])
+def test_tags_notices_and_headers(text, want):
+    assert want in labels(text)
+
+
+def test_signatures_are_written_by_hand():
+    assert len(licenses.TEXTS) > 80 and len({pattern for _, pattern, _ in licenses.TEXTS}) == len(licenses.TEXTS)
+    for label, pattern, keyword in licenses.TEXTS:    # a plain sentence passes its own gate
+        if re.fullmatch("[a-z0-9 ]+", pattern):
+            assert any(found[0] == label for found in labels(pattern)), (label, pattern)
