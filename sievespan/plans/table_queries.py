@@ -920,7 +920,7 @@ def roster_file(spark, folder):
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size AS n_peptides_scored, 'tested' AS status, CAST(NULL AS BIGINT) AS n_binders FROM part")
-def optional_files(spark, folder):
+def files_optional(spark, folder):
     """A coverage summary that is there, and a binder summary that isn't."""
     summary = table(spark, folder, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_size").alias("n_peptides_scored"), F.lit("tested").alias("status"))
