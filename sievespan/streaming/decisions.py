@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.gates import Gate, pass_column, pending_column
 from ..plans import funnel
 from ..session import settings
-from .intake import STORE, _has_batches
+from .intake import STORE, has_batches
 
 ROSTER = -1      # stands for the stage in rows that say that an id is in the roster
 MISSING = -1
@@ -112,7 +112,7 @@ def current_decisions(spark: SparkSession, checkpoint: str, order: list[str], on
 def last_counts(spark: SparkSession, counts: str, checkpoint: str) -> DataFrame:
     """How many ids have which decision after the last batch; no rows before a first one."""
     schema = "outcome string, at_stage string, n long"
-    if not _has_batches(spark, checkpoint):
+    if not has_batches(spark, checkpoint):
         return spark.createDataFrame([], schema)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
     names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]

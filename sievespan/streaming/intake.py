@@ -103,7 +103,7 @@ def keep_latest(stream: DataFrame, log: str, checkpoint: str, keys: list[str], o
 
 def latest_state(spark: SparkSession, checkpoint: str, schema: StructType, keys: list[str], order: list[str]) -> DataFrame:
     """The table that ``keep_latest`` holds: the last row of each key. There is none before a first batch."""
-    if not _has_batches(spark, checkpoint):
+    if not has_batches(spark, checkpoint):
         return spark.createDataFrame([], schema)
     rest = [c for c in schema.fieldNames() if c not in keys and c not in order]
     row = StructType([schema[c] for c in (*order, *rest)] + [StructField("_since", LongType())])
@@ -113,6 +113,6 @@ def latest_state(spark: SparkSession, checkpoint: str, schema: StructType, keys:
     return held.select([F.col("key")[c].alias(c) if c in keys else F.col("value.row")[c].alias(c) for c in schema.fieldNames()])
 
 
-def _has_batches(spark: SparkSession, checkpoint: str) -> bool:
+def has_batches(spark: SparkSession, checkpoint: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/0")
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
