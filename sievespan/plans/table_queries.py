@@ -31,7 +31,7 @@ from ..sources.documents import by_position, read_templates, result_rows, unknow
 from ..sources.evidence import (FILE_ORDER, read_aggregation, read_allergenicity, read_binder_summary, read_coverage_summary,
                                 read_csv_strictly, read_ids, read_peptide_scores, read_pose, read_roster, read_toxicity,
                                 with_file_order)
-from ..sources.structures import read_keyed_ca_atoms
+from ..sources.structures import note_done, noted_jobs, read_keyed_ca_atoms
 from ..sources.tracks import profile_lines
 from ..streaming import decisions
 from ..streaming.intake import current_evidence, evidence_stream, keep_latest, latest_state, take_in
@@ -325,10 +325,10 @@ ATOMS_SQL = """
   WHERE l_linenumber < 7"""
 
 
-def _structure_files(spark, folder) -> str:
+def _structure_files(spark, folder, which: str = "true", path: str | None = None) -> str:
     """Order lines as mmCIF files, one for each supplier and return flag. Of the lines of a residue the last one counts;
     other atoms and numbers that can't be read are among them."""
-    lines = table(spark, folder, "lineitem").withColumn("_chain", F.least("l_linenumber", F.lit(3)))
+    lines = table(spark, folder, "lineitem").where(which).withColumn("_chain", F.least("l_linenumber", F.lit(3)))
     keys, order = ["l_suppkey", "l_returnflag", "_chain"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_discount"]
     placed = dense_position(lines.select(*keys, *order), keys, order)
     chain = F.element_at(F.array(F.lit("L"), F.lit("B"), F.lit("A")), F.col("_chain").cast("int"))
@@ -340,9 +340,9 @@ def _structure_files(spark, folder) -> str:
 
     wrong = F.when(F.col("l_linenumber") < 7, F.lit("-7.5")).otherwise("?")
     texts = F.array(atom("ATOM", "CA", wrong), atom("HETATM", "CA", x), atom("ATOM", "CB", x), F.lit("#"), atom("ATOM", "CA", x))
-    path = new_folder(spark, "structures")
+    path = path or new_folder(spark, "structures")
     (placed.select(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("receptor"), F.array_join(texts, "\n").alias("value"))
-     .repartition("id", "receptor").write.partitionBy("id", "receptor").text(path))
+     .repartition("id", "receptor").write.mode("append").partitionBy("id", "receptor").text(path))
     return path
 
 
@@ -351,6 +351,20 @@ def structure_atoms(spark, folder):
     return read_keyed_ca_atoms(spark, _structure_files(spark, folder))
 
 
+@query("""
+SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS id, l_returnflag AS receptor, l_returnflag = 'A' AS noted_first FROM lineitem""")
+def jobs_noted(spark, folder):
+    """Finished structures in two lots, noted as they come; the second call sees the new files only."""
+    noted, checkpoint = new_folder(spark, "noted"), new_folder(spark, "noted-checkpoint")
+    path = _structure_files(spark, folder, "l_returnflag = 'A'")
+    note_done(spark, path, noted, checkpoint, keyed=True)
+    _structure_files(spark, folder, "l_returnflag <> 'A'", path)
+    note_done(spark, path, noted, checkpoint, keyed=True)
+    first = spark.read.parquet(f"{noted}/batch=0").withColumn("noted_first", F.lit(True))
+    return noted_jobs(spark, noted).join(first, ["id", "receptor"], "left").select(
+        "id", "receptor", F.coalesce("noted_first", F.lit(False)).alias("noted_first"))
+
+
 @query(f"""
 WITH atoms AS (SELECT * FROM ({ATOMS_SQL}) WHERE id IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0)),
      s AS (SELECT id, receptor, CASE WHEN bool_or(chain = 'L') THEN 'L' ELSE 'B' END AS peptide, count(*) FILTER (WHERE chain = 'A') AS n

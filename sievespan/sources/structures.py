@@ -7,6 +7,7 @@ keyed layout Spark then opens the partitions that the join with them asks for
 (dynamic partition pruning), of the other one the files that are picked by name.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
@@ -99,6 +100,44 @@ def done_jobs(spark: SparkSession, path) -> DataFrame:
     return _models(spark, path).select("id", "receptor").distinct()
 
 
+KEYED = r"/id=([^/]+)/receptor=([^/]+)/[^/]+$"
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def note_done(spark: SparkSession, path, table: str, checkpoint: str, keyed: bool = False) -> None:
+    """Add the structures that came since the last call to ``table``, a folder per call that found any.
+
+    The stream's own log of files says which are new, so what is noted is not looked at again; only names are
+    taken, files are not opened. With ``keyed`` any file in ``id=<id>/receptor=<receptor>/`` counts, else model files.
+    """
+    files = (spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*" if keyed else "*_model.cif")
+             .load(f"{path}/*/*").select("path"))
+    place = KEYED if keyed else PLACE
+
+    def part(n):
+        text = F.regexp_extract("path", place, n)
+        return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))) if keyed else text    # names of partitions are escaped
+
+    found = files.where(F.col("path").rlike(place)).select(part(1).alias("id"), part(2).alias("receptor"))
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.distinct().write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    query = (found.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(append).start())
+    query.awaitTermination()
+
+
+def noted_jobs(spark: SparkSession, table: str) -> DataFrame:
+    """(id, receptor) of all structures noted so far."""
+    try:
+        rows = spark.read.schema("id string, receptor string").parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], "id string, receptor string")
+    return rows.select("id", "receptor").distinct()
+
+
 def _models(spark: SparkSession, path) -> DataFrame:
     files = spark.read.format("binaryFile").load(f"{path}/{MODELS}").select(F.col("_metadata.file_path").alias("_path"))
     return files.where(F.col("_path").rlike(PLACE)).select(

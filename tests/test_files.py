@@ -314,3 +314,24 @@ def test_only_survivors_files_are_read(spark, tmp_path):
             assert [s.metrics().apply("numFiles").value() for s in texts] == [files]
             assert path == "plain" or "dynamicpruning" in frame._jdf.queryExecution().executedPlan().toString()
         assert read(spark, str(tmp_path / path), spark.createDataFrame([], "id string")).isEmpty()
+
+
+def test_done_jobs_are_noted_as_they_come(spark, tmp_path):
+    def arrive(i, receptor, name=None):
+        folder = tmp_path / "models" / i / receptor
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / (name or f"{i}_{receptor}_model.cif")).write_text("#\n")
+
+    noted, checkpoint = str(tmp_path / "noted"), str(tmp_path / "check")
+    assert structures.noted_jobs(spark, noted).isEmpty()
+    arrive("a", "CTR")
+    arrive("a", "CGRP", "a_CGRP_seed_model.cif")    # of a folder, but not its structure
+    structures.note_done(spark, str(tmp_path / "models"), noted, checkpoint)
+    assert rows(structures.noted_jobs(spark, noted)) == {("a", "CTR")}
+    arrive("b", "CTR")
+    arrive("a", "CGRP")
+    for _ in range(2):
+        structures.note_done(spark, str(tmp_path / "models"), noted, checkpoint)
+        assert rows(structures.noted_jobs(spark, noted)) == {("a", "CTR"), ("b", "CTR"), ("a", "CGRP")}
+    assert rows(spark.read.parquet(f"{noted}/batch=1")) == {("b", "CTR"), ("a", "CGRP")}
+    assert not (tmp_path / "noted" / "batch=2").exists()
