@@ -22,7 +22,7 @@ def _phrase(words: int) -> str:
 def _grams(text: Column, kind: int, words: int) -> Column:
     """Parts of a text that are looked up: kind 0 its phrases, any other kind all runs of so many characters."""
     part = _phrase(words) if kind == 0 else f"(?s)(?=(.{{{kind}}}))."
-    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(part), F.lit(1))),
+    return F.transform(F.regexp_extract_all(text, F.lit(part), F.lit(1)),
                        lambda g: F.concat(F.lit(f"{kind} "), g))
 
 
@@ -54,13 +54,13 @@ def contained_pairs(texts: DataFrame, text_id: str, text: str,
     own = F.coalesce(*[F.when(F.col("_kind") == k, _grams(F.col("_pattern"), k, anchor_words)) for k in kinds],
                      F.array().cast("array<string>"))
     named = ["_no", pattern_id, "_pattern"]
-    parts = written(known.select(*named, F.explode(own).alias("_gram")), "parts")
+    parts = written(known.select(*named, F.explode(F.array_distinct(own)).alias("_gram")), "parts")
     cut = blocks(texts, text_id, text, max(BLOCK, longest), max(longest - 1, 0))
 
     def found(flags: bytes, kinds: list[int]) -> Column:
         """The parts of a block that pass the table."""
-        return F.concat(*[F.filter(_grams(F.col("_text"), k, anchor_words), lambda g: may_be_among(flags, g)) for k in kinds],
-                        F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(*[F.filter(_grams(F.col("_text"), k, anchor_words), lambda g: may_be_among(flags, g)) for k in kinds],
+                                         F.array().cast("array<string>")))
 
     several = parts.groupBy("_no").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     choices = parts.join(several, "_no", "left_semi")
