@@ -5,6 +5,11 @@ in ``id=<id>/receptor=<receptor>/``. A funnel has few candidates left where
 structures are looked at, so both readers can be given those that are: of the
 keyed layout Spark then opens the partitions that the join with them asks for
 (dynamic partition pruning), of the other one the files that are picked by name.
+
+A file per structure costs a listing, an opening and, when it is written, a commit by
+the driver each, whatever its size. Large sets are packed instead: a table (id,
+receptor, path, value) with the text of a model file per row and many in a part
+file, in ``BUCKETS`` folders by id, of which a reader opens those of the ids it is given.
 """
 
 from pyspark.errors import AnalysisException
@@ -17,6 +22,10 @@ from ..session import written
 # <id>/<receptor>/<id>_<receptor>_model.cif; other files of a folder are not its structure
 PLACE = r"/([^/]+)/([^/]+)/\1_\2_model\.cif$"
 MODELS = "*/*/*_model.cif"
+# the fourth word says which atom it is; most lines are of others, and aren't split
+CA_LINE = r"^ATOM\S*\s+\S+\s+\S+\s+CA(\s|$)"
+BUCKETS = 64
+PACKED = "id string, receptor string, path string, value string, bucket int"
 
 
 def read_ca_atoms(spark: SparkSession, path, alive: DataFrame | None = None) -> DataFrame:
@@ -50,6 +59,33 @@ def read_keyed_ca_atoms(spark: SparkSession, path, alive: DataFrame | None = Non
                                F.posexplode(F.split("value", "\n")).alias("_line", "value")))
 
 
+def pack_models(models: DataFrame, table: str) -> None:
+    """Add (id, receptor, path, value), the texts of model files, to a packed table. Of two texts of
+    a structure the one with the later ``path`` counts where they have the same residue."""
+    (models.select("id", "receptor", "path", "value", _bucket("id").alias("bucket")).repartition("bucket")
+     .write.mode("append").partitionBy("bucket").parquet(table))
+
+
+def model_texts(spark: SparkSession, path) -> DataFrame:
+    """(id, receptor, path, value) of the model files below ``path``, to be packed."""
+    files = spark.read.text(f"{path}/{MODELS}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return files.where(F.col("path").rlike(PLACE)).select(
+        F.regexp_extract("path", PLACE, 1).alias("id"), F.regexp_extract("path", PLACE, 2).alias("receptor"), "path", "value")
+
+
+def read_packed_ca_atoms(spark: SparkSession, table: str, alive: DataFrame | None = None) -> DataFrame:
+    """The same from a packed table."""
+    models = spark.read.schema(PACKED).parquet(table)
+    if alive is not None:
+        models = models.join(_wanted(alive).withColumn("bucket", _bucket("id")), [*_keys(alive), "bucket"], "left_semi")
+    lines = F.posexplode(F.split("value", "\n")).alias("_line", "value")
+    return _atoms(models.select("id", "receptor", F.col("path").alias("_path"), F.lit(0).cast("long").alias("_block"), lines))
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def _keys(alive: DataFrame) -> list[str]:
     return ["id", "receptor"] if "receptor" in alive.columns else ["id"]
 
@@ -78,8 +114,9 @@ def _atoms(lines: DataFrame) -> DataFrame:
     """From (id, receptor, value, _path, _block, _line) rows."""
     tok = F.col("tok")
     atoms = (
-        lines.where(F.col("value").startswith("ATOM"))
-        .withColumn("tok", tokens("value"))
+        lines.where(F.col("value").rlike(CA_LINE))
+        # a generated column: a filter on a plain one would be pushed below it, and split the line for each of its terms
+        .withColumn("tok", F.explode(F.array(tokens("value"))))
         .where((F.size("tok") >= 13) & (tok[3] == "CA"))
         .select(
             "id", "receptor",
@@ -118,8 +155,16 @@ def note_done(spark: SparkSession, path, table: str, checkpoint: str, keyed: boo
         text = F.regexp_extract("path", place, n)
         return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))) if keyed else text    # names of partitions are escaped
 
-    found = files.where(F.col("path").rlike(place)).select(part(1).alias("id"), part(2).alias("receptor"))
+    _note(files.where(F.col("path").rlike(place)).select(part(1).alias("id"), part(2).alias("receptor")), table, checkpoint)
+
+
+def note_packed(spark: SparkSession, packed: str, table: str, checkpoint: str) -> None:
+    """The same for structures of a packed table, by its part files that came since the last call; of these
+    only the names of structures are read."""
+    _note(spark.readStream.schema(PACKED).parquet(packed).select("id", "receptor"), table, checkpoint)
+
 
+def _note(found: DataFrame, table: str, checkpoint: str) -> None:
     def append(batch: DataFrame, number: int) -> None:
         batch.distinct().write.mode("overwrite").parquet(f"{table}/batch={number}")
 

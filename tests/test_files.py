@@ -335,3 +335,30 @@ def test_done_jobs_are_noted_as_they_come(spark, tmp_path):
         assert rows(structures.noted_jobs(spark, noted)) == {("a", "CTR"), ("b", "CTR"), ("a", "CGRP")}
     assert rows(spark.read.parquet(f"{noted}/batch=1")) == {("b", "CTR"), ("a", "CGRP")}
     assert not (tmp_path / "noted" / "batch=2").exists()
+
+
+def test_packed_models_read_as_their_files(spark, tmp_path):
+    ids = [f"p{n}" for n in range(40)]
+    for n, i in enumerate(ids):
+        put(tmp_path / "models" / i / "CTR" / f"{i}_CTR_model.cif", "\n".join([
+            "data_x", atom("A", 1, 1.0), atom("A", 1, n), atom("A", 2, "bad"), atom("A", 3, 9.0, name="CB"), atom("L", 1, 7.5)]))
+    every, packed = structures.model_texts(spark, str(tmp_path / "models")), str(tmp_path / "packed")
+    structures.pack_models(every, packed)
+    structures.pack_models(every.where("id = 'p3'"), packed)       # a model that is there already changes nothing
+    want = structures.read_ca_atoms(spark, str(tmp_path / "models"))
+    assert want.count() == 80 and rows(structures.read_packed_ca_atoms(spark, packed)) == rows(want)
+    alive = spark.createDataFrame([("p7", "CTR"), ("p8", "CGRP"), ("gone", "CTR")], "id string, receptor string")
+    left = structures.read_packed_ca_atoms(spark, packed, alive)
+    assert rows(left) == rows(want.where("id = 'p7'"))
+    scans = [s for s in _scans(left._jdf.queryExecution().executedPlan()) if "packed" in s.toString()]
+    assert [s.metrics().apply("numFiles").value() for s in scans] == [len(
+        {r[0] for r in spark.read.parquet(packed).where("bucket IN (SELECT DISTINCT pmod(xxhash64(id), 64) FROM {a})".format(
+            a="VALUES ('p7'), ('p8'), ('gone') AS t(id)")).select("_metadata.file_path").collect()})]
+
+
+def test_the_number_of_structure_files_does_not_follow_the_structures(spark, tmp_path):
+    texts = spark.range(2000).select(F.concat(F.lit("s"), "id").alias("id"), F.lit("CTR").alias("receptor"), F.lit("m").alias("path"),
+                                     F.lit(atom("A", 1, 1.0)).alias("value"))
+    structures.pack_models(texts, str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").rglob("*.parquet"))) <= structures.BUCKETS
+    assert structures.read_packed_ca_atoms(spark, str(tmp_path / "packed")).count() == 2000
