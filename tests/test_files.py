@@ -362,3 +362,19 @@ def test_the_number_of_structure_files_does_not_follow_the_structures(spark, tmp
     structures.pack_models(texts, str(tmp_path / "packed"))
     assert len(list((tmp_path / "packed").rglob("*.parquet"))) <= structures.BUCKETS
     assert structures.read_packed_ca_atoms(spark, str(tmp_path / "packed")).count() == 2000
+
+
+def test_packed_structures_are_noted_as_they_come(spark, tmp_path):
+    packed, noted, checkpoint = (str(tmp_path / n) for n in ("packed", "noted", "check"))
+
+    def arrive(*pairs):
+        structures.pack_models(spark.createDataFrame([(*p, "m", "#") for p in pairs], "id string, receptor string, path string, value string"), packed)
+        structures.note_packed(spark, packed, noted, checkpoint)
+
+    arrive(("a", "CTR"), ("a b", "CGRP"))
+    assert rows(structures.noted_jobs(spark, noted)) == {("a", "CTR"), ("a b", "CGRP")}
+    arrive(("a", "CGRP"))
+    structures.note_packed(spark, packed, noted, checkpoint)
+    assert rows(spark.read.parquet(f"{noted}/batch=1")) == {("a", "CGRP")}
+    assert rows(structures.noted_jobs(spark, noted)) == {("a", "CTR"), ("a b", "CGRP"), ("a", "CGRP")}
+    assert not (tmp_path / "noted" / "batch=2").exists()
