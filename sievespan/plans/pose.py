@@ -6,6 +6,7 @@ from ..constants import (C_TERMINAL, N_TERMINAL, NO_DISTANCE, PEPTIDE_CHAINS, PO
                          RECEPTOR_CHAIN, RECEPTORS, REGION_BOUNDARIES)
 from ..functions.text import fixed_decimals
 from ..operators.distance import min_distance_squared
+from ..session import written
 
 STRUCTURE = ["id", "receptor"]
 COORDS = ["x", "y", "z"]
@@ -46,6 +47,7 @@ def tag_regions(atoms: DataFrame, known: DataFrame) -> DataFrame:
 
 def pose_check(atoms: DataFrame, cutoff: float = POSE_CUTOFF, boundaries: DataFrame | None = None) -> DataFrame:
     """Both distances and verdicts of every structure that can be checked."""
+    atoms = written(atoms, "atoms")      # read three times; structures would be parsed anew for each
     known = structures(atoms, boundaries)
     tagged = tag_regions(atoms, known)
     return two_region_gate(known, tagged.where(F.col("side") == "peptide"),

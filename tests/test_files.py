@@ -8,7 +8,7 @@ from conftest import rows
 from sievespan import constants as C
 from sievespan.operators import jobs, subsets
 from sievespan.operators.gates import Gate
-from sievespan.plans import funnel
+from sievespan.plans import funnel, pose
 from sievespan.sinks import writers
 from sievespan.sources import alignments, documents, evidence, structures, tracks
 
@@ -378,3 +378,11 @@ def test_packed_structures_are_noted_as_they_come(spark, tmp_path):
     assert rows(spark.read.parquet(f"{noted}/batch=1")) == {("a", "CGRP")}
     assert rows(structures.noted_jobs(spark, noted)) == {("a", "CTR"), ("a b", "CGRP"), ("a", "CGRP")}
     assert not (tmp_path / "noted" / "batch=2").exists()
+
+
+def test_the_pose_check_parses_each_structure_once(spark, tmp_path):
+    put(tmp_path / "p" / "CTR" / "p_CTR_model.cif", "\n".join([atom("L", 1, 1.0), *[atom("A", n, n) for n in range(1, 9)]]))
+    boundaries = spark.createDataFrame([(8, 3, 4, 2, 7)], "chain_length long, ecd_end int, tm1_start int, deep_start int, tmd_end int")
+    checked = pose.pose_check(structures.read_ca_atoms(spark, str(tmp_path)), 1.5, boundaries)
+    assert [tuple(r) for r in checked.select("id", "receptor", "d_nterm_tmd", "d_cterm_deep").collect()] == [("p", "CTR", 3.0, 999.0)]
+    assert "Scan text" not in checked._jdf.queryExecution().executedPlan().toString()
