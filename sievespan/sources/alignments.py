@@ -3,6 +3,8 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.latest import latest_per_key
+
 
 def read_alignments(spark: SparkSession, paths) -> DataFrame:
     """(id, at, is_query, header, row) of every record; the id is the file's name.
@@ -16,15 +18,19 @@ def read_alignments(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_cached(spark: SparkSession, cache: str) -> DataFrame:
-    """The same from a cache, a folder ``id=<id>`` per alignment; before a first one is saved there is none."""
+    """The same from a cache, a table of alignments, each a row; before a first one is saved there is none.
+    Of an alignment that was saved again the last text counts."""
     try:
-        lines = spark.read.option("lineSep", "\n>").schema("value string, id string").text(cache)
+        saved = spark.read.schema("id string, run long, value string").parquet(cache)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        lines = spark.createDataFrame([], "value string, id string").select("*", F.struct(
-            F.lit("").alias("file_path"), F.lit(0).cast("long").alias("file_block_start")).alias("_metadata"))
-    return _records(lines.withColumn("_id", F.col("id")))
+        saved = spark.createDataFrame([], "id string, run long, value string")
+    parts = F.transform(F.split("value", "\n>"), lambda r: F.replace(r, F.lit("\r"), F.lit("")))
+    records = F.filter(parts, lambda r: F.trim(F.translate(r, "\n", "")) != "")
+    rows = latest_per_key(saved, ["id"], ["run"]).select("id", F.posexplode(records).alias("_line", "value"))
+    return _split(rows.select("id", F.struct(F.lit(0).cast("long").alias("_block"), F.col("_line").cast("long").alias("_line")).alias("at"),
+                              (F.col("_line") == 0).alias("is_query"), "value"))
 
 
 def alignments_in_results(documents: DataFrame, document: str = "document") -> DataFrame:
@@ -41,7 +47,11 @@ def _records(lines: DataFrame) -> DataFrame:
                  F.monotonically_increasing_id().alias("_line")).alias("at"),
         F.regexp_replace("value", r"\r", "").alias("value")).where(F.trim(F.translate("value", "\n", "")) != "")
     first = records.groupBy("id").agg(F.min("at").alias("_first"))
-    known = records.join(first, "id").withColumn("is_query", F.col("at") == F.col("_first"))
+    return _split(records.join(first, "id").withColumn("is_query", F.col("at") == F.col("_first")))
+
+
+def _split(known: DataFrame) -> DataFrame:
+    """Header and row of each record's text."""
     # only the record that begins a file keeps its own ">"
     parts = F.split(F.when(F.col("is_query"), F.regexp_replace("value", r"^\s*>?", "")).otherwise(F.col("value")), "\n")
     return known.select(

@@ -8,7 +8,7 @@ from conftest import rows
 from sievespan import constants as C
 from sievespan.operators import jobs, subsets
 from sievespan.operators.gates import Gate
-from sievespan.plans import funnel, pose
+from sievespan.plans import funnel, pose, runs
 from sievespan.sinks import writers
 from sievespan.sources import alignments, documents, evidence, structures, tracks
 
@@ -386,3 +386,26 @@ def test_the_pose_check_parses_each_structure_once(spark, tmp_path):
     checked = pose.pose_check(structures.read_ca_atoms(spark, str(tmp_path)), 1.5, boundaries)
     assert [tuple(r) for r in checked.select("id", "receptor", "d_nterm_tmd", "d_cterm_deep").collect()] == [("p", "CTR", 3.0, 999.0)]
     assert "Scan text" not in checked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cache_of_alignments_is_a_few_files(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    assert alignments.read_cached(spark, cache).isEmpty()
+    texts = spark.range(1, 500).select(F.concat(F.lit("n"), "id").alias("id"), F.lit(A3M).alias("msa"))
+    odd = spark.createDataFrame([("q1", "\n>query\r\nAC\r\n>>odd\r\nA-\r\n"), ("q2", ""), ("a/b", ">q\nAC")], "id string, msa string")
+    writers.write_alignments(texts.unionByName(odd), cache)
+    assert len(list((tmp_path / "cache").rglob("*.parquet"))) < 20
+
+    def cached(i):
+        got = alignments.read_cached(spark, cache).where(F.col("id") == i).orderBy("at")
+        return [tuple(r) for r in got.select("is_query", "header", "row").collect()]
+
+    assert cached("n7") == [(True, "query", "KCNT"), (False, "hit one > with mark", "K-NTa"), (False, "hit two", "--NT")]
+    assert cached("q1") == [(True, "query", "AC"), (False, ">odd", "A-")]
+    assert cached("q2") == [] and cached("a/b") == [(True, "q", "AC")]
+    results = spark.createDataFrame([(i, json.dumps({"sequences": [{"protein": {"unpairedMsa": ">new\nGG\n"}}]})) for i in ("n7", "q2", "z")],
+                                    "id string, document string")
+    runs.fill_cache(spark, results, cache)                  # what has an alignment is left as it is
+    assert [cached(i)[0][1] for i in ("n7", "q2", "z")] == ["query", "new", "new"]
+    writers.write_alignments(texts.limit(1).withColumn("msa", F.lit(">again\nA\n")), cache)
+    assert cached("n1") == [(True, "again", "A")]           # replaced
