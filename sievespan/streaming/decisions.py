@@ -1,8 +1,10 @@
 """Decisions that follow the evidence: only ids with a changed verdict are decided anew.
 
-The state holds a row per id: whether it is in the roster, and the verdict of each
-stage with the number of the intake batch that brought it. A batch of verdicts
-touches the ids that it names and no others. What changes goes to a log, with the
+The state holds for each id whether it is in the roster, and the verdict of each
+stage with the number of the intake batch that brought it. Ids lie in ``BUCKETS``
+rows of the state by hash, as a call of Python for each id costs far more than its
+decision. A batch of verdicts decides the ids that it names and no others, and
+reads and writes the buckets that they lie in. What changes goes to a log, with the
 decision before, so counts are kept by adding differences, and neither the roster
 nor the evidence is read again. The result is that of ``plans.funnel`` on the
 whole tables.
@@ -19,7 +21,9 @@ from .intake import STORE, has_batches
 
 ROSTER = -1      # stands for the stage in rows that say that an id is in the roster
 MISSING = -1
-STATE = "known boolean, verdicts array<int>, batches array<long>"
+BUCKETS = 1024
+STATE = "known array<boolean>, verdicts array<array<int>>, batches array<array<long>>"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 DECISION = "was_outcome string, was_stage string, outcome string, at_stage string"
 
 
@@ -50,6 +54,10 @@ def follow(changes: DataFrame, order: list[str], on_missing: dict[str, str], log
     names, missing, roster, waiting = list(order), MISSING, ROSTER, not replay
     retained, eliminated, pending = funnel.RETAINED, funnel.ELIMINATED, funnel.PENDING
     columns = [key, *[c.split()[0] for c in DECISION.split(", ")]]
+    kind = changes.schema[key].dataType.simpleString()
+    whole = kind in WHOLE
+    if not whole and kind != "string":
+        raise ValueError(f"ids are whole numbers or text, not {kind}")
 
     def decided(found):
         for stage, verdict, on in zip(names, found, rule):
@@ -58,22 +66,28 @@ def follow(changes: DataFrame, order: list[str], on_missing: dict[str, str], log
             return (pending if waiting and verdict == missing and on == "pending" else eliminated), stage
         return retained, None
 
-    def update(own, batches: Iterator, state):
+    def update(bucket, batches: Iterator, state):
         import pandas as pd
 
-        known, held, seen = state.get if state.exists else (False, [missing] * n, [-1] * n)
-        held, seen = list(held), list(seen)
-        before = decided(held) if known else (None, None)
+        ids, known, held, seen = map(list, state.get) if state.exists else ([], [], [], [])
+        place, before = {i: at for at, i in enumerate(ids)}, {}
         for rows in batches:
-            for stage, batch, passed in zip(rows["stage"].tolist(), rows["batch"].tolist(), rows["passed"].tolist()):
+            for i, stage, batch, passed in zip(rows["_key"].tolist(), rows["stage"].tolist(), rows["batch"].tolist(), rows["passed"].tolist()):
+                i = int(i) if whole and i is not None else i
+                at = place.setdefault(i, len(ids))
+                if at == len(ids):
+                    ids.append(i), known.append(False), held.append([missing] * n), seen.append([-1] * n)
+                if at not in before:
+                    before[at] = decided(held[at]) if known[at] else (None, None)
+                    held[at], seen[at] = list(held[at]), list(seen[at])
                 if stage == roster:
-                    known = True
-                elif batch >= seen[stage]:
-                    held[stage], seen[stage] = passed, batch
-        state.update((known, held, seen))
-        now = decided(held)
-        if known and now != before:
-            yield pd.DataFrame([(*own, *before, *now)], columns=columns, dtype=object)
+                    known[at] = True
+                elif batch >= seen[at][stage]:
+                    held[at][stage], seen[at][stage] = passed, batch
+        state.update((ids, known, held, seen))
+        changed = [(ids[at], *was, *decided(held[at])) for at, was in before.items() if known[at] and decided(held[at]) != was]
+        if changed:
+            yield pd.DataFrame(changed, columns=columns, dtype=object)
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
@@ -89,8 +103,10 @@ def follow(changes: DataFrame, order: list[str], on_missing: dict[str, str], log
         (total.groupBy("outcome", "at_stage").agg(F.sum("n").alias("n")).where("n <> 0").coalesce(1)
          .write.mode("overwrite").parquet(f"{counts}/batch={number}"))
 
-    kind = changes.schema[key].dataType.simpleString()
-    decisions = changes.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, {DECISION}", STATE, "update", "NoTimeout")
+    # as text, since whole numbers with a null among them would reach Python as doubles
+    decisions = (changes.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket"), F.col(key).cast("string").alias("_key"),
+                                "stage", "batch", "passed").groupBy("_bucket")
+                 .applyInPandasWithState(update, f"`{key}` {kind}, {DECISION}", f"`{key}` array<{kind}>, {STATE}", "update", "NoTimeout"))
     with settings(spark, STORE):
         query = (decisions.writeStream.outputMode("update").trigger(availableNow=True)
                  .option("checkpointLocation", checkpoint).foreachBatch(append).start())
@@ -100,7 +116,8 @@ def follow(changes: DataFrame, order: list[str], on_missing: dict[str, str], log
 def current_decisions(spark: SparkSession, checkpoint: str, order: list[str], on_missing: dict[str, str],
                       replay: bool = False) -> DataFrame:
     """The key, a flag and a pending flag per stage, ``outcome`` and ``at_stage`` of every id of the roster, from the state."""
-    held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*").where("known")
+    buckets = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+    held = buckets.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in buckets.columns]))).where("known")
     flags = held
     for i, stage in enumerate(order):
         verdict, on = F.get("verdicts", F.lit(i)), on_missing.get(stage, "fail")

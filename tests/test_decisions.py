@@ -85,3 +85,27 @@ def test_decisions_equal_those_of_a_full_run(spark, tmp_path):
             sorted(funnel.funnel_counts(want, ORDER).collect())
         logged = {r.id for r in spark.read.parquet(f"{out}/batch={number}").collect()}
         assert logged <= touched | new      # others are not looked at
+
+
+def test_state_rows_are_buckets_of_ids(spark, tmp_path, monkeypatch):
+    """A call of Python per bucket, not per id; whole numbers keep their digits beside a null."""
+    monkeypatch.setattr(decisions, "BUCKETS", 16)
+    log, out, counts, checkpoint = (str(tmp_path / n) for n in ("log", "out", "counts", "check"))
+    big = 2 ** 60 + 1
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "size", "batch")])
+
+    def arrive(number, ids):
+        ids.write.parquet(f"{log}/batch={number}")
+        rows_of = intake.evidence_stream(spark, log, schema, "parquet")
+        decisions.follow(decisions.verdicts(rows_of, [Gate("a", F.col("size") < 10)], ["a"], roster=True), ["a"], {}, out, counts, checkpoint)
+        return decisions.current_decisions(spark, checkpoint, ["a"], {})
+
+    first = spark.range(500).select("id", F.col("id").alias("size")).unionByName(spark.createDataFrame([(big, 1), (None, 1)], "id long, size long"))
+    got = arrive(0, first)
+    assert got.schema["id"].dataType == T.LongType()
+    assert spark.read.format("statestore").load(checkpoint).count() == 16
+    want = {(i, i < 10) for i in range(500)} | {(big, True), (None, True)}
+    assert rows(got.select("id", "a_pass")) == want
+    got = arrive(1, spark.createDataFrame([(7, 99), (big, 99), (499, 500)], "id long, size long"))
+    assert rows(got.select("id", "a_pass")) == want - {(7, True), (big, True)} | {(7, False), (big, False)}
+    assert {r.id for r in spark.read.parquet(f"{out}/batch=1").collect()} == {7, big}    # 499 is decided as before
