@@ -251,8 +251,9 @@ def _rows(docs: DataFrame, doc_id: str, text: str, k: int, window: int) -> DataF
 
 def _matches(rows: DataFrame) -> DataFrame:
     """row, other and m: the places of both that share a seed."""
+    # dealt out by seed once: the anchors and their join with the entries read the same exchange
     entries = rows.select("row", F.explode(F.arrays_zip(
-        F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))).alias("e")).select("row", "e.*")
+        F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))).alias("e")).select("row", "e.*").repartition("seed")
     anchors = (entries.groupBy("seed").agg(
         F.min("row").alias("first"), F.min_by("pos", "row").alias("first_pos"),
         F.max("row").alias("last"), F.max_by("pos", "row").alias("last_pos")).where("first < last"))

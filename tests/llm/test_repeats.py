@@ -172,3 +172,11 @@ def test_short_phrases_of_several_documents_are_no_passage(spark):
     mixed = [w for p in phrases for w in [word() for _ in range(15)] + p]
     rows.append((9, " ".join([word() for _ in range(70)] + mixed + [word() for _ in range(70)])))
     assert repeats.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+
+
+def test_seeds_are_dealt_out_once(spark):
+    same = prose(1, 80)
+    rows = repeats._rows(spark.createDataFrame([(1, text(same)), (2, text(prose(2, 9), same))], DOCS), "doc_id", "text", repeats.K, repeats.WINDOW)
+    matches = repeats._matches(rows)
+    dealt = [l for l in matches._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(seed" in l]
+    assert dealt and all("REPARTITION_BY_COL" in l for l in dealt)
