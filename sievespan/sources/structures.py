@@ -59,10 +59,14 @@ def read_keyed_ca_atoms(spark: SparkSession, path, alive: DataFrame | None = Non
                                F.posexplode(F.split("value", "\n")).alias("_line", "value")))
 
 
-def pack_models(models: DataFrame, table: str) -> None:
+def pack_models(models: DataFrame, table: str, dealt: bool = False) -> None:
     """Add (id, receptor, path, value), the texts of model files, to a packed table. Of two texts of
-    a structure the one with the later ``path`` counts where they have the same residue."""
-    (models.select("id", "receptor", "path", "value", _bucket("id").alias("bucket")).repartition("bucket")
+    a structure the one with the later ``path`` counts where they have the same residue.
+
+    With ``dealt`` the rows have their ``bucket`` and lie in ranges of it, so the texts aren't moved once more.
+    """
+    texts = models if dealt else models.withColumn("bucket", bucket_of("id")).repartition("bucket")
+    (texts.select("id", "receptor", "path", "value", "bucket")
      .write.mode("append").partitionBy("bucket").parquet(table))
 
 
@@ -77,12 +81,12 @@ def read_packed_ca_atoms(spark: SparkSession, table: str, alive: DataFrame | Non
     """The same from a packed table."""
     models = spark.read.schema(PACKED).parquet(table)
     if alive is not None:
-        models = models.join(_wanted(alive).withColumn("bucket", _bucket("id")), [*_keys(alive), "bucket"], "left_semi")
+        models = models.join(_wanted(alive).withColumn("bucket", bucket_of("id")), [*_keys(alive), "bucket"], "left_semi")
     lines = F.posexplode(F.split("value", "\n")).alias("_line", "value")
     return _atoms(models.select("id", "receptor", F.col("path").alias("_path"), F.lit(0).cast("long").alias("_block"), lines))
 
 
-def _bucket(key: str) -> Column:
+def bucket_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 

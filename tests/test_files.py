@@ -8,7 +8,7 @@ from conftest import rows
 from sievespan import constants as C
 from sievespan.operators import jobs, subsets
 from sievespan.operators.gates import Gate
-from sievespan.plans import funnel, pose, runs
+from sievespan.plans import funnel, pose, runs, table_queries
 from sievespan.sinks import writers
 from sievespan.sources import alignments, documents, evidence, structures, tracks
 
@@ -380,6 +380,25 @@ def test_packed_structures_are_noted_as_they_come(spark, tmp_path):
     assert not (tmp_path / "noted" / "batch=2").exists()
 
 
+def test_order_lines_are_dealt_out_once_for_their_files(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(o, o % 9, o % 4, 1 + o % 7, 1.0, 0.02, 0.03, "ARN"[o % 3]) for o in range(300)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, "
+                          "l_discount double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    taken = []
+
+    def pack(models, table, **how):
+        taken.append(models._jdf.queryExecution().executedPlan().toString())
+        structures.pack_models(models, table, **how)
+
+    monkeypatch.setattr(table_queries, "pack_models", pack)
+    path = table_queries._structure_files(spark, str(tmp_path))
+    assert taken[0].count("Exchange rangepartitioning") == 1 and taken[0].count("Exchange") == 1
+    texts = spark.read.parquet(path).collect()
+    assert {(r.id, r.receptor): r.value.count("HETATM") for r in texts} == {(str(i), f): 25 for i in range(4) for f in "ARN"}
+    assert {r.bucket for r in texts} == {r[0] for r in spark.createDataFrame([(str(i),) for i in range(4)], "id string").select(
+        structures.bucket_of("id")).collect()}
+
+
 def test_the_pose_check_parses_each_structure_once(spark, tmp_path):
     put(tmp_path / "p" / "CTR" / "p_CTR_model.cif", "\n".join([atom("L", 1, 1.0), *[atom("A", n, n) for n in range(1, 9)]]))
     boundaries = spark.createDataFrame([(8, 3, 4, 2, 7)], "chain_length long, ecd_end int, tm1_start int, deep_start int, tmd_end int")
