@@ -23,6 +23,10 @@ that another document has exactly is found, whatever its seeds were matched with
 Stretches are grouped by pair of documents, and a document's passages are reduced to one
 per start before they are shuffled, so a document that anchors a third of all others is no large group.
 
+Seeds, and then pairs of documents, go through the exchange in ``PARTS``, one part written before the next
+begins, and what an exchange left on disk is dropped with it; so the disk holds the words, the
+matches and the exchanges of one part.
+
 Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z
 in lower case. Null and empty texts have no passages. Repeats within one
 document don't count. Repeated rows are documents of their own, so they repeat
@@ -31,12 +35,13 @@ each other. Rows without an id are compared as well; their passages carry null.
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import written
+from ..session import settings, written
 from .words import hashes, word_list
 
 K = 5               # words of a seed
@@ -54,6 +59,9 @@ SKIP = 4            # words changed in a row, at an end
 _STEPS = sorted(((i, j) for i in range(SKIP + 1) for j in range(SKIP + 1) if i + j), key=lambda s: (max(s), s[0] != s[1], s))
 SEEDED = "struct<words: binary, pos: array<int>, seed: array<long>>"
 FLAGS = 1 << 20     # of hashes of windows, so that most windows that equal none move nowhere
+PARTS = 2           # of seeds, and of pairs of documents, that go through the exchange one after another
+# what an exchange leaves on disk goes when its query has ended, not when the driver's memory is next cleared
+DROPPED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,11 +257,12 @@ def _rows(docs: DataFrame, doc_id: str, text: str, k: int, window: int) -> DataF
                                seeded(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("s")), "seeded")
 
 
-def _matches(rows: DataFrame) -> DataFrame:
-    """row, other and m: the places of both that share a seed."""
+def _matches(rows: DataFrame, part: int | None = None) -> DataFrame:
+    """row, other and m: the places of both that share a seed, one of all or of a part of the seeds."""
+    mine = F.lit(True) if part is None else F.pmod("seed", F.lit(PARTS)) == part
     # dealt out by seed once: the anchors and their join with the entries read the same exchange
     entries = rows.select("row", F.explode(F.arrays_zip(
-        F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))).alias("e")).select("row", "e.*").repartition("seed")
+        F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))).alias("e")).select("row", "e.*").where(mine).repartition("seed")
     anchors = (entries.groupBy("seed").agg(
         F.min("row").alias("first"), F.min_by("pos", "row").alias("first_pos"),
         F.max("row").alias("last"), F.max_by("pos", "row").alias("last_pos")).where("first < last"))
@@ -264,6 +273,11 @@ def _matches(rows: DataFrame) -> DataFrame:
             .groupBy("row", "other").agg(F.array_sort(F.collect_list(F.struct("pos", "other_pos"))).alias("m")))
 
 
+def _written_matches(rows: DataFrame) -> DataFrame:
+    """The same of all seeds, a row for each part that has some; every seed is in one part."""
+    return reduce(DataFrame.unionByName, [written(_matches(rows, part), "matches") for part in range(PARTS)])
+
+
 def _stretches(rows: DataFrame, matches: DataFrame, k: int, least: int, stretch: int, identity: float) -> DataFrame:
     own = rows.select("row", "doc_id", F.col("s.words").alias("words"))
     anchor = rows.select(F.col("row").alias("other"), F.col("doc_id").alias("other_id"), F.col("s.words").alias("other_words"))
@@ -276,18 +290,26 @@ def _stretches(rows: DataFrame, matches: DataFrame, k: int, least: int, stretch:
                 np.frombuffer(p, "<u2"), np.frombuffer(q, "<u2"), x.tolist(), y.tolist(), k, 1, stretch, identity)]
                 for p, q, x, y in zip(a, b, xs, ys)], dtype=object)
 
-    return (matches.where(F.size("m") >= least).join(own, "row").join(anchor, "other")
-            .select("row", "doc_id", "other", "other_id",
-                    F.explode(aligned("words", "other_words", F.col("m.pos"), F.col("m.other_pos"))).alias("a"))
-            .select("row", "doc_id", "other", "other_id", "a.*"))
+    def part(n):
+        # by row once, for the places of a pair and for its words
+        pairs = (matches.where(F.pmod(F.xxhash64("other"), F.lit(PARTS)) == n).repartition("row")
+                 .groupBy("row", "other").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+                 .where(F.size("m") >= least))
+        return (pairs.join(own, "row").join(anchor, "other")
+                .select("row", "doc_id", "other", "other_id",
+                        F.explode(aligned("words", "other_words", F.col("m.pos"), F.col("m.other_pos"))).alias("a"))
+                .select("row", "doc_id", "other", "other_id", "a.*"))
+
+    return reduce(DataFrame.unionByName, [written(part(n), "stretches") for n in range(PARTS)])
 
 
 def stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW,
               least: int = LEAST_SEEDS, stretch: int = STRETCH, identity: float = IDENTITY) -> DataFrame:
     """Aligned parts of chains: row, doc_id, start and end (in words, from 0, end exclusive)
     and the same of the anchor document (other_*), with the share of equal words."""
-    rows = _rows(docs, doc_id, text, k, window)
-    return _stretches(rows, written(_matches(rows), "matches"), k, least, stretch, identity)
+    with settings(docs.sparkSession, DROPPED):
+        rows = _rows(docs, doc_id, text, k, window)
+        return _stretches(rows, _written_matches(rows), k, least, stretch, identity)
 
 
 def windows_of(words: np.ndarray, pos: list[int], repeated: list[int], found: list[tuple[int, int]], k: int = K,
@@ -384,14 +406,15 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     """doc_id, start and end (in words, from 0, end exclusive) of each passage of at
     least ``length`` words that other documents have, and the smallest id of these
     that a stretch of it was aligned with, or that was compared with a window of it."""
-    rows = _rows(docs, doc_id, text, k, window)
-    matches = written(_matches(rows), "matches")
-    found = written(_stretches(rows, matches, k, least, stretch, identity), "stretches")
-    sides = F.array(F.struct("row", "doc_id", "start", "end", "other", F.col("other_id").alias("other_id")),
-                    F.struct(F.col("other").alias("row"), F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"),
-                             F.col("other_end").alias("end"), F.col("row").alias("other"), F.col("doc_id").alias("other_id")))
-    parts = found.select(F.explode(sides).alias("s")).select("s.*")
-    first = written(_islands(parts, length, bridge), "passages")
-    rest = _left_out(rows, matches, first, k, length, window)
+    with settings(docs.sparkSession, DROPPED):
+        rows = _rows(docs, doc_id, text, k, window)
+        matches = _written_matches(rows)
+        found = _stretches(rows, matches, k, least, stretch, identity)
+        sides = F.array(F.struct("row", "doc_id", "start", "end", "other", F.col("other_id").alias("other_id")),
+                        F.struct(F.col("other").alias("row"), F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"),
+                                 F.col("other_end").alias("end"), F.col("row").alias("other"), F.col("doc_id").alias("other_id")))
+        parts = found.select(F.explode(sides).alias("s")).select("s.*")
+        first = written(_islands(parts, length, bridge), "passages")
+        rest = _left_out(rows, matches, first, k, length, window)
     whole = first if rest is None else _islands(parts.unionByName(rest), length, bridge)
     return whole.select("doc_id", "start", "end", "other_id")

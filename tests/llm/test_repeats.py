@@ -180,3 +180,34 @@ def test_seeds_are_dealt_out_once(spark):
     matches = repeats._matches(rows)
     dealt = [l for l in matches._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(seed" in l]
     assert dealt and all("REPARTITION_BY_COL" in l for l in dealt)
+
+
+def test_parts_of_the_seeds_make_all_matches(spark):
+    shared = [prose(i, 70) for i in range(6)]
+    docs = spark.createDataFrame([(i, text(prose(50 + i, 30), shared[i % 6], prose(80 + i, 9), shared[i % 5])) for i in range(24)], DOCS)
+    rows = repeats._rows(docs, "doc_id", "text", repeats.K, repeats.WINDOW)
+
+    def places(matches):
+        return sorted((r.row, r.other, m.pos, m.other_pos) for r in matches.collect() for m in r.m)
+
+    parts = [places(repeats._matches(rows, n)) for n in range(repeats.PARTS)]
+    assert all(parts) and len(parts) > 1
+    assert places(repeats._written_matches(rows)) == sorted(p for part in parts for p in part) == places(repeats._matches(rows))
+
+
+def test_exchanges_are_off_the_disk_when_their_table_is_written(spark, monkeypatch):
+    """Spark drops them, as long as the setting holds; it is as before in the end."""
+    name, = repeats.DROPPED
+    before, seen = spark.conf.get(name), []
+    write = repeats.written
+
+    def watched(df, label):
+        seen.append((label, spark.conf.get(name)))
+        return write(df, label)
+
+    monkeypatch.setattr(repeats, "written", watched)
+    same = prose(1, 80)
+    got = repeats.passages(spark.createDataFrame([(1, text(same)), (2, text(prose(2, 9), same))], DOCS))
+    assert {(r.doc_id, r.start, r.end) for r in got.collect()} == {(1, 0, 80), (2, 9, 89)}
+    assert [label for label, _ in seen].count("matches") == [label for label, _ in seen].count("stretches") == repeats.PARTS
+    assert {on for _, on in seen} == {"true"} and spark.conf.get(name) == before
