@@ -58,7 +58,8 @@ DROP = 20           # an end is followed until it lies so far below the best
 SKIP = 4            # words changed in a row, at an end
 _STEPS = sorted(((i, j) for i in range(SKIP + 1) for j in range(SKIP + 1) if i + j), key=lambda s: (max(s), s[0] != s[1], s))
 SEEDED = "struct<words: binary, pos: array<int>, seed: array<long>>"
-FLAGS = 1 << 20     # of hashes of windows, so that most windows that equal none move nowhere
+FLAGS = 20, 28, 5   # bits of a hash that flag a window, so that most windows that equal none move nowhere: least, most
+                    # (32 MB, and what passes is compared in any case), and log2 of the flags for each that is set
 PARTS = 2           # of seeds, and of pairs of documents, that go through the exchange one after another
 # what an exchange leaves on disk goes when its query has ended, not when the driver's memory is next cleared
 DROPPED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
@@ -341,6 +342,28 @@ def windows_of(words: np.ndarray, pos: list[int], repeated: list[int], found: li
     return start, key.view(np.int64), new
 
 
+def flag_bits(n: int) -> int:
+    """Bits of a table of flags for ``n`` hashes."""
+    least, most, spare = FLAGS
+    return min(max(least, n.bit_length() + spare), most)
+
+
+def flags_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """Flags of the column ``key``, eight in a byte."""
+    cell = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    # pieces of 2^15 flags, from 1
+    pieces = keys.groupBy(F.bitmap_bucket_number(cell).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("b"))
+    flags = np.zeros((1 << bits) // 8, np.uint8)
+    for r in pieces.toLocalIterator():
+        flags[(r.n - 1) << 12:r.n << 12] = np.frombuffer(r.b, np.uint8)
+    return flags
+
+
+def flagged(flags: np.ndarray, key: np.ndarray) -> np.ndarray:
+    cell = key & (8 * len(flags) - 1)
+    return (flags[cell >> 3] >> (cell & 7) & 1).astype(bool)
+
+
 def _left_out(rows: DataFrame, matches: DataFrame, found: DataFrame, k: int, length: int, window: int) -> DataFrame | None:
     """Windows of ``length`` words that other documents have and no passage of ``found`` holds, as row,
     doc_id, start, end and other_id. Each is compared with the first and last row that have it."""
@@ -359,18 +382,17 @@ def _left_out(rows: DataFrame, matches: DataFrame, found: DataFrame, k: int, len
                 out = []
                 for words, pos, again, starts, ends in zip(*batch):
                     start, key, new = windows_of(np.frombuffer(words, "<u2"), pos, again, list(zip(starts, ends)), k, length, window)
-                    take = new if flags is None else ~new & flags.value[key & (FLAGS - 1)]
+                    take = new if flags is None else ~new & flagged(flags.value, key)
                     out.append([{"start": s, "key": h} for s, h in zip(start[take].tolist(), key[take].tolist())])
                 yield pd.Series(out, dtype=object)
 
         return open_rows.select("row", "doc_id", F.explode(made(*columns)).alias("w")).select("row", "doc_id", "w.*")
 
     wanted = written(windows(None), "windows")
-    marks = wanted.select(F.col("key").bitwiseAND(F.lit(FLAGS - 1)).alias("f")).distinct().toPandas()["f"].to_numpy()
-    if not len(marks):
+    n = wanted.count()
+    if not n:
         return None
-    flags = np.zeros(FLAGS, bool)
-    flags[marks] = True
+    flags = flags_of(wanted, flag_bits(n))
     others = windows(rows.sparkSession.sparkContext.broadcast(flags))
     holders = (wanted.unionByName(others).groupBy("key").agg(
         F.min("row").alias("first"), F.min_by("doc_id", "row").alias("first_id"),

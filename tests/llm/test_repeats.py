@@ -211,3 +211,14 @@ def test_exchanges_are_off_the_disk_when_their_table_is_written(spark, monkeypat
     assert {(r.doc_id, r.start, r.end) for r in got.collect()} == {(1, 0, 80), (2, 9, 89)}
     assert [label for label, _ in seen].count("matches") == [label for label, _ in seen].count("stretches") == repeats.PARTS
     assert {on for _, on in seen} == {"true"} and spark.conf.get(name) == before
+
+
+def test_flags_grow_with_the_windows(spark):
+    """Few hashes that aren't there are flagged, however many are, and all that are there."""
+    key = np.random.default_rng(7).integers(-2**63, 2**63, 600_000)
+    bits = repeats.flag_bits(len(key) // 2)
+    flags = repeats.flags_of(spark.createDataFrame([(int(k),) for k in key[:3000]] + [(0,), (-1,)], "key long"), bits)
+    assert repeats.flagged(flags, np.append(key[:3000], [0, -1])).all()
+    assert repeats.flagged(flags, key[3000:]).mean() < 0.001
+    assert len(np.unique(key[:300_000] & ((1 << bits) - 1))) / (1 << bits) < 1 / 20
+    assert repeats.flag_bits(1) == 20 and repeats.flag_bits(1 << 40) == 28
