@@ -34,12 +34,13 @@ each other. Rows without an id are compared as well; their passages carry null.
 """
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import lt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settings, written
 from .words import hashes, word_list
@@ -66,6 +67,18 @@ DROPPED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _least(values: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least of each ``w`` values in a row, the leftmost of equal ones."""
+    n = len(values) - w + 1
+    every = np.arange(n)
+    least, place = values[:n], every
+    for i in range(1, w):
+        other = values[i:i + n]
+        place = np.where(other < least, every + i, place)
+        least = np.minimum(least, other)
+    return place
+
+
 def seeds(text: bytes, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """16-bit hashes of all words, and places and hashes of the kept k-mers."""
     words = word_list(text)
@@ -78,7 +91,7 @@ def seeds(text: bytes, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np
         kmer = (kmer ^ h[i:i + n]) * _MIX
         kmer ^= kmer >> np.uint64(29)
     w = min(window, n)
-    place = np.lib.stride_tricks.sliding_window_view(kmer, w).argmin(1) + np.arange(n - w + 1)
+    place = _least(kmer, w)
     place = place[np.append(True, place[1:] != place[:-1])]
     # of equal k-mers side by side, as in a repeated word, one in RUN is enough
     run = np.append(True, (np.diff(place) > 1) | (kmer[place[1:]] != kmer[place[:-1]]))
@@ -118,10 +131,18 @@ def chains(x: list[int], y: list[int], k: int = K, gap: float = GAP, least: int
 
     A chain rises in both and has at least ``least`` matches.
     """
-    levels = sorted(set(y))
-    tree = Best(len(levels))
     score, previous = [0.0] * len(x), [-1] * len(x)
     i = 0
+    if all(map(lt, x, x[1:])) and all(map(lt, y, y[1:])):
+        # all rise, as in most copies: score + gap * (x + y) rises as well, so the match just before is the best before
+        best = float("-inf")
+        for i, far in enumerate(gap * (p + q) for p, q in zip(x, y)):
+            gain = best - far
+            score[i], previous[i] = (k + gain, i - 1) if gain > 0 else (float(k), -1)
+            best = score[i] + far
+        i = len(x)
+    levels = sorted(set(y)) if i < len(x) else []
+    tree = Best(len(levels))
     while i < len(x):
         same = i
         while same < len(x) and x[same] == x[i]:    # matches of one place don't follow each other
@@ -194,6 +215,21 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _equal_gaps(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether both have the same words from one match of a chain to the next."""
+    straight = np.diff(x) == np.diff(y)
+    out = straight.copy()
+    # matches at one distance are compared in one go
+    ends = [-1, *np.nonzero(~straight)[0].tolist(), len(x) - 1]
+    for first, last in zip(ends, ends[1:]):
+        at = x[first + 1:last + 1]
+        if len(at) > 1:
+            other = int(y[first + 1])
+            differ = a[at[0]:at[-1]] != b[other:other + at[-1] - at[0]]
+            out[first + 1:last] = ~np.logical_or.reduceat(differ, at[:-1] - at[0])
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K,
           identity: float = IDENTITY) -> list[tuple[int, int, int, int, float]]:
     """Start and end in both documents of the parts of a chain, after alignment, and the share of words that agree.
@@ -201,18 +237,13 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
     A chain is cut at gaps of over ``LENGTH`` words of which less than half agree. A part that
     agrees too little is cut at the gap that loses most words, until all parts agree or have no gap.
     """
-    x, y = np.asarray(x), np.asarray(y)
-    kept, lost, cut = [], [], []    # by gap: equal words from one seed to the next, words that differ, whether it is no part
-    for i, j, to_x, to_y in zip(x[:-1].tolist(), y[:-1].tolist(), x[1:].tolist(), y[1:].tolist()):
-        if to_x - i == to_y - j and (a[i:to_x] == b[j:to_y]).all():
-            same, n = to_x - i, to_x - i
-        else:
-            n = max(to_x - i, to_y - j)
-            same = _common(a[i:to_x], b[j:to_y])
-        kept.append(same)
-        lost.append(n - same)
-        cut.append(n - k > LENGTH and 2 * (same - k) < n - k)
-    ends = [-1, *(g for g, c in enumerate(cut) if c), len(x) - 1]
+    x, y = np.asarray(x, int), np.asarray(y, int)
+    # by gap: equal words from one seed to the next, words that differ, whether it is no part
+    kept, n = np.diff(x), np.maximum(np.diff(x), np.diff(y))
+    for g in np.nonzero(~_equal_gaps(a, b, x, y))[0].tolist():
+        kept[g] = _common(a[x[g]:x[g + 1]], b[y[g]:y[g + 1]])
+    lost = n - kept
+    ends = [-1, *np.nonzero((n - k > LENGTH) & (2 * (kept - k) < n - k))[0].tolist(), len(x) - 1]
     todo, out = [(p + 1, q) for p, q in zip(ends[-2::-1], ends[:0:-1])], []
     while todo:
         first, last = todo.pop()
@@ -220,11 +251,11 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
         right, other_right, same_right = _extend(a[x[last] + k:], b[y[last] + k:])
         begin, end = int(x[first]) - left, int(x[last]) + k + right
         other, other_end = int(y[first]) - other_left, int(y[last]) + k + other_right
-        share = (same_left + sum(kept[first:last]) + k + same_right) / max(end - begin, other_end - other)
-        if share >= identity or first == last or not any(lost[first:last]):
+        share = (same_left + int(kept[first:last].sum()) + k + same_right) / max(end - begin, other_end - other)
+        if share >= identity or first == last or not lost[first:last].any():
             out.append((begin, end, other, other_end, share))
         else:
-            worst = max(range(first, last), key=lambda g: lost[g])
+            worst = first + int(lost[first:last].argmax())
             todo += [(worst + 1, last), (first, worst)]
     return out
 
@@ -279,18 +310,28 @@ def _written_matches(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [written(_matches(rows, part), "matches") for part in range(PARTS)])
 
 
-def _stretches(rows: DataFrame, matches: DataFrame, k: int, least: int, stretch: int, identity: float) -> DataFrame:
+def sides_of(parts: list[tuple[int, int, int, int, float]], bridge: int) -> list[tuple[bool, int, int]]:
+    """What the parts of two documents cover in the first and in the other, joined over gaps of ``bridge`` words:
+    a row of one word or a phrase said over and over has a part for each of its seeds."""
+    out = []
+    for own, at in ((True, 0), (False, 2)):
+        spans = sorted((p[at], p[at + 1]) for p in parts)
+        begin, end = spans[0] if spans else (0, 0)
+        for start, stop in spans[1:]:
+            if start > end + bridge:
+                out.append((own, begin, end))
+                begin, end = start, stop
+            end = max(end, stop)
+        if spans:
+            out.append((own, begin, end))
+    return out
+
+
+def _compared(rows: DataFrame, matches: DataFrame, least: int, compare: Callable[..., Column]) -> DataFrame:
+    """row, doc_id, other, other_id and what ``compare`` makes of the words and matches of each pair of documents."""
     own = rows.select("row", "doc_id", F.col("s.words").alias("words"))
     anchor = rows.select(F.col("row").alias("other"), F.col("doc_id").alias("other_id"), F.col("s.words").alias("other_words"))
 
-    @F.pandas_udf("array<struct<start: int, end: int, other_start: int, other_end: int, identity: double>>")
-    def aligned(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        names = ("start", "end", "other_start", "other_end", "identity")
-        for a, b, xs, ys in batches:
-            yield pd.Series([[dict(zip(names, part)) for part in stretches_of(
-                np.frombuffer(p, "<u2"), np.frombuffer(q, "<u2"), x.tolist(), y.tolist(), k, 1, stretch, identity)]
-                for p, q, x, y in zip(a, b, xs, ys)], dtype=object)
-
     def part(n):
         # by row once, for the places of a pair and for its words
         pairs = (matches.where(F.pmod(F.xxhash64("other"), F.lit(PARTS)) == n).repartition("row")
@@ -298,12 +339,42 @@ def _stretches(rows: DataFrame, matches: DataFrame, k: int, least: int, stretch:
                  .where(F.size("m") >= least))
         return (pairs.join(own, "row").join(anchor, "other")
                 .select("row", "doc_id", "other", "other_id",
-                        F.explode(aligned("words", "other_words", F.col("m.pos"), F.col("m.other_pos"))).alias("a"))
+                        F.explode(compare("words", "other_words", F.col("m.pos"), F.col("m.other_pos"))).alias("a"))
                 .select("row", "doc_id", "other", "other_id", "a.*"))
 
     return reduce(DataFrame.unionByName, [written(part(n), "stretches") for n in range(PARTS)])
 
 
+def _comparison(fields: str, parts_of: Callable[..., list[tuple]]) -> Callable[..., Column]:
+    """``parts_of`` as a function of Spark on words and places of both, a list of ``fields`` for each pair."""
+    names = [f.split(":")[0].strip() for f in fields.split(",")]
+
+    @F.pandas_udf(f"array<struct<{fields}>>")
+    def compare(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for a, b, xs, ys in batches:
+            yield pd.Series([[dict(zip(names, part)) for part in parts_of(
+                np.frombuffer(p, "<u2"), np.frombuffer(q, "<u2"), x.tolist(), y.tolist())]
+                for p, q, x, y in zip(a, b, xs, ys)], dtype=object)
+
+    return compare
+
+
+def _stretches(rows: DataFrame, matches: DataFrame, k: int, least: int, stretch: int, identity: float) -> DataFrame:
+    return _compared(rows, matches, least, _comparison(
+        "start: int, end: int, other_start: int, other_end: int, identity: double",
+        lambda *pair: stretches_of(*pair, k, 1, stretch, identity)))
+
+
+def _sides(rows: DataFrame, matches: DataFrame, k: int, least: int, stretch: int, identity: float, bridge: int) -> DataFrame:
+    """row, doc_id, start, end, other and other_id: what stretches cover in either document, joined by pair of documents."""
+    found = _compared(rows, matches, least, _comparison(
+        "own: boolean, start: int, end: int",
+        lambda *pair: sides_of(stretches_of(*pair, k, 1, stretch, identity), bridge)))
+    here = lambda own, other: F.when(F.col("own"), F.col(own)).otherwise(F.col(other))
+    return found.select(here("row", "other").alias("row"), here("doc_id", "other_id").alias("doc_id"), "start", "end",
+                        here("other", "row").alias("other"), here("other_id", "doc_id").alias("other_id"))
+
+
 def stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW,
               least: int = LEAST_SEEDS, stretch: int = STRETCH, identity: float = IDENTITY) -> DataFrame:
     """Aligned parts of chains: row, doc_id, start and end (in words, from 0, end exclusive)
@@ -313,29 +384,45 @@ def stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: in
         return _stretches(rows, _written_matches(rows), k, least, stretch, identity)
 
 
+def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each ``length`` words in a row, from those of 1, 2, 4 and so on."""
+    def mixed(h):
+        h = h * _MIX
+        return h ^ h >> np.uint64(29)
+
+    n = len(words) - length + 1
+    part, size = mixed(words.astype(np.uint64) + np.uint64(1)), 1
+    key, done = np.zeros(n, np.uint64), 0
+    while True:
+        if length & size:
+            key = mixed(mixed(key) ^ part[done:done + n])
+            done += size
+        if 2 * size > length:
+            return key
+        part = mixed(mixed(part[:-size]) ^ part[size:])
+        size *= 2
+
+
 def windows_of(words: np.ndarray, pos: list[int], repeated: list[int], found: list[tuple[int, int]], k: int = K,
                length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and hashes of the windows of ``length`` words whose seeds are all repeated, and whether
     no passage of ``found`` holds them. A window that another document has is one of these."""
-    hit = np.isin(pos, repeated)
-    for i in np.nonzero(~hit[1:] & (words[pos[1:]] == words[pos[:-1]]))[0].tolist() if len(pos) else ():
+    pos, again = np.asarray(pos, int), np.zeros(len(words), bool)
+    again[np.asarray(repeated, int)] = True
+    hit, same = again[pos], words[pos]
+    for i in np.nonzero(~hit[1:] & (same[1:] == same[:-1]) & (same[1:] == words[pos[1:] - 1]))[0].tolist():
         # a row of one word may be longer than any other, so its later seeds count like its first
         hit[i + 1] = hit[i] and (words[pos[i]:pos[i + 1] + k] == words[pos[i]]).all()
     # a window that another document has holds no seed that isn't repeated, but for seeds so close
     # to its ends that the k-mers beyond decide whether they are kept
     bad = np.zeros(max(len(words), length) + 1, np.int64)
-    bad[np.asarray(pos, int)[~hit] + 1] = 1
+    bad[pos[~hit] + 1] = 1
     upto, every = np.cumsum(bad), np.arange(max(len(words) - length + 1, 0))
     edge = min(window, length - k + 1) - 1
     start = every[upto[np.maximum(every + length - k + 1 - edge, 0)] <= upto[every + edge]]
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    mixed = (words.astype(np.uint64) + np.uint64(1)) * _MIX
-    mixed ^= mixed >> np.uint64(29)
-    key = np.zeros(len(start), np.uint64)
-    for i in range(length):
-        key = (key ^ mixed[start + i]) * _MIX
-        key ^= key >> np.uint64(29)
+    key = window_hashes(words, length)[start]
     new = np.ones(len(start), bool)
     for begin, end in found:
         new &= (start < begin) | (start + length > end)
@@ -374,27 +461,33 @@ def _left_out(rows: DataFrame, matches: DataFrame, found: DataFrame, k: int, len
     columns = ["words", "pos", "repeated", F.coalesce("starts", F.array().cast("array<int>")),
                F.coalesce("ends", F.array().cast("array<int>"))]
 
-    def windows(flags):
-        """Of those that no passage holds; with flags of their hashes, of the others that may equal one."""
-        @F.pandas_udf("array<struct<start: int, key: long>>")
-        def made(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for batch in batches:
-                out = []
-                for words, pos, again, starts, ends in zip(*batch):
-                    start, key, new = windows_of(np.frombuffer(words, "<u2"), pos, again, list(zip(starts, ends)), k, length, window)
-                    take = new if flags is None else ~new & flagged(flags.value, key)
-                    out.append([{"start": s, "key": h} for s, h in zip(start[take].tolist(), key[take].tolist())])
-                yield pd.Series(out, dtype=object)
-
-        return open_rows.select("row", "doc_id", F.explode(made(*columns)).alias("w")).select("row", "doc_id", "w.*")
-
-    wanted = written(windows(None), "windows")
-    n = wanted.count()
+    @F.pandas_udf("struct<n: int, start: array<int>, key: array<long>>")
+    def windows(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for words, pos, again, starts, ends in zip(*batch):
+                start, key, new = windows_of(np.frombuffer(words, "<u2"), pos, again, list(zip(starts, ends)), k, length, window)
+                order = np.argsort(~new, kind="stable")
+                out.append((int(new.sum()), start[order].astype(np.int32), key[order]))
+            yield pd.DataFrame(out, columns=["n", "start", "key"])
+
+    # those that no passage holds come first, n of them; a document's words are looked through once
+    made = written(open_rows.select("row", "doc_id", windows(*columns).alias("w")), "windows").select("row", "doc_id", "w.*")
+    n = made.agg(F.sum("n")).first()[0]
     if not n:
         return None
-    flags = flags_of(wanted, flag_bits(n))
-    others = windows(rows.sparkSession.sparkContext.broadcast(flags))
-    holders = (wanted.unionByName(others).groupBy("key").agg(
+    wanted = made.select("row", "doc_id", F.explode(F.arrays_zip(
+        F.slice("start", 1, F.col("n")).alias("start"), F.slice("key", 1, F.col("n")).alias("key"))).alias("w")).select("row", "doc_id", "w.*")
+    flags = rows.sparkSession.sparkContext.broadcast(flags_of(wanted, flag_bits(n)))
+
+    @F.pandas_udf("array<long>")
+    def like_wanted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """Of the windows that a passage holds those that may equal one of the others."""
+        for held, keys in batches:
+            yield pd.Series([key[h:][flagged(flags.value, key[h:])] for h, key in zip(held, keys)], dtype=object)
+
+    others = made.where(F.size("key") > F.col("n")).select("row", "doc_id", F.explode(like_wanted("n", "key")).alias("key"))
+    holders = (wanted.drop("start").unionByName(others).groupBy("key").agg(
         F.min("row").alias("first"), F.min_by("doc_id", "row").alias("first_id"),
         F.max("row").alias("last"), F.max_by("doc_id", "row").alias("last_id")).where("first < last"))
     return wanted.join(holders, "key").select(
@@ -431,11 +524,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     with settings(docs.sparkSession, DROPPED):
         rows = _rows(docs, doc_id, text, k, window)
         matches = _written_matches(rows)
-        found = _stretches(rows, matches, k, least, stretch, identity)
-        sides = F.array(F.struct("row", "doc_id", "start", "end", "other", F.col("other_id").alias("other_id")),
-                        F.struct(F.col("other").alias("row"), F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"),
-                                 F.col("other_end").alias("end"), F.col("row").alias("other"), F.col("doc_id").alias("other_id")))
-        parts = found.select(F.explode(sides).alias("s")).select("s.*")
+        parts = _sides(rows, matches, k, least, stretch, identity, bridge)
         first = written(_islands(parts, length, bridge), "passages")
         rest = _left_out(rows, matches, first, k, length, window)
     whole = first if rest is None else _islands(parts.unionByName(rest), length, bridge)

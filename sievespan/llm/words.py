@@ -1,5 +1,7 @@
 """Words of texts, as bytes."""
 
+from itertools import repeat
+
 import numpy as np
 import xxhash
 
@@ -20,4 +22,4 @@ def spaced_words(text: bytes) -> list[bytes]:
 def hashes(items, n: int, seed: int = 42) -> np.ndarray:
     """XXH64 of byte strings."""
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(x, seed) for x in items), np.uint64, n)
+    return np.fromiter(map(digest, items, repeat(seed)), np.uint64, n)

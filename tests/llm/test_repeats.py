@@ -222,3 +222,66 @@ def test_flags_grow_with_the_windows(spark):
     assert repeats.flagged(flags, key[3000:]).mean() < 0.001
     assert len(np.unique(key[:300_000] & ((1 << bits) - 1))) / (1 << bits) < 1 / 20
     assert repeats.flag_bits(1) == 20 and repeats.flag_bits(1 << 40) == 28
+
+
+def test_a_phrase_said_over_and_over_is_no_stretch_per_word(spark, monkeypatch):
+    """The table of stretches has a row or two for each side of a pair, however often a document says a phrase."""
+    kept, write = [], repeats.written
+
+    def watched(df, label):
+        kept.append((label, write(df, label)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(repeats, "written", watched)
+    rows = [(i, text(prose(i, 40), ["of", "the"] * (100 + i), prose(50 + i, 40))) for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {(r.doc_id, r.start, r.end) for r in repeats.passages(docs).collect()}
+    # ends may run on by a word of the same hash
+    assert {(d, s // 10, e // 10) for d, s, e in got} == {(i, 4, (240 + 2 * min(i, 6)) // 10) for i in range(8)}
+    made = sum(t.count() for label, t in kept if label == "stretches")
+    assert 14 <= made <= 32 and repeats.stretches(docs).count() > 10 * made
+
+
+def test_joined_sides_make_the_passages_that_all_stretches_make(spark):
+    draw = random.Random(4)
+    lines = [prose(i, draw.choice([7, 12, 30])) for i in range(20)] + [["a", "b"] * 30, ["of"] * 40]
+    docs = spark.createDataFrame([(d, text(*(draw.choice(lines) for _ in range(9)), prose(90 + d, 30))) for d in range(30)], DOCS)
+    rows = repeats._rows(docs, "doc_id", "text", repeats.K, repeats.WINDOW)
+    matches, how = repeats._written_matches(rows), (repeats.K, repeats.LEAST_SEEDS, repeats.STRETCH, repeats.IDENTITY)
+    raw = [r.asDict() for r in repeats._stretches(rows, matches, *how).collect()]
+    sides = [(r["row"], r["doc_id"], r["start"], r["end"], r["other"], r["other_id"]) for r in raw]
+    sides += [(r["other"], r["other_id"], r["other_start"], r["other_end"], r["row"], r["doc_id"]) for r in raw]
+    schema = "row long, doc_id long, start int, end int, other long, other_id long"
+    each = repeats._islands(spark.createDataFrame(sides, schema), repeats.LENGTH, repeats.BRIDGE)
+    joined = repeats._sides(rows, matches, *how, repeats.BRIDGE)
+    assert joined.count() < len(sides)
+    assert sorted(map(tuple, repeats._islands(joined, repeats.LENGTH, repeats.BRIDGE).select(each.columns).collect())) == sorted(map(tuple, each.collect()))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 300), min_size=1, max_size=20), st.sets(st.integers(0, 300), min_size=1, max_size=20))
+def test_rising_matches_make_the_best_chain(x, y):
+    """The same as with a match beside them that doesn't rise, which takes the way through the tree."""
+    n = min(len(x), len(y))
+    x, y = sorted(x)[:n], sorted(y)[:n]
+    far = 10**6
+    got = repeats.chains(x, y, 5, 0.1, 1)
+    assert got == [c for c in repeats.chains([*x, far, far], [*y, far, far], 5, 0.1, 1) if c[0] < n]
+
+
+@given(st.lists(st.integers(0, 1), min_size=40, max_size=40), st.lists(st.integers(0, 1), min_size=40, max_size=40),
+       st.lists(st.tuples(st.integers(1, 6), st.integers(1, 6)), min_size=1, max_size=6))
+def test_gaps_that_are_equal(a, b, steps):
+    a, b = np.array(a), np.array(b)
+    x, y = np.cumsum([0, *(s[0] for s in steps)]), np.cumsum([0, *(s[1] for s in steps)])
+    expected = [np.array_equal(a[i:p], b[j:q]) for i, p, j, q in zip(x, x[1:], y, y[1:])]
+    assert repeats._equal_gaps(a, b, x, y).tolist() == expected
+
+
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=60), st.integers(1, 12))
+def test_hashes_of_windows_and_least_values(words, length):
+    length = min(length, len(words))
+    windows = [tuple(words[i:i + length]) for i in range(len(words) - length + 1)]
+    key = repeats.window_hashes(np.array(words, "<u2"), length).tolist()
+    assert len(key) == len(windows) and len(set(zip(key, windows))) == len(set(key)) == len(set(windows))
+    assert repeats._least(np.array(words, np.uint64), length).tolist() == [i + w.index(min(w)) for i, w in enumerate(windows)]
