@@ -64,6 +64,9 @@ FLAGS = 20, 28, 5   # bits of a hash that flag a window, so that most windows th
 PARTS = 2           # of seeds, and of pairs of documents, that go through the exchange one after another
 # what an exchange leaves on disk goes when its query has ended, not when the driver's memory is next cleared
 DROPPED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+# rows hold the words of whole texts: bytes, and not rows alone, bound what goes to Python and what is read at once
+BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+GAP_BITS = 4096     # words of a gap that are aligned at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,19 +169,28 @@ def chains(x: list[int], y: list[int], k: int = K, gap: float = GAP, least: int
     return out
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, a column of it at a time as bits of one number."""
+def _common(a: np.ndarray, b: np.ndarray, bits: int = GAP_BITS) -> int:
+    """Length of the longest common subsequence, a column of it at a time as bits of one number.
+
+    Rows go in blocks of ``bits``, and what a block carries in each column goes on to the next: the places
+    of a word are a number as long as its block, so memory grows with the words of a gap, not with their square.
+    """
     if len(a) == len(b) and (a == b).all():
         return len(a)
-    at: dict[int, int] = {}
-    for i, word in enumerate(a.tolist()):
-        at[word] = at.get(word, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for word in b.tolist():
-        hit = row & at.get(word, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    other, carry, same = b.tolist(), bytearray(len(b)), 0
+    for start in range(0, len(a), bits):
+        block, at = a[start:start + bits].tolist(), {}
+        for i, word in enumerate(block):
+            at[word] = at.get(word, 0) | 1 << i
+        full = (1 << len(block)) - 1
+        row = full
+        for j, word in enumerate(other):
+            hit = row & at.get(word, 0)
+            total = row + hit + carry[j]
+            carry[j] = total > full
+            row = (total | (row - hit)) & full
+        same += len(block) - row.bit_count()
+    return same
 
 
 def _run(a: np.ndarray, b: np.ndarray) -> int:
@@ -379,7 +391,7 @@ def stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: in
               least: int = LEAST_SEEDS, stretch: int = STRETCH, identity: float = IDENTITY) -> DataFrame:
     """Aligned parts of chains: row, doc_id, start and end (in words, from 0, end exclusive)
     and the same of the anchor document (other_*), with the share of equal words."""
-    with settings(docs.sparkSession, DROPPED):
+    with settings(docs.sparkSession, DROPPED | BOUNDED):
         rows = _rows(docs, doc_id, text, k, window)
         return _stretches(rows, _written_matches(rows), k, least, stretch, identity)
 
@@ -521,11 +533,12 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     """doc_id, start and end (in words, from 0, end exclusive) of each passage of at
     least ``length`` words that other documents have, and the smallest id of these
     that a stretch of it was aligned with, or that was compared with a window of it."""
-    with settings(docs.sparkSession, DROPPED):
+    with settings(docs.sparkSession, DROPPED | BOUNDED):
         rows = _rows(docs, doc_id, text, k, window)
         matches = _written_matches(rows)
         parts = _sides(rows, matches, k, least, stretch, identity, bridge)
         first = written(_islands(parts, length, bridge), "passages")
         rest = _left_out(rows, matches, first, k, length, window)
+        rest = None if rest is None else written(rest, "left-out")
     whole = first if rest is None else _islands(parts.unionByName(rest), length, bridge)
     return whole.select("doc_id", "start", "end", "other_id")

@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from sievespan.llm import repeats
 from sievespan.llm.words import word_list
@@ -285,3 +288,32 @@ def test_hashes_of_windows_and_least_values(words, length):
     key = repeats.window_hashes(np.array(words, "<u2"), length).tolist()
     assert len(key) == len(windows) and len(set(zip(key, windows))) == len(set(key)) == len(set(windows))
     assert repeats._least(np.array(words, np.uint64), length).tolist() == [i + w.index(min(w)) for i, w in enumerate(windows)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.integers(0, 4), max_size=40), st.integers(1, 9))
+def test_common_words_in_blocks(a, b, bits):
+    a, b = np.array(a, int), np.array(b, int)
+    assert repeats._common(a, b, bits) == repeats._common(a, b, 64)
+
+
+def test_a_long_gap_is_held_once_and_not_squared():
+    draw = np.random.default_rng(1)
+    a = draw.permutation(40_000).astype("<u2")
+    b = np.append(a[20_000:], a[:20_000])
+    tracemalloc.start()
+    try:
+        assert repeats._common(a, b) >= 20_000
+        assert tracemalloc.get_traced_memory()[1] < 16e6    # 100 MB with the places of every word in one number
+    finally:
+        tracemalloc.stop()
+
+
+def test_what_goes_to_python_is_bounded_in_bytes(spark):
+    @F.pandas_udf("int")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    docs = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("a"), 1_000_000).alias("text"))
+    with repeats.settings(spark, repeats.BOUNDED):
+        assert max(r[0] for r in docs.select(together("text")).collect()) <= 8
